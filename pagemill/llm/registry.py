@@ -6,7 +6,11 @@ import importlib
 
 #: Query: module. Each module has query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
+    "op3_bpe": "bpe",
+    "op4_url_filter": "urlfilter",
+    "op5_quality": "preference",
     "op9_line_rules": "linerules",
+    "op10_warc": "warc",
 }
 _loaded = {name: importlib.import_module(f"pagemill.llm.{module}") for name, module in MODULES.items()}
 
