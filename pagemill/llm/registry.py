@@ -6,6 +6,7 @@ import importlib
 
 #: Query: module. Each module has query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
+    "op1_substring": "substring",
     "op3_bpe": "bpe",
     "op4_url_filter": "urlfilter",
     "op5_quality": "preference",
