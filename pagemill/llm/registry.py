@@ -10,6 +10,7 @@ MODULES = {
     "op3_bpe": "bpe",
     "op4_url_filter": "urlfilter",
     "op5_quality": "preference",
+    "op7_decontam": "decontam",
     "op8_near_dup": "dartminhash",
     "op9_line_rules": "linerules",
     "op10_warc": "warc",

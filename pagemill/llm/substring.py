@@ -301,24 +301,35 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, run: int = RUN, fr
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "start", "stop")).alias("gone"))
 
 
-OUTPUTS = {"kept_text": pa.string(), "kept_sha256": pa.string()}
+OUTPUTS = {"kept_text": pa.string(), "kept_sha256": pa.string(), "clean_text": pa.string()}
+
+
+def _clean(raw: bytes, low: int, high: int, starts: np.ndarray, stops: np.ndarray, kept: np.ndarray) -> str:
+    """A text without its removed stretches: what stays keeps its own spacing."""
+    if kept.all():
+        return raw[low:high].decode("utf-8")
+    own = np.flatnonzero(kept)
+    first = np.append(True, np.diff(own) != 1) if len(own) else np.zeros(0, bool)
+    last = np.append(first[1:], True) if len(own) else first
+    return b" ".join([raw[a:b] for a, b in zip(starts[own[first]].tolist(), stops[own[last]].tolist())]).decode("utf-8")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ...] = ("kept_text",), carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, n_words, n_removed and `outputs` (kept_text, kept_sha256) of every row of `docs`, and the columns to carry along.
+    """doc_id, n_words, n_removed and `outputs` of every row of `docs`, and the columns to carry along.
 
-    Kept words are joined by a blank. A null text has no words. A row with a null doc_id keeps all its words and is no source; rows
+    kept_text has the kept words joined by a blank, kept_sha256 its digest; clean_text keeps the spacing between kept words, and
+    is the text itself where nothing goes. A null text has no words. A row with a null doc_id keeps all its words and is no source; rows
     that repeat a doc_id do not count as earlier than one another. Other columns are ignored; an empty table gives an empty one.
     """
     kind = dict(docs.dtypes)["doc_id"]
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     gone = repeated_intervals(own.select("doc_id", "text"), window, **options)
     joined = own.join(gone, "doc_id", "left")
-    types = {"kept_text": "string", "kept_sha256": "string"}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
             data, starts, stops, first, words = _hashed(batch)
+            ends = string_buffers(batch["text"])[1]
             n = np.diff(first)
             change = np.zeros(len(words) + 1, np.int64)
             lists = batch["gone"]
@@ -335,17 +346,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, outputs: tuple[str, ..
             kept = np.cumsum(change)[:-1] == 0
             removed = n - np.diff(np.append(0, np.cumsum(kept))[first])
             raw = data.tobytes()
-            texts = []
+            texts, clean = [], []
             for k in range(len(n)):
+                if "clean_text" in outputs:
+                    own = slice(first[k], first[k + 1])
+                    clean.append(_clean(raw, ends[k], ends[k + 1], starts[own], stops[own], kept[own]))
+                if not {"kept_text", "kept_sha256"} & set(outputs):
+                    continue
                 own = np.arange(first[k], first[k + 1])[kept[first[k] : first[k + 1]]]
                 texts.append(b" ".join([raw[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist())]))
-            made = {"kept_text": lambda: [t.decode("utf-8") for t in texts], "kept_sha256": lambda: [hashlib.sha256(t).hexdigest() for t in texts]}
+            made = {"clean_text": lambda: clean, "kept_text": lambda: [t.decode("utf-8") for t in texts], "kept_sha256": lambda: [hashlib.sha256(t).hexdigest() for t in texts]}
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n), pa.array(removed), *(pa.array(made[o](), OUTPUTS[o]) for o in outputs), *(batch[c] for c in carry)],
                 ["doc_id", "n_words", "n_removed", *outputs, *carry],
             )
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint" + "".join(f", {o} {types[o]}" for o in outputs)
+    schema = "doc_id bigint, n_words bigint, n_removed bigint" + "".join(f", {o} string" for o in outputs)
     schema += "".join(f", `{c}` {dict(own.dtypes)[c]}" for c in carry)
     out = joined.select("doc_id", "text", "gone", *carry).mapInArrow(apply, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
