@@ -7,9 +7,11 @@ import importlib
 #: Query: module. Each module has query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
     "op1_substring": "substring",
+    "op2_license": "licenses",
     "op3_bpe": "bpe",
     "op4_url_filter": "urlfilter",
     "op5_quality": "preference",
+    "op6_token_counts": "unigram",
     "op7_decontam": "decontam",
     "op8_near_dup": "dartminhash",
     "op9_line_rules": "linerules",
