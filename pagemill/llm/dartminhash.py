@@ -10,12 +10,12 @@ Finding the groups:
 
 1. one pass gives each document a hash of its words and BANDS band keys; equal word sequences are one class from here on,
    represented by their smallest id, found by a pre-aggregated minimum;
-2. representatives meet in buckets of equal band keys. Small buckets compare all their members; large ones compare each member
-   with a few pivots, the members with the most bucket mates, chosen before the shuffle;
+2. representatives meet in buckets of equal band keys. Each is compared with its bucket's pivot, the member with the most bucket
+   mates: in a group of copies that is a central one, the same in most buckets;
 3. pairs are held to the exact similarity of their shingle sets;
 4. links make components by minimum labels and pointer jumping, every round written to the shared folder;
-5. members of a large bucket that are not of its largest component yet are compared with the others where a second band of theirs agrees, so
-   that no link depends on the choice of pivots.
+5. documents in buckets whose members are in different components still meet where they share one of their rarest shingles, as any
+   two that reach the threshold do; so no link depends on the choice of pivots.
 
 Nothing grows on the driver; no bucket, component or partner list is capped.
 """
@@ -28,16 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import gram_hashes, mix, rounds, ship, stored, string_buffers, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**24 = 0.999997.
-BANDS, ROWS = 24, 4
-#: Buckets of up to so many compare all members, larger ones compare with so many pivots first.
-SMALL, PIVOTS = 24, 4
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8**6)**40 = 0.999995, and two with 0.99992.
+BANDS, ROWS = 40, 6
+#: Shingles in so many documents or fewer are rare.
+RARE = 32
 #: The first rank strip; the others double it.
 FIRST_STRIP = 2.0**-4
 _POISSON = 24
@@ -233,6 +232,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of documents (doc_id, comp) in different components that can be as similar as that.
+
+    Two sets of that similarity share one of their rarest shingles: of |x| shingles in the order of their document frequency, one of
+    the first |x| - ceil(t |x|) + 1. Documents that have but a common passage in common differ in those. Either the rarest that they
+    share is in RARE documents or fewer, and so meets few; or their intersection has only shingles of more documents, which is too small
+    for variants of one text that have many changes of their own.
+    """
+    listed = placed.join(sets, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    often = listed.groupBy("t").agg(F.count("*").alias("c"))
+    length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
+    rare = listed.join(often, "t").groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    held = lambda least: F.size(F.filter("s", lambda e: e["c"] > least))
+    rare = rare.select("doc_id", "comp", "n", held(1).alias("m1"), held(RARE).alias("m2"), F.explode(F.slice("s", F.lit(1), length)).alias("s")).where("s.c > 1")
+    rare = rare.select("doc_id", "comp", "n", "m1", "m2", "s.c", "s.t")
+
+    def meet(rows: DataFrame, m: str) -> DataFrame:
+        x, y = (rows.select(F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col(m).alias(f"m{s}"), "t") for s in "ab")
+        enough = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+        return x.join(y, "t").where(F.expr("a < b AND ca <> cb") & enough).select("a", "b")
+
+    return meet(rare.where(F.col("c") <= RARE), "m1").union(meet(rare.where(F.col("c") > RARE), "m2")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group) and copy_of (that of its exact copies) for every row of `docs`.
 
@@ -249,34 +272,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     rows = heads.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared, "key"), "buckets")
-    # all pairs of a small bucket: fewer than SMALL partners for each member
-    small = rows.where(F.col("n") <= SMALL)
-    pairs = small.select(F.col("doc_id").alias("a"), "key").join(small.select(F.col("doc_id").alias("b"), "key"), "key").where("a < b").select("a", "b")
-    large = rows.where(F.col("n") > SMALL)
-    mates = large.groupBy("doc_id").agg(F.sum("n").alias("mates"))
-    order = W.partitionBy("key").orderBy(F.desc("mates"), "doc_id")
-    pivots = large.join(mates, "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("key", F.col("doc_id").alias("p"))
-    star = large.join(pivots, "key").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-    pairs = stored(pairs.union(star).distinct(), "pairs")
+    # first every member with one pivot of its bucket, the one with the most bucket mates: groups of copies have few pivots
+    mates = rows.groupBy("doc_id").agg(F.sum("n").alias("mates"))
+    rows = stored(rows.join(mates, "doc_id"), "buckets")
+    pivots = rows.groupBy("key").agg(F.max(F.struct("mates", (-F.col("doc_id")).alias("minus"))).alias("p")).select("key", (-F.col("p.minus")).alias("p"))
+    star = rows.join(pivots, "key").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
+    pairs = stored(star.distinct(), "pairs")
     wanted = rows.select("doc_id").distinct()
     sets = stored(_shingles(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
     links = stored(verified(pairs, sets, threshold), "links")
     groups = components(links)
-    # what the pivots left apart, compared where a second band agrees too
-    placed = large.join(groups, "doc_id", "left").select("doc_id", "key", F.coalesce("comp", "doc_id").alias("comp"))
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(main.select("key", "main"), "key")
-    if not main.isEmpty():
-        mine = open_.where("comp <> main").join(heads.select("doc_id", "bands"), "doc_id")
-        # the key of a pair of bands, of which one is the large bucket's
-        joint = lambda d: d.select("doc_id", "comp", "key", F.explode(F.filter("bands", lambda x: x != F.col("key"))).alias("second"))
-        left = joint(mine).select(F.col("doc_id").alias("x"), F.col("comp").alias("cx"), "key", "second")
-        right = joint(open_.join(mine.select("key").distinct(), "key", "left_semi").join(heads, "doc_id")).select(F.col("doc_id").alias("y"), F.col("comp").alias("cy"), "key", "second")
-        rest = left.join(right, ["key", "second"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(stored(verified(rest, sets, threshold), "links"))
-        groups = components(links)
+    # then the members of buckets that are in different components still
+    placed = rows.join(groups, "doc_id", "left").select("doc_id", "key", F.coalesce("comp", "doc_id").alias("comp"))
+    placed = stored(placed, "buckets")
+    mixed = placed.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
+    apart = stored(placed.join(mixed, "key", "left_semi").select("doc_id", "comp").distinct(), "apart")
+    rest = stored(_prefix_pairs(apart, sets, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(verified(rest, sets, threshold), "links")
+    if not more.isEmpty():
+        groups = components(links.union(more))
     return member.join(groups.select(F.col("doc_id").alias("copy_of"), "comp"), "copy_of", "left").select(
         "doc_id", F.coalesce("comp", "copy_of").alias("class_id"), "copy_of"
     )
