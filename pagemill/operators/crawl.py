@@ -29,8 +29,8 @@ def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages:
     With a budget only the first max_pages of the whole order are attempted, and only those are expanded.
     """
     check_crawl_policy(max_depth, max_pages or 1)
-    level = seeds.groupBy("node").agg(F.min("ordinal").alias("o")).withColumn("rank", F.row_number().over(W.orderBy("o", "node"))).select("node", F.col("rank").cast("bigint"))
-    level = _stored(level.withColumn("depth", F.lit(0)), "level")
+    level = _ranked(seeds.groupBy("node").agg(F.min("ordinal").alias("o")), ["o", "node"], 0)
+    level = _stored(level.select("node", "rank", F.lit(0).alias("depth")), "level")
     seen, done = level, 0
     for depth in range(max_depth + 1):
         if max_pages is not None:

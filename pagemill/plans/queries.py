@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import pages as P
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators import archive, cookies, crawl, evaluate, images, policy, robots, state
+from pagemill.operators import archive, cookies, crawl, evaluate, images, policy, requests, robots, state
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -623,3 +623,28 @@ def state_migration(spark, sf_dir):
 @query("evaluation")
 def evaluation(spark, sf_dir):
     return evaluate.scores(evaluate.CORPUS.df(spark))
+
+
+_CHAINS = Rows("url string, method string, seq int, status int, target string", [
+    ("https://a.org/1", "POST", 1, 301, "https://a.org/2"), ("https://a.org/1", "POST", 2, 307, "https://b.org/"), ("https://a.org/2", "PUT", 1, 307, "https://b.org/"),
+    ("https://a.org/3", "GET", 1, 302, "http://a.org/"), ("https://a.org/3", "GET", 2, 302, "https://a.org/"), ("https://a.org/4", "GET", 1, 301, "https://a.org:443/x")])
+
+
+@query("redirect_chains", """SELECT * FROM (VALUES ('https://a.org/1', 1, 'GET', true, NULL), ('https://a.org/1', 2, 'GET', false, NULL), ('https://a.org/2', 1, 'PUT', false, 'a body must not cross origins'),
+  ('https://a.org/3', 1, 'GET', false, 'https must not lead to http'), ('https://a.org/4', 1, 'GET', true, NULL)) v(url, seq, method_after, same_origin, error)""")
+def redirect_chains(spark, sf_dir):
+    return requests.redirect_chains(_CHAINS.df(spark)).drop("target")
+
+
+@query("header_sets", "SELECT page_id, 'x/1 (Contact: me)' AS agent, 'own' AS accept, CAST(6 AS INT) AS n FROM pages")
+def header_sets(spark, sf_dir):
+    m = requests.header_set(requests.user_agent("x", "1", "me"), F.create_map(F.lit("Accept"), F.lit("own")))
+    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", F.col("m")["User-Agent"].alias("agent"), F.col("m")["Accept"].alias("accept"), F.size("m").alias("n"))
+
+
+@query("place_assets", "SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS placed FROM pages")
+def place_assets(spark, sf_dir):
+    name = F.concat(F.lit("https://img.example/"), F.col("page_id").cast("string"), F.lit(".png"))
+    p = wide(table(spark, sf_dir, "pages")).withColumn("html", F.concat(F.lit('<img src="'), name, F.lit('">'), "html"))
+    acquired = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(name.alias("url"), F.concat(F.lit("images/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    return requests.place_assets(p, acquired).select("page_id", "placed")
