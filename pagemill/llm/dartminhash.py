@@ -245,15 +245,21 @@ def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
     length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     rare = listed.join(often, "t").groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
     held = lambda least: F.size(F.filter("s", lambda e: e["c"] > least))
-    rare = rare.select("doc_id", "comp", "n", held(1).alias("m1"), held(RARE).alias("m2"), F.explode(F.slice("s", F.lit(1), length)).alias("s")).where("s.c > 1")
-    rare = rare.select("doc_id", "comp", "n", "m1", "m2", "s.c", "s.t")
-
-    def meet(rows: DataFrame, m: str) -> DataFrame:
-        x, y = (rows.select(F.col("doc_id").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col(m).alias(f"m{s}"), "t") for s in "ab")
+    part = lambda keep: F.transform(F.filter(F.slice("s", F.lit(1), length), keep), lambda e: e["t"])
+    rare = rare.select(
+        "doc_id", "comp", "n", held(1).alias("m1"), held(RARE).alias("m2"),
+        part(lambda e: (e["c"] > 1) & (e["c"] <= RARE)).alias("p1"), part(lambda e: e["c"] > RARE).alias("p2"),
+    )
+
+    def meet(m: str, p: str) -> DataFrame:
+        """Each pair once, at the least of the shingles that it meets in."""
+        rows = rare.where(F.size(p) > 0).select("doc_id", "comp", "n", m, p, F.explode(p).alias("t"))
+        x, y = (rows.select(*[F.col(c).alias(a + s) for c, a in (("doc_id", ""), ("comp", "c"), ("n", "n"), (m, "m"), (p, "p"))], "t") for s in "ab")
         enough = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
-        return x.join(y, "t").where(F.expr("a < b AND ca <> cb") & enough).select("a", "b")
+        once = F.array_min(F.array_intersect("pa", "pb")) == F.col("t")
+        return x.join(y, "t").where(F.expr("a < b AND ca <> cb") & enough & once).select("a", "b")
 
-    return meet(rare.where(F.col("c") <= RARE), "m1").union(meet(rare.where(F.col("c") > RARE), "m2")).distinct()
+    return meet("m1", "p1").union(meet("m2", "p2")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
