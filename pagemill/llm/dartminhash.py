@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     star = rows.join(pivots, "key").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
     pairs = stored(star.distinct(), "pairs")
     wanted = rows.select("doc_id").distinct()
-    sets = stored(_shingles(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    # by merge join at every size: the ids grow with the table, and shall not be broadcast while they are few
+    sets = stored(_shingles(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
     links = stored(verified(pairs, sets, threshold), "links")
     groups = components(links)
     # then the members of buckets that are in different components still
