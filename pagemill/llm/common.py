@@ -18,7 +18,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Words are runs of other characters than these, in Java's and DuckDB's regular expressions.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy round takes; a single longer text is a round of its own.
-ROUND_BYTES = 3 << 20
+ROUND_BYTES = 3 << 19
 
 
 def ship(spark: SparkSession) -> None:
