@@ -6,6 +6,9 @@ matrix gives a latent space: every task adds up its share of A'A times a thin ma
 matrices of the vocabulary's size reach the driver. Passages whose cosine to an item reaches COSINE are its candidates. Those are
 confirmed by the longest common subsequence of words, and in doubt by the item's answer (its last sentence) being there too.
 
+Frequent terms have no weight in that search. An item that owes them half of its length or more, as it is copied all over the table or made of common
+words, is searched for by its words themselves: every window that holds as many of them as a leak must is compared.
+
 A benchmark is a stated set of items, taken in blocks; one call takes MAX_BLOCKS of them, which bounds what is broadcast. Documents
 are read without a shuffle in every pass.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,9 @@ RANK, EXTRA = 208, 16
 BLOCK_ITEMS, BLOCK_WORDS = 208, 60_000
 #: Blocks that one call takes: what it broadcasts is bounded by them (about 25 MB each). Larger benchmarks are split by the caller.
 MAX_BLOCKS = 16
-#: Terms in more than this share of the passages have no weight in the search (they count in the comparison).
-MAX_SHARE = 0.02
+#: Terms in more than this share of the passages have no weight in the search (they count in the comparison). Items that keep less than
+#: KEPT of their squared length without them are searched for exactly.
+MAX_SHARE, KEPT = 0.02, 0.5
 #: Candidates; then the share of an item's words in common order that is a leak, or is one together with the answer.
 COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
 #: An answer shorter than this many words decides nothing; an item shorter than SHORT must occur word by word.
@@ -69,6 +74,7 @@ class Block:
     weight: np.ndarray | None = None
     axes: np.ndarray | None = None
     latent: np.ndarray | None = None
+    hot: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Block:
@@ -101,13 +107,13 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block.of(rows)
 
 
-def _passages(first: np.ndarray, found: np.ndarray, terms: np.ndarray, v: int):
-    """Passages of all texts, numbered through: their text and first word, and the distinct (passage, term) with how often."""
+def _passages(first: np.ndarray, found: np.ndarray, terms: np.ndarray, v: int, stride: int = STRIDE):
+    """Passages of all texts (of two strides), numbered through: each text's first, and the distinct (passage, term) with how often."""
     n = np.diff(first)
-    count = np.maximum(1, -(-(n - STRIDE) // STRIDE))
+    count = np.maximum(1, -(-(n - stride) // stride))
     begin = np.append(0, np.cumsum(count))
     text = np.searchsorted(first[1:], found, side="right")
-    q = (found - first[text]) // STRIDE
+    q = (found - first[text]) // stride
     p, t = [], []
     for back in (0, 1):
         ok = (q - back >= 0) & (q - back < count[text])
@@ -204,6 +210,11 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
     df = counted[:, 0] * 2.0**20 + counted[:, 1]
     n = max(df[v], 1.0)
     weight = np.log((1 + n) / (1 + df[:v]))
+    block.hot = np.zeros(len(block.items), bool)
+    squares = np.where(df[:v] > max(MAX_SHARE * n, 5), 0, weight**2), weight**2
+    for k, item in enumerate(block.items):
+        kept, full = (w[np.unique(item)].sum() for w in squares)
+        block.hot[k] = kept <= KEPT * full
     weight[df[:v] > max(MAX_SHARE * n, 5)] = 0
     if not weight.any():  # a table of a few passages: every term counts alike
         weight[:] = 1
@@ -295,15 +306,22 @@ class Judge:
 
     def judge(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, float]]:
         """For each text its leaked items (by place in the block) and the largest share found."""
-        b, v = self.block, len(self.block.vocabulary)
         out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
-        found, terms = b.terms(words)
+        found, terms = self.block.terms(words)
         if not len(found):
             return out
-        begin, passage, term, times = _passages(first, found, terms, v)
+        for d, i, low, high in chain(self._near(first, found, terms), self._held(first, found, terms)):
+            if out[d].get(i, 0.0) < 1.0:
+                share = self.confirmed(i, found[low:high], terms[low:high])
+                if share > out[d].get(i, 0.0):
+                    out[d][i] = share
+        return out
+
+    def _near(self, first: np.ndarray, found: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Candidates of the latent search: text, item, and which of the found words are to be compared."""
+        b = self.block
+        begin, passage, term, times = _passages(first, found, terms, len(b.vocabulary))
         p, t, value, starts = _weighted(passage, term, times, b.weight)
-        if not len(starts):
-            return out
         for s in range(0, len(starts), 8192):
             e = min(s + 8192, len(starts))
             stop = starts[e] if e < len(starts) else len(t)
@@ -314,12 +332,25 @@ class Judge:
             low = first[text] + (number - begin[text]) * STRIDE
             a = np.searchsorted(found, np.maximum(low - STRIDE, first[text]))
             z_ = np.searchsorted(found, np.minimum(low + PASSAGE + STRIDE, first[text + 1]))
-            for d, i, f, l in zip(text.tolist(), item.tolist(), a.tolist(), z_.tolist()):
-                if out[d].get(i, 0.0) < 1.0:
-                    share = self.confirmed(i, found[f:l], terms[f:l])
-                    if share > out[d].get(i, 0.0):
-                        out[d][i] = share
-        return out
+            yield from zip(text.tolist(), item.tolist(), a.tolist(), z_.tolist())
+
+    def _held(self, first: np.ndarray, found: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The same for hot items: all windows that hold as many of an item's words as a leak must. A window's second half is the first of
+        the next, so that half as many words again as the item has are in one window wherever they stand."""
+        b, v = self.block, len(self.block.vocabulary)
+        hot = np.flatnonzero(b.hot)
+        n = np.array([len(b.items[i]) for i in hot], np.int64)
+        halves = np.maximum(PASSAGE, -(-3 * n // (2 * STRIDE)) * STRIDE)
+        for half in np.unique(halves).tolist():
+            begin, passage, term, times = _passages(first, found, terms, v, half)
+            for i in hot[halves == half].tolist():
+                size = len(b.items[i])
+                have = np.minimum(times, np.bincount(b.items[i], minlength=v)[term])
+                number = np.flatnonzero(np.bincount(passage, have, begin[-1]) >= (size if size < SHORT else PARAPHRASE * size))
+                text = np.searchsorted(begin, number, side="right") - 1
+                low = first[text] + (number - begin[text]) * half
+                a, z = np.searchsorted(found, low), np.searchsorted(found, np.minimum(low + 2 * half, first[text + 1]))
+                yield from zip(text.tolist(), [i] * len(text), a.tolist(), z.tolist())
 
 
 def fitted(docs: DataFrame, benchmark: DataFrame) -> list[Block]:

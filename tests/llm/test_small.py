@@ -206,6 +206,29 @@ def test_leaks(spark):
     assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == {100: [0], 101: [1], 102: [3]}
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    """Its words are in more passages than the search gives weight to; so are those of an item of common words."""
+    r = np.random.default_rng(7)
+    common = [f"c{k}" for k in range(20)]
+    text = lambda k, n: [str(r.choice(common)) if r.random() < 0.1 else f"d{k}x{j}" for j in range(n)]
+    hot, plain = " ".join(f"hot{k}" for k in range(30)), " ".join(r.permutation(common))
+    items = [(0, hot), (1, plain), (2, "one more item of words that no text has at all"), (3, " ".join(f"rare{k}" for k in range(25)))]
+    rows, want = [], {}
+    for k in range(300):
+        w = text(k, 300)
+        held = ([hot] if k % 3 == 0 else []) + ([plain] if k % 50 == 1 else []) + ([items[3][1]] if k % 100 == 3 else [])
+        at = 0
+        for h in held:
+            at += 70
+            w[at:at] = h.split()
+        if held:
+            want[k] = [i for i, t in items if t in held]
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontam.leaks(d, decontam.fitted(d, spark.createDataFrame(items, "item_id bigint, text string"))).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == want
+
+
 def test_common_subsequence():
     masks = {1: 0b0101, 2: 0b1010}
     assert decontam.common(masks, 4, [1, 2, 1, 2]) == 4 and decontam.common(masks, 4, [2, 9, 1]) == 2 and decontam.common(masks, 4, []) == 0
