@@ -4,7 +4,8 @@ Documents are cut into passages of PASSAGE words, each overlapping the next by h
 items' words (bounded by the benchmark; document frequencies count all passages). A distributed randomised SVD of the passage
 matrix gives a latent space: every task adds up its share of A'A times a thin matrix, the shares are summed by Spark, and only
 matrices of the vocabulary's size reach the driver. Passages whose cosine to an item reaches COSINE are its candidates. Those are
-confirmed by the longest common subsequence of words, and in doubt by the item's answer (its last sentence) being there too.
+confirmed by the longest common subsequence of words, and in doubt by the item's answer (its last sentence) being there too. Long items are
+searched for by their parts, and compared with as many words on both sides of the passage as the item has.
 
 Frequent terms have no weight in that search. An item that owes them half of its length or more, as it is copied all over the table or made of common
 words, is searched for by its words themselves: every window that holds as many of them as a leak must is compared.
@@ -28,7 +29,9 @@ from pagemill.llm.common import rounds, ship, stored, string_buffers, word_bound
 
 PASSAGE, STRIDE = 64, 32
 RANK, EXTRA = 208, 16
-#: Items of one block at most, no more than the space has dimensions, and words: term numbers fit 16 bits.
+#: Words of an item's part at most: of a longer one a passage would have too small a share to be near it.
+PART = 128
+#: Items (parts, if they are long) of one block at most, no more than the space has dimensions, and words: term numbers fit 16 bits.
 BLOCK_ITEMS, BLOCK_WORDS = 208, 60_000
 #: Blocks that one call takes: what it broadcasts is bounded by them (about 25 MB each). Larger benchmarks are split by the caller.
 MAX_BLOCKS = 16
@@ -63,14 +66,20 @@ def _answer(text: str) -> str:
     return parts[-1] if len(parts) > 1 else ""
 
 
+def _parts(n: int) -> int:
+    return -(-n // PART)
+
+
 @dataclass
 class Block:
-    """Benchmark items as term numbers, and the latent space once it is fitted."""
+    """Benchmark items as term numbers, their parts and whose they are, and the latent space once it is fitted."""
 
     ids: list
     vocabulary: np.ndarray
     items: list[np.ndarray]
     answers: list[np.ndarray]
+    parts: list[np.ndarray]
+    owner: np.ndarray
     weight: np.ndarray | None = None
     axes: np.ndarray | None = None
     latent: np.ndarray | None = None
@@ -81,7 +90,10 @@ class Block:
         words, answers = _text_words([t for _, t in rows]), _text_words([_answer(t) for _, t in rows])
         vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
         number = lambda ws: [np.searchsorted(vocabulary, w) for w in ws]
-        return cls([i for i, _ in rows], vocabulary, number(words), number(answers))
+        items = number(words)
+        parts = [np.array_split(i, _parts(len(i))) for i in items]
+        owner = np.repeat(np.arange(len(items)), [len(p) for p in parts])
+        return cls([i for i, _ in rows], vocabulary, items, number(answers), [p for ps in parts for p in ps], owner)
 
     def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are in the vocabulary, and their numbers there."""
@@ -93,16 +105,17 @@ class Block:
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark's items in order of their ids, a bounded number at a time. Null texts and texts without words are no items."""
-    rows, size = [], 0
+    rows, size, parts = [], 0, 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         n = len(_text_words([r["text"]])[0])
         if not n:
             continue
-        if rows and (len(rows) == BLOCK_ITEMS or size + n > BLOCK_WORDS):
+        if rows and (parts + _parts(n) > BLOCK_ITEMS or size + n > BLOCK_WORDS):
             yield Block.of(rows)
-            rows, size = [], 0
+            rows, size, parts = [], 0, 0
         rows.append((r["item_id"], r["text"]))
         size += n
+        parts += _parts(n)
     if rows:
         yield Block.of(rows)
 
@@ -175,19 +188,24 @@ def _term_table(docs: DataFrame, block: Block) -> DataFrame:
         for batch in rounds(batches):
             words, first = _words(*string_buffers(batch["text"]))
             found, terms = block.terms(words)
-            packed = [first.astype(np.uint32), found.astype(np.uint32), terms.astype(np.uint16)]
+            packed = [first.astype(np.uint32), found.astype(np.uint32), terms.astype(_term_type(len(block.vocabulary)))]
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in packed], ["first", "found", "terms"])
 
     return docs.select("text").mapInArrow(run, "first binary, found binary, terms binary")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]):
+def _term_type(v: int) -> type:
+    """16 bits, but for a block of one item of more words than that."""
+    return np.uint16 if v <= 1 << 16 else np.uint32
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], v: int):
     for batch in batches:
         for f, w, t in zip(batch["first"], batch["found"], batch["terms"]):
             yield (
                 np.frombuffer(f.as_py(), np.uint32).astype(np.int64),
                 np.frombuffer(w.as_py(), np.uint32).astype(np.int64),
-                np.frombuffer(t.as_py(), np.uint16).astype(np.int64),
+                np.frombuffer(t.as_py(), _term_type(v)).astype(np.int64),
             )
 
 
@@ -198,7 +216,7 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((v + 1, 1))
-        for first, found, terms in _unpacked(batches):
+        for first, found, terms in _unpacked(batches, v):
             begin, _, term, _ = _passages(first, found, terms, v)
             total[:v, 0] += np.bincount(term, minlength=v)
             total[v] += begin[-1]
@@ -220,8 +238,8 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
         weight[:] = 1
     block.weight = weight
     width = min(rank + EXTRA, v)
-    # the items' own rows weigh as much as all passages together, so that the space has their directions too
-    sizes = [np.unique(i, return_counts=True) for i in block.items]
+    # the rows of the items' parts weigh as much as all passages together, so that the space has their directions too
+    sizes = [np.unique(i, return_counts=True) for i in block.parts]
     own = _weighted(np.repeat(np.arange(len(sizes)), [len(t) for t, _ in sizes]), np.concatenate([t for t, _ in sizes]), np.concatenate([c for _, c in sizes]), weight)
 
     def gram(dense: np.ndarray) -> np.ndarray:
@@ -230,7 +248,7 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
 
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((v, thin.shape[1]), np.float32)
-            for first, found, terms in _unpacked(batches):
+            for first, found, terms in _unpacked(batches, v):
                 _, passage, term, times = _passages(first, found, terms, v)
                 add(total, *_weighted(passage, term, times, weight))
             yield from _part(total, np.flatnonzero(total.any(1)))
@@ -248,7 +266,7 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
         out = _summed(table.mapInArrow(share, _PART), v, thin.shape[1])
         mine = np.zeros((v, thin.shape[1]), np.float32)
         add(mine, *own)
-        return out + mine * max(1.0, n / len(block.items))
+        return out + mine * max(1.0, n / len(block.parts))
 
     # one pass over the passages: the eigenvectors of A'A by Nystroem's formula from Y = A'A test
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
@@ -259,7 +277,7 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
     root = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.trace(core) * np.eye(width))
     vectors = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)[0]
     block.axes = np.ascontiguousarray(vectors[:, : min(rank, width)], np.float32)
-    latent = np.zeros((len(block.items), block.axes.shape[1]), np.float32)
+    latent = np.zeros((len(block.parts), block.axes.shape[1]), np.float32)
     if len(own[3]):
         latent[own[0][own[3]]] = _times_dense(own[1], own[2], own[3], block.axes)
     block.latent = latent
@@ -322,16 +340,21 @@ class Judge:
         b = self.block
         begin, passage, term, times = _passages(first, found, terms, len(b.vocabulary))
         p, t, value, starts = _weighted(passage, term, times, b.weight)
+        sizes = np.array([len(i) for i in b.items], np.int64)
+        steps = np.maximum(1, sizes // (4 * STRIDE))
         for s in range(0, len(starts), 8192):
             e = min(s + 8192, len(starts))
             stop = starts[e] if e < len(starts) else len(t)
             z = _times_dense(t[starts[s] : stop], value[starts[s] : stop], starts[s:e] - starts[s], b.axes)
-            near, item = np.nonzero(z @ b.latent.T >= COSINE)
-            number = p[starts[s:e][near]]
+            near, part = np.nonzero(z @ b.latent.T >= COSINE)
+            number, item = p[starts[s:e][near]], b.owner[part]
             text = np.searchsorted(begin, number, side="right") - 1
-            low = first[text] + (number - begin[text]) * STRIDE
-            a = np.searchsorted(found, np.maximum(low - STRIDE, first[text]))
-            z_ = np.searchsorted(found, np.minimum(low + PASSAGE + STRIDE, first[text + 1]))
+            # of a long item's many passages in a row some are compared for all, with that much more on both sides
+            place = (number - begin[text]) // steps[item] * steps[item]
+            text, item, place = np.unique(np.column_stack([text, item, place]), axis=0).T
+            low, reach = first[text] + place * STRIDE, np.maximum(STRIDE, sizes[item])
+            a = np.searchsorted(found, np.maximum(low - reach, first[text]))
+            z_ = np.searchsorted(found, np.minimum(low + PASSAGE + (steps[item] - 1) * STRIDE + reach, first[text + 1]))
             yield from zip(text.tolist(), item.tolist(), a.tolist(), z_.tolist())
 
     def _held(self, first: np.ndarray, found: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

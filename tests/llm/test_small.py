@@ -229,6 +229,22 @@ def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
     assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == want
 
 
+def test_leaks_of_long_items(spark):
+    """Copies of items longer than the passages, word by word and with other words between."""
+    r = np.random.default_rng(8)
+    names = lambda k, n: [f"i{k}x{j}" for j in range(n)]
+    sizes = {0: 300, 1: 190, 2: 120, 3: 3000, 4: 30}
+    items = [(k, " ".join(names(k, n))) for k, n in sizes.items()]
+    loose = [w for j, x in enumerate(names(2, 120)) for w in ([x, "between"] if j % 2 else [x])]
+    rows = [(k, " ".join(r.choice(VOCABULARY, 400))) for k in range(30)]
+    filled = lambda w: " ".join([prose(90), *w, prose(90)])
+    rows += [(100, filled(names(0, 300))), (101, filled(names(1, 190))), (102, filled(loose)), (103, filled(names(3, 3000))), (104, filled(names(4, 30)))]
+    rows += [(105, filled(names(0, 300)[:140])), (106, filled(names(3, 3000)[500:1500]))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontam.leaks(d, decontam.fitted(d, spark.createDataFrame(items, "item_id bigint, text string"))).collect()
+    assert {r["doc_id"]: (r["item_ids"], r["share"]) for r in got if r["contaminated"]} == {100 + k: ([k], 1.0) for k in sizes}
+
+
 def test_common_subsequence():
     masks = {1: 0b0101, 2: 0b1010}
     assert decontam.common(masks, 4, [1, 2, 1, 2]) == 4 and decontam.common(masks, 4, [2, 9, 1]) == 2 and decontam.common(masks, 4, []) == 0
