@@ -10,15 +10,17 @@ searched for by their parts, and compared with as many words on both sides of th
 Frequent terms have no weight in that search. An item that owes them half of its length or more, as it is copied all over the table or made of common
 words, is searched for by its words themselves: every window that holds as many of them as a leak must is compared.
 
-A benchmark is a stated set of items, taken in blocks; one call takes MAX_BLOCKS of them, which bounds what is broadcast. Documents
+A benchmark is a stated set of items, taken in blocks. MAX_BLOCKS of them at a time are fitted, broadcast and searched for, which bounds what the driver
+and the workers hold; a larger benchmark takes a pass for each group, and what the passes find meets by the digests of the leaking texts. Documents
 are read without a shuffle in every pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ RANK, EXTRA = 208, 16
 PART = 128
 #: Items (parts, if they are long) of one block at most, no more than the space has dimensions, and words: term numbers fit 16 bits.
 BLOCK_ITEMS, BLOCK_WORDS = 208, 60_000
-#: Blocks that one call takes: what it broadcasts is bounded by them (about 25 MB each). Larger benchmarks are split by the caller.
+#: Blocks that one pass takes: what it broadcasts is bounded by them (about 25 MB each).
 MAX_BLOCKS = 16
 #: Terms in more than this share of the passages have no weight in the search (they count in the comparison). Items that keep less than
 #: KEPT of their squared length without them are searched for exactly.
@@ -376,17 +378,54 @@ class Judge:
                 yield from zip(text.tolist(), [i] * len(text), a.tolist(), z.tolist())
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
+def fitted(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
+    """The benchmark's blocks, each fitted when it is asked for."""
     ship(docs.sparkSession)
-    models = []
-    for b in blocks(benchmark):
-        if len(models) == MAX_BLOCKS:
-            raise ValueError(f"the benchmark has more than {MAX_BLOCKS} blocks of {BLOCK_ITEMS} items or {BLOCK_WORDS} words; split it")
-        models.append(fit(docs, b))
-    return models
+    return (fit(docs, b) for b in blocks(benchmark))
 
 
-def leaks(docs: DataFrame, models: list[Block]) -> DataFrame:
+def _groups(models: Iterable[Block]) -> Iterator[tuple[list[Block], bool]]:
+    """MAX_BLOCKS blocks at a time, and if they are the last; without blocks one empty group. No group is held while the next is made."""
+    left = iter(models)
+    group = list(islice(left, MAX_BLOCKS))
+    while group is not None:
+        after = next(left, None)
+        yield group, after is None
+        group = None
+        if after is not None:
+            group = [after, *islice(left, MAX_BLOCKS - 1)]
+
+
+_FINDINGS = "item_ids array<bigint>, share double"
+
+
+def _columns(found: list[dict[int, float]]) -> list[pa.Array]:
+    return [pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())]
+
+
+def _leaking(docs: DataFrame, groups: Iterable[tuple[list[Block], bool]]) -> DataFrame:
+    """digest (of the text), item_ids and share of every leaking text, one pass over the documents for each group of blocks."""
+    spark = docs.sparkSession
+    texts = docs.where("text IS NOT NULL").select(F.md5("text").alias("digest"), "text")
+    parts = []
+    for group, _ in groups:
+        shared = spark.sparkContext.broadcast(group)
+        del group
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            judges = [Judge(b) for b in shared.value]
+            for batch in rounds(batches):
+                found = _found(judges, batch["text"])
+                leak = pa.array([bool(x) for x in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch["digest"], *_columns(found)], ["digest", "item_ids", "share"]).filter(leak)
+
+        parts.append(stored(texts.mapInArrow(run, f"digest string, {_FINDINGS}").distinct(), "leaking"))
+        shared.destroy()
+    every = reduce(DataFrame.union, parts)
+    return every.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("share").alias("share"))
+
+
+def leaks(docs: DataFrame, models: Iterable[Block]) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and share (the largest part of an item found) for every row of `docs`.
 
     Null and empty texts are clean, and so is everything where the benchmark has no items. Repeated rows are judged one by one; other
@@ -394,24 +433,29 @@ def leaks(docs: DataFrame, models: list[Block]) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(models)  # vocabularies, axes and items of the benchmark: bounded by its blocks
+    groups = _groups(models)
+    group, last = next(groups)
+    if not last:
+        groups = chain([(group, last)], groups)
+        del group
+        found = _leaking(docs, groups)
+        rows = docs.select("doc_id", F.md5("text").alias("digest")).join(found, "digest", "left")
+        return rows.select(
+            "doc_id",
+            F.col("share").isNotNull().alias("contaminated"),
+            F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+            F.coalesce("share", F.lit(0.0)).alias("share"),
+        )
+    shared = spark.sparkContext.broadcast(group)  # vocabularies, axes and items of the benchmark: bounded by its blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges = [Judge(b) for b in shared.value]
         for batch in rounds(batches):
             found = _found(judges, batch["text"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([bool(x) for x in found]),
-                    pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
-                    pa.array([max(x.values(), default=0.0) for x in found], pa.float64()),
-                ],
-                ["doc_id", "contaminated", "item_ids", "share"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([bool(x) for x in found]), *_columns(found)], ["doc_id", "contaminated", "item_ids", "share"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, contaminated boolean, item_ids array<bigint>, share double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, contaminated boolean, {_FINDINGS}")
 
 
 def _found(judges: list[Judge], texts: pa.Array) -> list[dict[int, float]]:
@@ -423,10 +467,17 @@ def _found(judges: list[Judge], texts: pa.Array) -> list[dict[int, float]]:
     return out
 
 
-def keep_clean(docs: DataFrame, models: list[Block]) -> DataFrame:
+def keep_clean(docs: DataFrame, models: Iterable[Block]) -> DataFrame:
     """The rows of `docs` without leaks, all columns."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    groups = _groups(models)
+    group, last = next(groups)
+    if not last:
+        groups = chain([(group, last)], groups)
+        del group
+        found = _leaking(docs, groups).select("digest")
+        return docs.join(found, F.md5(docs["text"]) == found["digest"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges = [Judge(b) for b in shared.value]

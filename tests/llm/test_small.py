@@ -245,6 +245,21 @@ def test_leaks_of_long_items(spark):
     assert {r["doc_id"]: (r["item_ids"], r["share"]) for r in got if r["contaminated"]} == {100 + k: ([k], 1.0) for k in sizes}
 
 
+def test_leaks_of_more_blocks_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 1)
+    items = spark.createDataFrame([(k, " ".join(f"b{k}x{j}" for j in range(20))) for k in range(5)], "item_id bigint, text string")
+    held = lambda *ks: " ".join([prose(30), *(f"b{k}x{j}" for k in ks for j in range(20)), prose(30)])
+    both = held(4, 0)
+    d = spark.createDataFrame([(1, both), (1, both), (2, held(3)), (3, prose(90)), (None, held(1)), (5, None), (6, ""), (2, prose(90))], "doc_id bigint, text string")
+    got = decontam.leaks(d, decontam.fitted(d, items)).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"], r["item_ids"], r["share"]) for r in got) == [
+        (0, True, [1], 1.0), (1, True, [0, 4], 1.0), (1, True, [0, 4], 1.0), (2, False, [], 0.0), (2, True, [3], 1.0), (3, False, [], 0.0), (5, False, [], 0.0), (6, False, [], 0.0),
+    ]
+    clean = decontam.keep_clean(d, decontam.fitted(d, items))
+    assert clean.columns == d.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 5, 6]
+
+
 def test_common_subsequence():
     masks = {1: 0b0101, 2: 0b1010}
     assert decontam.common(masks, 4, [1, 2, 1, 2]) == 4 and decontam.common(masks, 4, [2, 9, 1]) == 2 and decontam.common(masks, 4, []) == 0
