@@ -293,7 +293,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, run: int = RUN, fr
     anchor = anchors(docs, window, run)
     shared = anchor.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low <> high").select("anchor", "n")
     hits = anchor.join(shared, "anchor").groupBy("h1").agg(F.collect_set(F.struct("anchor", "n")).alias("anchors"))
-    hits = hits.join(heads, "h1").groupBy(F.col("head").alias("doc_id")).agg(F.first("anchors").alias("anchors"))
+    hits = hits.join(heads, "h1").groupBy(F.col("head").alias("doc_id")).agg(F.flatten(F.collect_list("anchors")).alias("anchors"))  # of every text that an id heads
     hits = stored(hits, "anchors")
     cut = stretches(docs.join(hits, "doc_id").select("doc_id", "text", "anchors"), window, run, frequent)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))

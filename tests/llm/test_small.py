@@ -84,6 +84,15 @@ def test_substring_keeps_spacing(spark):
     assert got == {1: "p\nq  r " + BASE, 2: "a\tb c  d"}
 
 
+def test_substring_of_an_id_with_two_texts(spark):
+    a, b = prose(60), prose(60)
+    rows = [(1, a + " one"), (2, b + " two"), (5, "x " + a), (5, "y " + b), (7, "u " + prose(50)), (7, "v " + prose(50))]
+    rows += [(9, rows[4][1] + " z"), (9, rows[5][1] + " z")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = substring.remove_repeats(d).collect()
+    assert sorted((r["doc_id"], r["kept_text"]) for r in got if r["doc_id"] in (5, 9)) == [(5, "x"), (5, "y"), (9, "z"), (9, "z")]
+
+
 # ---- 2 ----
 
 
