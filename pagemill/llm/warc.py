@@ -163,14 +163,17 @@ class _Plain:
 
 
 class _Gzip:
-    """Bytes of an archive of gzip members. skip() past the end of a record needs no decompression if the member tells its length."""
+    """Bytes of an archive of gzip members. skip() past the end of a record needs no decompression if the member tells its length
+    and holds no other record. All records of a member have its offset."""
 
     def __init__(self, stream):
         self.raw, self.at, self.inner, self.data, self.end = _Plain(stream), 0, None, b"", None
+        self.size = self.inflated = self.unread = 0
 
     def next_record(self) -> int | None:
-        self._finish()
-        at = self.raw.at
+        if self._another():
+            return self.at
+        self.at = at = self.raw.at
         if not self.raw._fill(1):
             return None
         head = self.raw.buffer[:12] if self.raw._fill(12) else self.raw.buffer
@@ -182,28 +185,41 @@ class _Gzip:
                 while len(extra) >= 4:
                     n = struct.unpack("<H", extra[2:4])[0]
                     if extra[:2] == b"sl" and n == 8:
-                        self.end = at + struct.unpack("<I", extra[4:8])[0]
+                        total, self.size = struct.unpack("<II", extra[4:12])
+                        self.end = at + total
                     extra = extra[4 + n :]
-        self.inner, self.data = zlib.decompressobj(31), b""
+        self.inner, self.data, self.inflated, self.unread = zlib.decompressobj(31), b"", 0, 0
         return at
 
     def _more(self) -> bool:
         if self.inner is None or self.inner.eof or not self.raw._fill(1):
             return False
         chunk = self.raw.buffer[:_CHUNK]
-        self.data += self.inner.decompress(chunk)
+        more = self.inner.decompress(chunk)
+        self.data += more
+        self.inflated += len(more)
         self.raw.take(len(chunk) - len(self.inner.unused_data))
         return True
 
-    def _finish(self) -> None:
+    def _another(self) -> bool:
+        """Goes to the next record of the member, or to its end if there is none."""
         if self.inner is None:
-            return
-        if self.end is not None and self.end > self.raw.at:
+            return False
+        rest = self.size - (self.inflated - len(self.data)) - self.unread
+        if self.end is not None and self.end > self.raw.at and rest % 2**32 <= 4:  # blank lines
             self.raw.skip(self.end - self.raw.at)
         else:
-            while self._more():
-                self.data = b""
+            while True:
+                gone = min(self.unread, len(self.data))
+                self.data, self.unread = self.data[gone:], self.unread - gone
+                if not self.unread:
+                    self.data = self.data.lstrip(b"\r\n")
+                if self.data:
+                    return True
+                if not self._more():
+                    break
         self.inner = None
+        return False
 
     def until(self, mark: bytes) -> bytes:
         while (found := self.data.find(mark)) < 0:
@@ -224,7 +240,8 @@ class _Gzip:
         return whole[:n]
 
     def skip(self, n: int) -> None:
-        """The rest of the member goes unread."""
+        """The rest of the record, inflated only if another may follow in its member."""
+        self.unread = n
 
 
 def read_records(stream, compressed: bool, wanted: dict[str, frozenset], payloads: bool = True) -> Iterator[dict]:

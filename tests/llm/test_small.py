@@ -392,6 +392,19 @@ def test_warc_reader_parses_headers_before_payloads(tmp_path):
     assert [g["record_id"] for g in got] == ["<1>"] and len(got[0]["payload"]) == 50_000
 
 
+@pytest.mark.parametrize("told", [False, True])
+def test_warc_records_of_one_member(tmp_path, told):
+    import gzip
+
+    kinds = ["response", "metadata", "response", "metadata"]
+    data = b"".join(warc.record_bytes({"record_type": t, "record_id": f"<{k}>", "payload": rng.bytes(200_000) if k % 2 else b"x" * 9}) for k, t in enumerate(kinds))
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes((warc.gzip_member(data) if told else gzip.compress(data)) + warc.gzip_member(warc.record_bytes({"record_type": "metadata", "record_id": "<4>", "payload": b"y"})))
+    read = lambda wanted, payloads=True: [r["record_id"] for r in warc.read_records(open(path, "rb"), True, wanted, payloads)]
+    assert read({}) == read({}, False) == ["<0>", "<1>", "<2>", "<3>", "<4>"]
+    assert read({"record_type": frozenset(["metadata"])}) == ["<1>", "<3>", "<4>"]
+
+
 # ---- all ----
 
 
