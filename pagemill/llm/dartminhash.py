@@ -201,7 +201,7 @@ def _shingles(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are as similar as that."""
+    """The pairs (a, b) whose shingle sets are as similar as that; an id of several texts has a set for each."""
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     # sizes alone tell many pairs apart, and the intersection is computed once
     both = F.size(F.array_intersect("sa", "sb"))
@@ -240,10 +240,10 @@ def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
     share is in RARE documents or fewer, and so meets few; or their intersection has only shingles of more documents, which is too small
     for variants of one text that have many changes of their own.
     """
-    listed = placed.join(sets, "doc_id").select("doc_id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    listed = placed.join(sets, "doc_id").select("doc_id", "text", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = listed.groupBy("t").agg(F.count("*").alias("c"))
     length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    rare = listed.join(often, "t").groupBy("doc_id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
+    rare = listed.join(often, "t").groupBy("doc_id", "text", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
     held = lambda least: F.size(F.filter("s", lambda e: e["c"] > least))
     part = lambda keep: F.transform(F.filter(F.slice("s", F.lit(1), length), keep), lambda e: e["t"])
     rare = rare.select(
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     """doc_id, class_id (the smallest doc_id of its group) and copy_of (that of its exact copies) for every row of `docs`.
 
     Texts without words (null, empty, blank) are in no group: class_id is their own id. So are rows with a null doc_id, whose
-    class_id is null unless they copy another text. Rows that repeat an id share its class. Other columns are ignored.
+    class_id is null unless they copy another text. Rows that repeat an id share its class, and each of their texts is compared. Other columns are ignored.
     An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     pairs = stored(star.distinct(), "pairs")
     wanted = rows.select("doc_id").distinct()
     # by merge join at every size: the ids grow with the table, and shall not be broadcast while they are few
-    sets = stored(_shingles(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    sets = _shingles(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.collect_set("shingles").alias("s"))
+    sets = stored(sets.select("doc_id", F.posexplode("s").alias("text", "shingles")), "shingles")
     links = stored(verified(pairs, sets, threshold), "links")
     groups = components(links)
     # then the members of buckets that are in different components still

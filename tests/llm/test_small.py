@@ -335,6 +335,16 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(hits) - (0.7 if weights else 2 / 3)) < 0.03
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    rows = []
+    for k in range(6):
+        t = prose(200).split()
+        rows.append((1, " ".join(t)))
+        rows.append((10 + k, " ".join([*t[:100], "changed", *t[101:]])))
+    got = dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and {r["class_id"] for r in got} == {1}
+
+
 # ---- 9 ----
 
 
