@@ -44,6 +44,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts that the rows of one class are dealt into where they meet their class.
+SALTS = 64
+
+
+def of_classes(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Adds head, the smallest doc_id of the rows (doc_id, h1, h2) with the same two hashes, and the columns of `heads` (head, ...).
+
+    The minimum is pre-aggregated by class and part, and a class comes back once for each part that has rows of it: however large
+    a class is, no task has more than a part of it, and none is joined to `heads` more than once a part.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    least = rows.withColumn("part", part).groupBy("h1", "h2", "part").agg(F.min("doc_id").alias("head"))
+    classes = least.groupBy("h1", "h2").agg(F.min("head").alias("head"), F.collect_set("part").alias("parts"))
+    if heads is not None:
+        classes = classes.join(heads, "head", "left")
+    classes = classes.withColumn("part", F.explode("parts")).drop("parts")
+    return rows.withColumn("part", part).join(classes, ["h1", "h2", "part"], "left").drop("part")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside other lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -3,16 +3,17 @@
 Every element of a weighted set throws darts into its region, weight by rank: how many fall into a cell, and where, is hashed
 from the element and the cell alone, so equal elements throw equal darts in every document. A coordinate of the signature keeps
 its earliest dart. A document with few elements reads more rank strips, one with many reads few: the work follows the elements
-plus about K ln K + 2 K darts. Elements are shingles of five words with weight 1 (similarity is Jaccard's), or weighted
-by how often they occur (weighted Jaccard).
+plus about K ln K + 2 K darts. Elements are shingles of five words, weighted by how often the text has them; similarity is weighted
+Jaccard's, the sum of the lesser weights over that of the greater ones. Without weights it is Jaccard's.
 
 Finding the groups:
 
 1. one pass gives each document a hash of its words and BANDS band keys; equal word sequences are one class from here on,
-   represented by their smallest id, found by a pre-aggregated minimum;
+   represented by their smallest id: a pre-aggregated minimum, so that copies leave before anything is joined. Rows learn their
+   class's id in a join over salted classes;
 2. representatives meet in buckets of equal band keys. Each is compared with its bucket's pivot, the member with the most bucket
    mates: in a group of copies that is a central one, the same in most buckets;
-3. pairs are held to the exact similarity of their shingle sets;
+3. pairs are held to the exact similarity: a shingle's occurrences are numbered, and Jaccard's of the numbered ones is the weighted one;
 4. links make components by minimum labels and pointer jumping, every round written to the shared folder;
 5. documents in buckets whose members are in different components still meet where they share one of their rarest shingles, as any
    two that reach the threshold do; so no link depends on the choice of pivots.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import gram_hashes, mix, rounds, ship, stored, string_buffers, word_bounds, word_hashes
+from pagemill.llm.common import gram_hashes, mix, of_classes, rounds, ship, stored, string_buffers, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8**6)**40 = 0.999995, and two with 0.99992.
@@ -170,7 +171,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.ndarra
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
+def sketches(docs: DataFrame, weighted: bool = True) -> DataFrame:
     """doc_id, n_words, two content hashes and the band keys of every document."""
     ship(docs.sparkSession)
 
@@ -187,12 +188,24 @@ def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
-    """doc_id and its distinct shingles, hashed to 32 bits, for the exact comparison."""
+def numbered(flat: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every occurrence as an element of its own, the first being the shingle itself, and how many each text has."""
+    times = times.astype(np.int64)
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    out = np.repeat(flat, times)
+    later = turn > 0
+    out[later] = mix(out[later] + turn[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out, np.diff(np.append(0, np.cumsum(times))[np.append(0, np.cumsum(sizes))])
+
+
+def _shingles(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id and its shingles, distinct or numbered, hashed to 32 bits, for the exact comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
-            flat, sizes, *_ = shingle_sets(*string_buffers(batch["text"]))
+            flat, sizes, times, *_ = shingle_sets(*string_buffers(batch["text"]), counts=weighted)
+            if weighted:
+                flat, sizes = numbered(flat, sizes, times)
             values = pa.array((flat >> np.uint64(32)).astype(np.uint32).view(np.int32))
             at = np.append(0, np.cumsum(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(at, values)], ["doc_id", "shingles"])
@@ -236,9 +249,10 @@ def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
     """Pairs of documents (doc_id, comp) in different components that can be as similar as that.
 
     Two sets of that similarity share one of their rarest shingles: of |x| shingles in the order of their document frequency, one of
-    the first |x| - ceil(t |x|) + 1. Documents that have but a common passage in common differ in those. Either the rarest that they
-    share is in RARE documents or fewer, and so meets few; or their intersection has only shingles of more documents, which is too small
-    for variants of one text that have many changes of their own.
+    the first |x| - ceil(t |x|) + 1. Either the rarest that they share is in RARE documents or fewer, and so meets few; or their
+    intersection has only shingles of more documents, and each has at least a share t of such. The latter meet by shingle and
+    length: bands are as wide as the sizes of two similar sets can be apart. Of the documents of one shingle and band those of its largest component are
+    not compared with one another, as they are linked already: a family of variants costs its size times the number of strangers.
     """
     listed = placed.join(sets, "doc_id").select("doc_id", "text", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = listed.groupBy("t").agg(F.count("*").alias("c"))
@@ -247,34 +261,41 @@ def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
     held = lambda least: F.size(F.filter("s", lambda e: e["c"] > least))
     part = lambda keep: F.transform(F.filter(F.slice("s", F.lit(1), length), keep), lambda e: e["t"])
     rare = rare.select(
-        "doc_id", "comp", "n", held(1).alias("m1"), held(RARE).alias("m2"),
+        "doc_id", "comp", "n", F.floor(F.log("n") / math.log(1 / threshold)).cast("int").alias("band"), held(1).alias("m1"), held(RARE).alias("m2"),
         part(lambda e: (e["c"] > 1) & (e["c"] <= RARE)).alias("p1"), part(lambda e: e["c"] > RARE).alias("p2"),
     )
-
-    def meet(m: str, p: str) -> DataFrame:
-        """Each pair once, at the least of the shingles that it meets in."""
-        rows = rare.where(F.size(p) > 0).select("doc_id", "comp", "n", m, p, F.explode(p).alias("t"))
-        x, y = (rows.select(*[F.col(c).alias(a + s) for c, a in (("doc_id", ""), ("comp", "c"), ("n", "n"), (m, "m"), (p, "p"))], "t") for s in "ab")
-        enough = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
-        once = F.array_min(F.array_intersect("pa", "pb")) == F.col("t")
-        return x.join(y, "t").where(F.expr("a < b AND ca <> cb") & enough & once).select("a", "b")
-
-    return meet("m1", "p1").union(meet("m2", "p2")).distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    rare = stored(rare, "prefixes")
+    columns = lambda rows, s, m, p, *more: rows.select(*[F.col(c).alias(a + s) for c, a in (("doc_id", ""), ("comp", "c"), ("n", "n"), (m, "m"), (p, "p"))], *more)
+    apart = (F.col("ca") != F.col("cb")) & (F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
+    once = F.array_min(F.array_intersect("pa", "pb")) == F.col("t")  # each pair at the least of the shingles that it meets in
+    few = rare.where(F.size("p1") > 0).withColumn("t", F.explode("p1"))
+    few = columns(few, "a", "m1", "p1", "t").join(columns(few, "b", "m1", "p1", "t"), "t").where(F.expr("a < b") & apart & once).select("a", "b")
+    many = rare.where((F.size("p2") > 0) & (F.col("m2") >= threshold * F.col("n") - 1e-9)).withColumn("t", F.explode("p2"))
+    own = many.withColumn("cell", F.col("band"))
+    near = stored(many.withColumn("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))), "cells")
+    families = near.groupBy("t", "cell", "comp").agg(F.count("*").alias("size")).groupBy("t", "cell")
+    families = families.agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("families")).where("families > 1").drop("families")
+    own, near = own.join(families, ["t", "cell"]), near.join(families, ["t", "cell"])
+    # a pair meets in the cell of its smaller id, where one of the two is no member of the largest component
+    x, y = (lambda w: columns(own.where(w), "a", "m2", "p2", "t", "cell")), (lambda w: columns(near.where(w), "b", "m2", "p2", "t", "cell"))
+    met = [x("comp <> largest").join(y("true"), ["t", "cell"]), x("comp = largest").join(y("comp <> largest"), ["t", "cell"])]
+    strangers, others = (m.where(F.expr("a < b") & apart & once).select("a", "b") for m in met)
+    return few.union(strangers).union(others).distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its group) and copy_of (that of its exact copies) for every row of `docs`.
 
     Texts without words (null, empty, blank) are in no group: class_id is their own id. So are rows with a null doc_id, whose
-    class_id is null unless they copy another text. Rows that repeat an id share its class, and each of their texts is compared. Other columns are ignored.
-    An empty table gives an empty one.
+    class_id is null unless they copy another text. Rows that repeat an id share its class, and each of their texts is compared. Texts
+    exactly as similar as the threshold are linked. Other columns are ignored. An empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seen = stored(sketches(docs, weighted), "sketches")
-    first = seen.where("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"))
-    member = seen.join(first, ["h1", "h2"], "left").select("doc_id", F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"), "n_words", "bands")
-    member = stored(member, "members")
-    heads = member.where("n_words > 0 AND doc_id = copy_of").select("doc_id", "bands")
+    texts = seen.where("n_words > 0")
+    # equal texts have equal bands; the copies of a task leave before the shuffle
+    heads = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")).where("doc_id IS NOT NULL")
+    heads = stored(heads.select("doc_id", "bands"), "heads")
     rows = heads.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared, "key"), "buckets")
@@ -285,8 +306,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     star = rows.join(pivots, "key").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
     pairs = stored(star.distinct(), "pairs")
     wanted = rows.select("doc_id").distinct()
-    # by merge join at every size: the ids grow with the table, and shall not be broadcast while they are few
-    sets = _shingles(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.collect_set("shingles").alias("s"))
+    # no broadcast of the ids, whose number grows with the table
+    sets = _shingles(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), weighted).groupBy("doc_id").agg(F.collect_set("shingles").alias("s"))
     sets = stored(sets.select("doc_id", F.posexplode("s").alias("text", "shingles")), "shingles")
     links = stored(verified(pairs, sets, threshold), "links")
     groups = components(links)
@@ -299,9 +320,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: boo
     more = stored(verified(rest, sets, threshold), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
-    return member.join(groups.select(F.col("doc_id").alias("copy_of"), "comp"), "copy_of", "left").select(
-        "doc_id", F.coalesce("comp", "copy_of").alias("class_id"), "copy_of"
-    )
+    copies = of_classes(texts.select("doc_id", "h1", "h2"), groups.select(F.col("doc_id").alias("head"), "comp"))
+    plain = seen.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
+    return copies.select("doc_id", F.coalesce("comp", "head").alias("class_id"), F.col("head").alias("copy_of")).unionByName(plain)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

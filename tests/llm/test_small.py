@@ -277,12 +277,14 @@ def test_common_subsequence():
 # ---- 8 ----
 
 
-def brute_classes(rows, threshold=0.8):
+def brute_classes(rows, threshold=0.8, weighted=True):
+    """Components of exhaustive (weighted) Jaccard similarity: a shingle's occurrences are elements of their own."""
     sets = {}
     for i, t in rows:
         w = words(t)
         if w and i is not None:
-            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            grams = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            sets[i] = frozenset((g, k) for g, n in grams.items() for k in range(n if weighted else 1))
     parent = {i: i for i in sets}
 
     def find(x):
@@ -293,15 +295,18 @@ def brute_classes(rows, threshold=0.8):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
+            if min(len(sets[a]), len(sets[b])) < threshold * max(len(sets[a]), len(sets[b])):
+                continue
             if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {i: find(i) for i in sets}
 
 
-def test_near_duplicates(docs):
-    got = dartminhash.near_duplicates(docs).collect()
-    want = brute_classes([(r[0], r[1]) for r in ROWS])
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_duplicates(docs, weighted):
+    got = dartminhash.near_duplicates(docs, weighted=weighted).collect()
+    want = brute_classes([(r[0], r[1]) for r in ROWS], weighted=weighted)
     assert len(got) == len(ROWS)
     for r in got:
         if r["doc_id"] is None:
@@ -324,6 +329,38 @@ def test_near_duplicate_families(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_are_weighted(spark):
+    """Texts of the same shingles are alike only if they have them about as often."""
+    line = prose(12)
+    rows = [(1, " ".join([line] * 10)), (2, " ".join([line] * 9)), (3, " ".join([line] * 4)), (4, line), (5, " ".join([line] * 1000)), (6, " ".join([line] * 999))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert by_id(dartminhash.near_duplicates(d), "class_id") == brute_classes(rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert by_id(dartminhash.near_duplicates(d, weighted=False), "class_id") == brute_classes(rows, weighted=False)
+
+
+def test_strangers_of_families_meet(spark, monkeypatch):
+    """With one pivot a bucket at most and no rare shingles, links between components come from the frequent ones alone."""
+    monkeypatch.setattr(dartminhash, "RARE", 1)
+    sets, rows = [], []
+    for family in range(4):
+        base = [f"f{family}x{j}" for j in range(100)]
+        for k in range(8):
+            rows.append((family * 100 + k, 0, family if k < 6 else family * 100 + k, [hash((w, 7)) % 2**31 for w in base[: 100 - k]]))
+    placed = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, comp bigint")
+    sets = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id bigint, text int, shingles array<int>")
+    got = {(r["a"], r["b"]) for r in dartminhash._prefix_pairs(placed, sets, 0.8).collect()}
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[2] != y[2] and len(set(x[3]) & set(y[3])) >= 0.8 * len(set(x[3]) | set(y[3]))}
+    assert want and want <= got and all(a < b for a, b in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_near_duplicates_of_a_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = by_id(dartminhash.query(spark, "/root/testdata/sf0.01"), "class_id")
+    want = brute_classes(rows)
+    assert {i: c for i, c in got.items() if i in want} == want
+
+
 def test_signatures_estimate_similarity():
     for weights in (None, True):
         hits = []
