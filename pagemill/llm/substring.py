@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import gram_hashes, mix, rounds, ship, stored, string_buffers, word_bounds, word_hashes
+from pagemill.llm.common import gram_hashes, mix, of_classes, rounds, ship, stored, string_buffers, word_bounds, word_hashes
 from pagemill.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -289,7 +289,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, run: int = RUN, fr
     seen = stored(texts(docs), "texts").where(F.col("n_words") >= window)
     heads = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("head"))
     heads = stored(heads, "heads")
-    copies = seen.join(heads, ["h1", "h2"]).where("doc_id > head").select("doc_id", "h1", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("stop"))
+    copies = of_classes(seen).where("doc_id > head").select("doc_id", "h1", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("stop"))
     anchor = anchors(docs, window, run)
     shared = anchor.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low <> high").select("anchor", "n")
     hits = anchor.join(shared, "anchor").groupBy("h1").agg(F.collect_set(F.struct("anchor", "n")).alias("anchors"))
