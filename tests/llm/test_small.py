@@ -137,16 +137,91 @@ def test_bpe_equals_the_library(docs):
 def test_urls(spark):
     urls = [
         "http://A.example.net/en/1", "http://a.example.net/de/1", "https://x.example.com/de/2?q", "https://x.example.org/fr/1", "https://free-bets.example.com/en/1", "https://cheappills.example.com/en/1",
-        "https://www.myblog.example.com/en/", None, "nothing", "http://h", "http://net?x/", "http://net/", "http://cabinet/x", "a://b://c/d",
+        "https://www.myblog.example.com/en/", None, "nothing", "http://h", "http://net?x/", "http://net/", "http://cabinet/x", "a://b://c/d", "http://" + "ab" * 20_000 + ".com/" + "x" * 50_000, "http://h", "http://credit" + "union.org/",
     ]
-    d = spark.createDataFrame([(k, u, "w") for k, u in enumerate(urls)], "page_id bigint, url string, words string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(d).collect()}
+    d = spark.createDataFrame([(k, u, "w", "z", 1) for k, u in enumerate(urls)] + [(None, "http://net/", None, None, None), (9, "http://h", "w", "z", 1)], "page_id bigint, url string, words string, host string, log_odds int")
+    rows = urlfilter.filter_urls(d).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+    assert len(rows) == len(urls) + 2 and got[None] == got[11]
     assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == ("net/", "block")
     assert got[2] == ("x.example.com", "/de/2", "example.com/de/", "block") and got[3][2:] == ("org/fr/", "allow")
     assert got[4][2:] == (None, "block") and got[5][2:] == (None, "block") and got[6][2:] == (None, "allow")
-    assert got[7] == got[8] == ("", "", None, "allow") and got[9][:3] == ("h", "", None) and got[10][:3] == ("net", "", None)
+    assert got[7] == got[8] == ("", "", None, "allow") and got[9] == got[15] == ("h", "", None, "allow") and got[10][:3] == ("net", "", None)
     assert got[11][2:] == ("net/", "block") and got[12][2] is None and got[13][:2] == ("b:", "//c/d")
-    assert urlfilter.Model({}).split("cheappillsonline")[:2] == ("cheap", "pills")
+    assert got[14][1:] == ("/" + "x" * 50_000, None, "allow") and got[16][2:] == (None, "allow")
+
+
+def test_url_rules_of_equal_length(spark):
+    d = spark.createDataFrame([(1, "http://a.bc/de/f")], "page_id bigint, url string")
+    for rules in ([("allow", "a.bc/d"), ("block", "bc/de/")], [("block", "bc/de/"), ("allow", "a.bc/d")]):
+        assert [r["verdict"] for r in urlfilter.filter_urls(d, rules).collect()] == [rules[0][0]]
+
+
+def brute_split(model, label):
+    """The cheapest of all splits into parts that are known, or unknown and not side by side."""
+    if label in model.lexicon:
+        return 0.0
+    best = {}
+
+    def cheapest(i, open_):
+        if i == len(label):
+            return 0.0
+        if (i, open_) not in best:
+            costs = []
+            for j in range(i + 1, len(label) + 1):
+                if label[i:j] in model.cost:
+                    costs.append(model.cost[label[i:j]] + cheapest(j, True))
+                if open_:
+                    costs.append(urlfilter.UNKNOWN_BASE + urlfilter.UNKNOWN_LETTER * (j - i) + cheapest(j, False))
+            best[i, open_] = min(costs, default=float("inf"))
+        return best[i, open_]
+
+    return cheapest(0, True)
+
+
+def test_url_words_equal_brute_force():
+    model = urlfilter.Model({"shop": 9, "tion": 40, "cheappills": 50, "ing": 30, "es": 999, "news": 5})
+    assert "es" not in model.cost and "cheappills" not in model.cost and "tion" in model.cost
+    pieces = [*sorted(model.cost), "xq", "zzz", "a"]
+    for _ in range(300):
+        label = "".join(rng.choice(pieces, rng.integers(1, 5)))
+        parts = model.split(label)
+        assert "".join(parts) == label
+        cost = 0.0 if label in model.lexicon else sum(model.cost.get(p, urlfilter.UNKNOWN_BASE + urlfilter.UNKNOWN_LETTER * len(p)) for p in parts)
+        assert abs(cost - brute_split(model, label)) < 1e-9
+    assert model.split("cheappillsonline") == ("cheap", "pills", "online") and model.split("essexuniversity") == ("essex", "university")
+
+
+def test_url_verdicts_equal_plain_naive_bayes():
+    model = urlfilter.Model({})
+    words = {k: [w for a in v.split() for w in a.split("-")] for k, v in urlfilter.ADDRESSES.items()}
+    vocabulary = set(words["block"]) | set(words["allow"])
+    for host in ("casino-win.com", "creditunion.org", "free.software.book", "unheard.of"):
+        got, found = model.log_odds(host, "/Poker/1")
+        want = np.log(len(urlfilter.ADDRESSES["block"].split()) / len(urlfilter.ADDRESSES["allow"].split()))
+        for w in found:
+            if w in vocabulary:
+                a, b = ((words[k].count(w) + 1) / (len(words[k]) + len(vocabulary)) for k in ("block", "allow"))
+                want += np.log(a) - np.log(b)
+        assert abs(got - want) < 1e-9
+
+
+def test_held_out_addresses():
+    """Ten folds: each address, its words joined, is judged by a model of the other nine tenths."""
+    listed = [(a, k) for k, v in urlfilter.ADDRESSES.items() for a in v.split()]
+    order = np.random.default_rng(1).permutation(len(listed))
+    wrong = 0
+    for fold in range(10):
+        model = urlfilter.Model({}, {k: [listed[i][0] for n, i in enumerate(order) if n % 10 != fold and listed[i][1] == k] for k in urlfilter.ADDRESSES})
+        for i in order[fold::10]:
+            wrong += (model.log_odds(listed[i][0].replace("-", "") + ".com", "/")[0] > 0) != (listed[i][1] == "block")
+    assert wrong <= 0.15 * len(listed), wrong
+
+
+def test_url_words_are_counted_by_hosts(spark):
+    urls = ["http://a.shop.com/news/x", "http://b.shop.com/zebra", "http://b.shop.com/zebra/zebra"] + ["http://c.org/hot"] * 50 + ["http://d.org/zebra/Ab/ab"]
+    got = urlfilter.word_counts(spark.createDataFrame([(u,) for u in urls], "url string"))
+    assert got["zebra"] == 2 and got["shop"] == 2 and got["hot"] == 1 and got["org"] == 2 and "ab" not in got and "a" not in got
 
 
 # ---- 5 ----
