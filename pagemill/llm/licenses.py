@@ -1,18 +1,22 @@
 """License scans [native]: TF-IDF cosines of notices and licence files to templates, then inheritance from directories.
 
-Units are the notice lines of every file (lines with a cue) and the whole texts of licence files, by their names. Equal units are one
+Units are the notice lines of every file (lines with a cue) and the whole texts of licence files, by their names. They are found in
+one pass over the texts and written. Equal units are one
 row with a number from the first shuffle on, so that a notice which a third of all files carry is compared once. Terms,
-document frequencies and dot products are grouped sums; the templates are a short list. A file without a notice of its own
-inherits from its nearest ancestor directory with a licence: distinct directories are exploded into their ancestors and
-joined by path.
+document frequencies and dot products are grouped sums. Templates are a short list of notices, and for licence files whole licences too.
+A file without a notice of its own inherits from its nearest ancestor directory with a licence: distinct directories are
+exploded into their ancestors and joined by path. Where rows meet their unit or directory, both are dealt into parts.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import NOT_WORD
+from pagemill.llm.common import NOT_WORD, SALTS, stored
 
 #: Names and usual notices of licences.
 TEMPLATES = (
@@ -35,8 +39,8 @@ TEMPLATES = (
 )
 CUES = r"licen[cs]e|copyright|spdx|permission is hereby|redistribut|all rights reserved|public domain"
 LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
-#: Least cosine of a match; a file of whose words a notice has this share is a licence file too.
-COSINE, FILE_SHARE = 0.75, 0.3
+#: Least cosine of a match with a notice and with a whole licence; a file of whose words a notice has this share is a licence file too.
+COSINE, TEXT_COSINE, FILE_SHARE = 0.75, 0.85, 0.3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,56 +52,83 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def scan_licenses(files: DataFrame, templates=TEMPLATES, cosine: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
-    """One row per row of `files` (doc_id, path, text): own_license and score (of its best notice), license and inherited_from.
+@cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """Names and whole texts of public licences: license_texts/README.md tells where they are from."""
+    return tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
-    Null and empty texts have no notice and may inherit; a null path has no directory and inherits nothing. Ties: the higher score,
-    then the name that sorts first; of a directory's licence files the licence that most have, then the name. Repeated rows are judged alike;
-    other columns are ignored; an empty table gives an empty one.
-    """
-    spark = files.sparkSession
-    text = F.coalesce("text", F.lit(""))
+
+def _part(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def _units(files: DataFrame) -> DataFrame:
+    """doc_id, path, n (words of the file), named (a licence file), unit, size (words of the unit) and key, its digest."""
     named = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1).rlike(LICENSE_NAMES)
     lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, _UPPER, _LOWER).rlike(CUES))
     # most texts have no cue at all: one search over the whole text comes before any line is looked at
     cued = F.translate("_t", _UPPER, _LOWER).rlike(CUES)
-    units = F.when(F.col("_named"), F.array("_t")).when(cued, lines).otherwise(F.array().cast("array<string>"))
-    base = files.select("doc_id", "path", text.alias("_t"), named.alias("_named")).select("doc_id", "path", "_named", units.alias("units"), "_t")
-    held = base.where(F.size("units") > 0).select("doc_id", "path", "_named", F.size(F.array_remove(F.split("_t", NOT_WORD), "")).alias("n"), "units")
-    found = held.select("doc_id", "path", "_named", "n", F.explode("units").alias("unit"))
-    distinct = found.groupBy("unit").agg(F.count("*").alias("times"))
-    terms = distinct.select("unit", "times", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "times", "term").agg(F.count("*").alias("tf"))
+    units = F.when(F.col("named"), F.array("_t")).when(cued, lines).otherwise(F.array().cast("array<string>"))
+    words = lambda c: F.size(F.array_remove(F.split(c, NOT_WORD), ""))
+    base = files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("_t"), named.alias("named")).select("doc_id", "path", "named", units.alias("units"), "_t")
+    held = base.where(F.size("units") > 0).select("doc_id", "path", "named", words("_t").alias("n"), F.explode("units").alias("unit"))
+    return held.select("*", words("unit").alias("size"), F.md5("unit").alias("key"), _part("doc_id", "path").alias("part"))
+
+
+def scan_licenses(
+    files: DataFrame, templates=TEMPLATES, texts: tuple[tuple[str, str], ...] | None = None, cosine: float = COSINE, text_cosine: float = TEXT_COSINE, file_share: float = FILE_SHARE
+) -> DataFrame:
+    """One row per row of `files` (doc_id, path, text): own_license and score (of its best notice), license and inherited_from.
+
+    Null and empty texts have no notice and may inherit; a null path has no directory and inherits nothing. Ties: the higher score,
+    then the name that sorts first; of a directory's licence files the licence that most have, then the name. Repeated rows are judged alike,
+    rows of one doc_id and path by the notices of all of them; texts of any length are read as a whole; other columns are ignored; an
+    empty table gives an empty one.
+    """
+    spark = files.sparkSession
+    found = stored(_units(files), "units")
+    # a unit's rows are counted by parts first, and it comes back to each part that has some
+    distinct = found.groupBy("key", "named", "part").agg(F.any_value("unit").alias("unit"), F.count("*").alias("times"))
+    distinct = distinct.groupBy("key", "named").agg(F.any_value("unit").alias("unit"), F.sum("times").alias("times"), F.collect_set("part").alias("parts"))
+    distinct = stored(distinct, "distinct")
+    frequency = lambda c: 1 + F.log(c)
+    terms = distinct.select("key", "named", "times", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "named", "times", "term").agg(frequency(F.count("*")).alias("tf"))
     total = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("total"))
-    wanted = spark.createDataFrame([(k, name, body) for k, (name, body) in enumerate(templates)], "t int, name string, body string")
-    wanted = wanted.select("t", "name", F.explode(_terms(F.col("body"))).alias("term")).groupBy("t", "name", "term").agg(F.count("*").alias("ttf"))
+    listed = [(name, body, False) for name, body in templates] + [(name, body, True) for name, body in (whole_texts() if texts is None else texts)]
+    wanted = spark.createDataFrame([(k, *row) for k, row in enumerate(listed)], "t int, name string, body string, whole boolean")
+    wanted = wanted.select("t", "name", "whole", F.explode(_terms(F.col("body"))).alias("term")).groupBy("t", "name", "whole", "term").agg(frequency(F.count("*")).alias("ttf"))
     df = terms.groupBy("term").agg(F.sum("times").alias("df"))
     idf = lambda d: F.log((1 + F.col("total")) / (1 + F.coalesce(d, F.lit(0)))) + 1
     one = F.broadcast(total)  # one row
-    weighted = wanted.join(df, "term", "left").crossJoin(one).select("t", "name", "term", (F.col("ttf") * idf(F.col("df"))).alias("tw"))
-    lengths = weighted.groupBy("t", "name").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    query_terms = terms.join(df, "term").crossJoin(one).select("unit", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
-    norms = query_terms.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    dots = query_terms.join(F.broadcast(weighted), "term").groupBy("unit", "t", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, "unit").join(F.broadcast(lengths.drop("name")), "t").select("unit", "name", F.round(F.col("dot") / (F.col("n") * F.col("tn")), 6).alias("score"))
-    best = scored.where(F.col("score") >= cosine).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("best"))
-    own = found.join(best, "unit").select("doc_id", "path", "_named", "n", "best", F.size(F.array_remove(F.split("unit", NOT_WORD), "")).alias("size"))
-    own = own.groupBy("doc_id", "path").agg(
-        F.min("best").alias("best"), F.max(F.col("_named") | (F.col("size") >= file_share * F.col("n"))).alias("declares")
+    weighted = wanted.join(df, "term", "left").crossJoin(one).select("t", "name", "whole", "term", (F.col("ttf") * idf(F.col("df"))).alias("tw"))
+    lengths = weighted.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
+    query_terms = terms.join(df, "term").crossJoin(one).select("key", "named", "term", (F.col("tf") * idf(F.col("df"))).alias("w"))
+    norms = query_terms.groupBy("key", "named").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    # the templates are as many as the caller gives; whole licences are for licence files alone
+    dots = query_terms.join(F.broadcast(weighted), "term").where("named OR NOT whole").groupBy("key", "named", "t", "name", "whole").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    score = F.round(F.col("dot") / (F.col("n") * F.col("tn")), 6)
+    scored = dots.join(norms, ["key", "named"]).join(F.broadcast(lengths), "t").select("key", "named", "name", "whole", score.alias("score"))
+    best = scored.where(F.col("score") >= F.when(F.col("whole"), text_cosine).otherwise(cosine)).groupBy("key", "named").agg(F.min(F.struct((-F.col("score")).alias("minus"), "name")).alias("best"))
+    best = best.join(distinct.select("key", "named", "parts"), ["key", "named"]).select("key", "named", "best", F.explode("parts").alias("part"))
+    own = found.join(best, ["key", "named", "part"]).groupBy("doc_id", "path").agg(
+        F.min("best").alias("best"), F.max(F.col("named") | (F.col("size") >= file_share * F.col("n"))).alias("declares")
     )
+    own = stored(own, "own")
     directory = own.where(F.col("declares") & F.col("path").isNotNull()).groupBy(_directory(F.col("path")).alias("dir"), F.col("best.name").alias("name")).count()
     licensed = directory.groupBy("dir").agg(F.min(F.struct((-F.col("count")).alias("minus"), "name")).alias("l")).select(F.col("dir").alias("up"), F.col("l.name").alias("name"))
-    folders = files.where("path IS NOT NULL").select(_directory(F.col("path")).alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    rows = files.select("doc_id", "path", _directory(F.col("path")).alias("dir"), _part("doc_id", "path").alias("part"))
+    folders = rows.where("path IS NOT NULL").select("dir", "part").distinct().groupBy("dir").agg(F.collect_set("part").alias("parts"))
+    names = F.split("dir", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))
     near = (
-        folders.select("dir", F.explode(F.array_distinct(ups)).alias("up"))
+        folders.select("dir", "parts", F.explode(F.array_distinct(ups)).alias("up"))
         .join(licensed, "up")
         .groupBy("dir")
-        .agg(F.max_by(F.struct("up", "name"), F.length("up")).alias("near"))
+        .agg(F.max_by(F.struct("up", "name"), F.length("up")).alias("near"), F.any_value("parts").alias("parts"))
+        .select("dir", "near", F.explode("parts").alias("part"))
     )
-    rows = files.select("doc_id", "path", _directory(F.col("path")).alias("dir"))
     mine = own.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), "best")
-    out = rows.join(mine, rows["doc_id"].eqNullSafe(mine["_d"]) & rows["path"].eqNullSafe(mine["_p"]), "left").join(near, "dir", "left")
+    out = rows.join(mine, rows["doc_id"].eqNullSafe(mine["_d"]) & rows["path"].eqNullSafe(mine["_p"]), "left").join(near, ["dir", "part"], "left")
     return out.select(
         "doc_id",
         "path",
@@ -118,6 +149,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The table's paths name no licence files, so the whole licences have no part in it."""
     quoted = ", ".join("({}, '{}', '{}')".format(k, n, b.replace("'", "''")) for k, (n, b) in enumerate(TEMPLATES))
     low = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
     word = r"[^\x20\x09-\x0D]+"
@@ -128,9 +160,9 @@ l AS (SELECT doc_id, path, len(regexp_extract_all(t, '{word}')) n, unnest(string
 u AS (SELECT * FROM l WHERE regexp_matches({low.format("unit")}, '{CUES}')),
 d AS (SELECT unit, count(*) times FROM u GROUP BY unit),
 q0 AS (SELECT unit, times, unnest(regexp_extract_all({low.format("unit")}, '[a-z0-9]+')) term FROM d),
-q AS (SELECT unit, times, term, count(*) tf FROM q0 GROUP BY ALL),
+q AS (SELECT unit, times, term, 1 + ln(count(*)) tf FROM q0 GROUP BY ALL),
 w0 AS (SELECT t, name, unnest(regexp_extract_all({low.format("body")}, '[a-z0-9]+')) term FROM tp),
-w AS (SELECT t, name, term, count(*) ttf FROM w0 GROUP BY ALL),
+w AS (SELECT t, name, term, 1 + ln(count(*)) ttf FROM w0 GROUP BY ALL),
 df AS (SELECT term, sum(times) df FROM q GROUP BY term),
 n AS (SELECT coalesce(sum(times), 0) total FROM d),
 tw AS (SELECT t, name, term, ttf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) tw FROM w LEFT JOIN df USING (term), n),

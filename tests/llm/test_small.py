@@ -111,6 +111,35 @@ def test_licenses(spark):
     }
 
 
+def test_whole_licence_files(spark):
+    """Licence files as projects have them: with a year and a holder, wrapped anew, with something added; and none that are prose."""
+    texts = dict(licenses.whole_texts())
+    mine = {k: t.replace("<year>", "2019").replace("<copyright holders>", "Ada Example") for k, t in texts.items()}
+    rows = [(k, f"{n}/LICENSE", t) for k, (n, t) in enumerate(mine.items())]
+    rows += [(100 + k, f"{n}/src/deep/a.py", "x = 1") for k, n in enumerate(mine)]
+    rows += [
+        (200, "w/COPYING.txt", " ".join(mine["Apache-2.0"].split())), (201, "w/a.py", None), (202, "p/LICENSE", prose(900)), (203, "p/a.py", ""), (204, "m/license.md", "My project\n\n" + mine["MIT"] + "\nThanks to all."), (205, "m/a/b.py", "y"),
+        (206, "q/LICENSE", prose(100_000)), (207, "q/notes.txt", mine["GPL-3.0"]), (208, "v/NOTICE", mine["MIT"]), (208, "v/NOTICE", mine["MIT"]),
+    ]
+    d = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    for c in ("unit", "key", "part", "named", "dir", "name", "best"):
+        d = d.withColumn(c, F.lit(1))
+    got = licenses.scan_licenses(d).collect()
+    found = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"]) for r in got}
+    assert len(got) == len(rows)
+    for k, n in enumerate(mine):
+        assert found[k] == (n, n, None) and found[100 + k] == (None, n, n)
+    assert found[200][0] == "Apache-2.0" and found[201] == (None, "Apache-2.0", "w") and found[202] == found[206] == (None, None, None) and found[203][1] is None
+    assert found[204][0] == "MIT" and found[205] == (None, "MIT", "m") and found[208] == ("MIT", "MIT", None)
+
+
+def test_licence_ties(spark):
+    """Two licences equally often in a directory: the name that sorts first; a notice that two templates fit alike: the same."""
+    d = spark.createDataFrame([(1, "a/LICENSE", "one two"), (2, "a/COPYING", "three four"), (3, "a/x", "code"), (4, "b/LICENSE", "five six")], "doc_id bigint, path string, text string")
+    got = licenses.scan_licenses(d, templates=(("Z", "one two"), ("B", "three four"), ("N", "five six"), ("M", "six five")), texts=()).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {1: "Z", 2: "B", 3: "B", 4: "M"}
+
+
 # ---- 3 ----
 
 
