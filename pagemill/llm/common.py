@@ -2,48 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The repository, for the import path of Python workers that did not inherit it.
-ROOT = str(Path(__file__).resolve().parents[2])
+from pagemill.session import shared_folder, ship, stored  # noqa: F401
+
 #: Words are runs of other characters than these, in Java's and DuckDB's regular expressions.
 NOT_WORD = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one numpy round takes; a single longer text is a round of its own.
 ROUND_BYTES = 3 << 19
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the folder of spark.checkpoint.dir, or under a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and returns what was written: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Parts that the rows of one class are dealt into where they meet their class.
 SALTS = 64
 

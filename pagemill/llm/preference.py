@@ -82,7 +82,7 @@ def text_features(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     line_end = np.flatnonzero(data == 10)
     stopped = np.zeros(n)
     if len(line_end):
-        good = line_end[(line_end > 0)]
+        good = line_end[~np.isin(line_end, ends[:-1])]  # a text's first byte has none before it
         good = good[_STOP[data[good - 1]]]
         stopped = np.bincount(np.searchsorted(ends, good, side="right") - 1, minlength=n)[:n].astype(float)
     closing = np.zeros(n)
