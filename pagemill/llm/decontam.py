@@ -2,8 +2,8 @@
 
 Documents are cut into passages of PASSAGE words, each overlapping the next by half. Passages and benchmark items are TF-IDF vectors over the
 items' words (bounded by the benchmark; document frequencies count all passages). A distributed randomised SVD of the passage
-matrix gives a latent space: every task adds up its share of A'A times a thin matrix, the shares are summed by Spark, and only
-matrices of the vocabulary's size reach the driver. Passages whose cosine to an item reaches COSINE are its candidates. Those are
+matrix gives a latent space: each of a bounded number of tasks adds up its share of A'A times a thin matrix, the shares are summed by
+Spark, and only matrices of the vocabulary's size reach the driver. Passages whose cosine to an item reaches COSINE are its candidates. Those are
 confirmed by the longest common subsequence of words, and in doubt by the item's answer (its last sentence) being there too. Long items are
 searched for by their parts, and compared with as many words on both sides of the passage as the item has.
 
@@ -37,6 +37,8 @@ PART = 128
 BLOCK_ITEMS, BLOCK_WORDS = 208, 60_000
 #: Blocks that one pass takes: what it broadcasts is bounded by them (about 25 MB each).
 MAX_BLOCKS = 16
+#: Tasks that add up matrices of the vocabulary's size, at most: what they shuffle does not grow with the table.
+PARTIALS = 4096
 #: Terms in more than this share of the passages have no weight in the search (they count in the comparison). Items that keep less than
 #: KEPT of their squared length without them are searched for exactly.
 MAX_SHARE, KEPT = 0.02, 0.5
@@ -214,7 +216,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], v: int):
 def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Block:
     """Term weights from all passages, then the latent space: a randomised range finder and the eigenvectors inside it."""
     v = len(block.vocabulary)
-    table = stored(_term_table(docs, block), "terms")
+    table = stored(_term_table(docs, block), "terms").coalesce(PARTIALS)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((v + 1, 1))
