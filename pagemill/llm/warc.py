@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from pagemill.llm.common import shared_folder, ship
+from pagemill.llm.common import SALTS, shared_folder, ship
 
 SCHEMA = (
     "path string, offset bigint, record_type string, record_id string, target_uri string, date string, payload_digest string, "
@@ -404,19 +404,21 @@ REVISIT_BYTES = 100
 def page_records(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     """A record per page; of equal payloads of min_bytes or more the smallest page_id has the response.
 
-    The digests of repeated payloads are counted first (pre-aggregated where they are read) and only those are joined back, so
-    that a payload which a third of the pages share is split by the adaptive join, and never gathered. Null html is an empty
-    payload. Rows that repeat a page_id too are all responses. Other columns are ignored.
+    The digests of repeated payloads are counted first (pre-aggregated where they are read), by parts that the pages are dealt into,
+    and only those are joined back, to each part that has them: a payload which a third of the pages share is never gathered. Null
+    html is an empty payload. Rows that repeat a page_id too are all responses, and so are rows with a null page_id; a payload has less than 2 GiB, as
+    any Spark value. Other columns are ignored; an empty table gives an empty one.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    p = pages.select("page_id", F.col("url").alias("target_uri"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    p = pages.select("page_id", F.col("url").alias("target_uri"), body.alias("payload"), part.alias("_p")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= min_bytes
-    first = (
-        p.where(large).groupBy(F.col("digest").alias("_d")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    )
+    first = p.where(large).groupBy(F.col("digest").alias("_d"), "_p").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    first = first.groupBy("_d").agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"), F.collect_set("_p").alias("_ps")).where("_n > 1")
+    first = first.select("_d", "_first", F.explode("_ps").alias("_q"))
     again = F.col("_first").isNotNull() & (F.col("page_id") != F.col("_first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    return p.join(first, F.col("digest") == F.col("_d"), "left").select(
+    return p.join(first, (F.col("digest") == F.col("_d")) & (F.col("_p") == F.col("_q")), "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         urn("page_id").alias("record_id"),
         "target_uri",

@@ -273,6 +273,61 @@ def test_quality_learns_only_from_its_part(spark):
     assert preference.train(d, y.where("quality = 1")).score(np.zeros((1, len(preference.FEATURES))))[0] == 0.5
 
 
+def plain_features(text):
+    """The classifier's features letter by letter."""
+    t = text or ""
+    b, w = t.encode(), [x.encode() for x in words(t)]
+    share = lambda letters: sum(c in letters for c in b)
+    some, lines = max(len(w), 1), t.count("\n") + 1
+    stopped = sum(x.endswith((".", "!", "?")) for x in t.split("\n"))
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / some, share(range(0x41, 0x5B)) / max(len(b), 1), share(b"0123456789") / max(len(b), 1), share(b"#*$%&|<>@^~=+_\\{}[]") / some,
+        share(b".!?") / some, share(b",;:") / some, share(range(0x80, 0x100)) / max(len(b), 1), np.log1p(len(w) / lines), len(set(w)) / some, sum(x == y for x, y in zip(w, w[1:])) / some,
+        sum(x[-1] in b"#*$%&|<>@^~=+_\\{}[]" for x in w) / some, sum(0x41 <= x[0] <= 0x5A for x in w) / some, stopped / lines, np.log1p(max(map(len, w), default=0)),
+    ]
+
+
+def test_quality_features_equal_plain_counts():
+    texts = [t for t in TEXTS if t is None or len(t) < 20_000] + ["A b. C!\nd?\n\nE e e, $5 #x%", ".\n.", "\n"]
+    import pyarrow as pa
+
+    from pagemill.llm.common import string_buffers
+
+    for group in (texts, *[[t] for t in texts]):
+        got = preference.text_features(*string_buffers(pa.array(group, pa.string())))
+        assert np.allclose(got, [plain_features(t) for t in group], atol=1e-12)
+
+
+def test_quality_fit_equals_plain_descent():
+    """The pairwise loss by plain gradient descent over all pairs, and the threshold by trying every place between two scores."""
+    r = np.random.default_rng(3)
+    y = (r.random(60) < 0.5).astype(int)
+    x = r.normal(size=(60, len(preference.FEATURES))) + y[:, None] * r.normal(size=len(preference.FEATURES)) * 0.4
+    ranker = preference.fit(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -preference.CLIP, preference.CLIP)
+    d = np.array([z[i] - z[j] for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + preference.RIDGE / 2 * w @ w
+    w = np.zeros(d.shape[1])
+    for _ in range(20_000):
+        w -= 0.3 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + preference.RIDGE * w)
+    assert loss(ranker.weights) <= loss(w) + 1e-9 and np.allclose(ranker.weights, w, atol=1e-2)
+    s = z @ ranker.weights
+    right = lambda t: ((s >= t) == (y == 1)).sum()
+    edges = np.sort(s)
+    assert right(ranker.threshold) == max(right(t) for t in [*(edges[1:] + edges[:-1]) / 2, edges[0] - 1, edges[-1] + 1])
+    assert ((ranker.score(x) >= 0.5) == (s >= ranker.threshold)).all()
+
+
+def test_quality_of_awkward_rows(docs, spark):
+    """Equal texts score alike whatever the rest of their rows; labels that are null, double or of no document are borne."""
+    d = docs.unionByName(spark.createDataFrame([(50 + k, "t" * 9, "en", "s", 1, "x", "y", "z", 1) for k in range(4)], DOCS)).withColumn("features", F.lit(1)).withColumn("quality", F.lit(1))
+    y = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (3, 0, 0), (4, 1, 0), (8, 1, 0), (10, 0, None), (14, None, 0), (None, 1, 1), (777, 0, 0)], "doc_id bigint, quality int, toxic int")
+    rows = preference.classify(d, preference.train(d, y)).collect()
+    assert len(rows) == len(ROWS) + 4 and len({r["score"] for r in rows if (r["doc_id"] or 0) >= 50}) == 1
+    assert len({r["score"] for r in rows if r["doc_id"] in (4, 5, None)}) == 1 and all(not r["held_out"] for r in rows if r["doc_id"] is None)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
 # ---- 6 ----
 
 
@@ -373,6 +428,49 @@ def test_leaks_of_more_blocks_than_one_pass_takes(spark, monkeypatch):
     assert clean.columns == d.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 5, 6]
 
 
+def test_leaks_equal_an_exhaustive_search(spark):
+    """Verbatim, cut, reworded and shuffled copies of items of 8 to 150 words: what every window of twice an item's words holds."""
+    r = np.random.default_rng(21)
+    items = [(k, " ".join(r.choice(VOCABULARY, int(n)))) for k, n in enumerate(r.integers(8, 150, 30))]
+    rows = []
+    for k in range(120):
+        w = items[k % 30][1].split()
+        kind = k // 30
+        if kind == 1:
+            w = [x if r.random() < 0.85 else "other" for x in w]
+        elif kind == 2:
+            w = w[: int(len(w) * r.uniform(0.4, 1))]
+        elif kind == 3:
+            w = list(r.permutation(w))
+        rows.append((k, prose(int(r.integers(1, 120))) + " " + " ".join(w) + " " + prose(int(r.integers(1, 120)))))
+    rows += [(1000 + k, prose(250)) for k in range(60)]
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for n, text in items:
+            seq = text.split()
+            masks = {}
+            for k, x in enumerate(seq):
+                masks[x] = masks.get(x, 0) | 1 << k
+            if decontam.common(masks, len(seq), w) >= decontam.LEAK * len(seq):
+                reach = 2 * len(seq)
+                if max(decontam.common(masks, len(seq), w[a : a + reach]) for a in range(0, max(1, len(w) - reach + 1), 2)) >= decontam.LEAK * len(seq):
+                    want.add((i, n))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], n) for r in decontam.leaks(d, decontam.fitted(d, spark.createDataFrame(items, "item_id bigint, text string"))).collect() for n in r["item_ids"]}
+    assert len(want) >= 60 and len(want & got) >= 0.95 * len(want), (len(want), len(want - got))
+    assert len(got - want) <= 0.05 * len(got), got - want  # windows of another width
+
+
+def test_leaks_of_a_repeated_item(spark):
+    """Two texts of one item_id are two items; each is reported by that id, once."""
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    items = spark.createDataFrame([(1, a), (1, b), (1, a)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b), (4, prose(40)), (5, "z" * 200_000)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.leaks(d, decontam.fitted(d, items)).collect()}
+    assert got == {1: [1], 2: [1], 3: [1], 4: [], 5: []}
+
+
 def test_common_subsequence():
     masks = {1: 0b0101, 2: 0b1010}
     assert decontam.common(masks, 4, [1, 2, 1, 2]) == 4 and decontam.common(masks, 4, [2, 9, 1]) == 2 and decontam.common(masks, 4, []) == 0
@@ -556,6 +654,22 @@ def test_warc_records_of_one_member(tmp_path, told):
     assert read({"record_type": frozenset(["metadata"])}) == ["<1>", "<3>", "<4>"]
 
 
+def test_warc_of_awkward_pages(spark, tmp_path):
+    """Repeated and null ids, large payloads, clashing columns, and a table of nothing."""
+    large, other = "x" * 3_000_000, "y" * 150
+    rows = [(1, "u", large), (2, "v", large), (None, "n", other), (5, "w", other), (5, "w", other), (7, "w", other), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for c in ("payload", "digest", "record_type", "_d", "_p", "_n", "_first"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    got = warc.archive_pages(pages, f"file://{tmp_path}/w").collect()
+    kinds = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["http_length"]) for r in got)
+    assert kinds == [
+        ("<urn:page:1>", "response", "", 3_000_000), ("<urn:page:2>", "revisit", "<urn:page:1>", 3_000_000), ("<urn:page:5>", "response", "", 150), ("<urn:page:5>", "response", "", 150),
+        ("<urn:page:7>", "revisit", "<urn:page:5>", 150), ("<urn:page:>", "response", "", 0), ("<urn:page:>", "response", "", 150),
+    ]
+    assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
 # ---- all ----
 
 
