@@ -9,7 +9,7 @@ from pagemill.functions.dom import TEXT, Node, SelectorError, parse, select
 MODES = ("full", "main", "selector")
 #: An article counts with so much text; a scored region needs so much text and so many paragraphs.
 ARTICLE_CHARS, REGION_CHARS, REGION_PARAGRAPHS = 200, 300, 2
-NO_REGION = "No confident main-content region was found; use the full page or a selector."
+NO_REGION = "this page has no region that is clearly its content; take the whole page, or name a selector"
 
 
 class RegionError(ValueError):
@@ -168,9 +168,9 @@ def content_region(html: str, mode: str = "full", selector: str | None = None, r
     try:
         chosen = select(root, selector)
     except SelectorError as error:
-        raise RegionError(f"Invalid CSS selector: {error}") from error
+        raise RegionError(f"the selector cannot be read: {error}") from error
     if not chosen:
-        raise RegionError(f"CSS selector matched no content: {selector}")
+        raise RegionError(f"nothing on the page fits the selector {selector}")
     return "<main>" + "".join(n.html() for n in chosen) + "</main>"
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
+
+from pagemill.functions.urls import SPLIT, let, split_url
 
 REDACTED = "[REDACTED]"
 #: Names of fields that carry secrets, and endings of such names.
@@ -31,12 +29,15 @@ PASSES = (
     ("assignment", rf"""(?i)(['"]?(?:{_FIELDS}|sig|auth)['"]?\s*[:=]\s*['"]?)([^'"\s,;}}&]+)""", f"$1{REDACTED}"),
     ("query", rf"(?i)([?&](?:{_FIELDS}|key|sig|auth)=)[^&#\s]+", f"$1{REDACTED}"),
 )
-ADDRESS = re.compile(r"(?i)https?://[^\s<>\"']+")
+#: An address in a text, as the first redaction pass finds it.
+ADDRESS = r"""(?i)https?://[^\s\p{Z}<>"']+"""
+_BRACKETS = r"^([^@\[\]]*@)?\[[0-9a-fA-F:.]+\](:[^\[\]]*)?$"
 
 
 def format_markdown(text: Column) -> Column:
     """Links into headings, HTML code blocks into fences, blank lines down to one."""
-    text = F.regexp_replace(text, r"(#{1,6} )([^\[]+)\[\]\((#[^\)]+)\)", "$1[$2]($3)")
+    # most texts have no empty link; possessive, as what the name takes is never given back
+    text = F.when(F.contains(text, F.lit("[](#")), F.regexp_replace(text, r"(#{1,6} )([^\[]++)\[\]\((#[^\)]+)\)", "$1[$2]($3)")).otherwise(text)
     text = F.replace(F.replace(text, F.lit("<pre><code>"), F.lit("```\n")), F.lit("</code></pre>"), F.lit("\n```"))
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
@@ -108,29 +109,29 @@ def redact_parameters(query: Column) -> Column:
     return F.array_join(F.zip_with(fields, marks, lambda f, m: F.concat(f, m)), "")
 
 
-def _redact_address(address: str) -> str:
-    from urllib.parse import unquote_plus, urlsplit, urlunsplit
-
-    def secret(key: str) -> bool:
-        k = re.sub("[^a-z0-9]+", "_", key.lower()).strip("_")
-        return k in SENSITIVE_KEYS or k.endswith(SENSITIVE_SUFFIXES)
+def redact_address(address: Column) -> Column:
+    """An address without its userinfo and the values of its sensitive parameters; one that has none, or cannot be read, as it is."""
 
-    def fields(text: str) -> str:
-        return re.sub(r"([^&;=]*)=[^&;]*", lambda m: f"{m[1]}={REDACTED}" if secret(unquote_plus(m[1])) else m[0], text)
+    def parts(s: Column) -> Column:
+        net = F.regexp_replace(s["netloc"], "^.*@", f"{REDACTED}@")
+        made = F.struct(net.alias("n"), redact_parameters(s["query"]).alias("q"), redact_parameters(s["fragment"]).alias("f"))
+        tail = lambda mark, c: F.when(c != "", F.concat(F.lit(mark), c)).otherwise("")
+        return let(
+            made,
+            lambda m: F.when(
+                ((m["n"] != s["netloc"]) | (m["q"] != s["query"]) | (m["f"] != s["fragment"])) & (~s["netloc"].rlike(r"[\[\]]") | s["netloc"].rlike(_BRACKETS)),
+                F.concat(s["scheme"], F.lit("://"), m["n"], s["path"], tail("?", m["q"]), tail("#", m["f"])),
+            ).otherwise(address),
+        )
 
-    try:
-        parts = urlsplit(address)
-    except ValueError:
-        return address
-    net = f"{REDACTED}@{parts.netloc.rpartition('@')[2]}" if "@" in parts.netloc else parts.netloc
-    new = parts._replace(netloc=net, query=fields(parts.query), fragment=fields(parts.fragment))
-    return address if new == parts else urlunsplit(new)
+    return let(split_url(address), parts)
 
 
-@arrow_udf(T.StringType())
-def redact_addresses(text: pa.Array) -> pa.Array:
+def redact_addresses(text: Column) -> Column:
     """Userinfo and sensitive parameters of every address in a text."""
-    return pa.array([None if t is None else ADDRESS.sub(lambda m: _redact_address(m[0]), t) if "://" in t else t for t in text.to_pylist()], pa.string())
+    found = F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), redact_address)
+    between = F.split(text, ADDRESS, -1)
+    return F.when(F.contains(text, F.lit("://")), F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda b, a: F.concat(b, a)), "")).otherwise(text)
 
 
 def redact_passes(text: Column, names: tuple[str, ...] | None = None) -> Column:
@@ -146,9 +147,8 @@ def redact(text: Column) -> Column:
 
 
 def redact_mapping(values: Column) -> Column:
-    """A map with sensitive keys' values replaced and the others redacted; null: empty. Only address-free values stay native, so callers
-    with addresses apply redact_addresses first."""
-    return F.coalesce(F.transform_values(values, lambda k, v: F.when(sensitive_key(k), F.lit(REDACTED)).otherwise(redact_passes(v))), F.create_map().cast("map<string,string>"))
+    """A map with sensitive keys' values replaced and the others redacted; null: empty."""
+    return F.coalesce(F.transform_values(values, lambda k, v: F.when(sensitive_key(k), F.lit(REDACTED)).otherwise(redact(v))), F.create_map().cast("map<string,string>"))
 
 
 #: The three date forms of HTTP.
@@ -191,3 +191,29 @@ def content_type(headers: Column) -> Column:
     sets = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.rlike(r"(?i)^charset\s*="))
     label = F.regexp_replace(F.trim(F.regexp_replace(F.try_element_at(sets, F.lit(-1)), r"^[^=]*=", "")), '^"+|"+$', "")
     return F.struct(F.lower(F.get(parts, F.lit(0))).alias("media_type"), F.nullif(label, F.lit("")).alias("charset"))
+
+
+# ---- the same in SQL, for the oracles --------------------------------------------------------------------------------
+
+
+def _sql_zip(pieces: str, marks: str) -> str:
+    return f"array_to_string(list_transform(list_zip({pieces}, list_append({marks}, '')), lambda z: z[1] || z[2]), '')"
+
+
+def sql_redact_parameters(query: str) -> str:
+    key = "trim(regexp_replace(lower(url_decode(replace(regexp_extract(p, '^([^=]*)=', 1), '+', ' '))), '[^a-z0-9]+', '_', 'g'), '_')"
+    listed = ", ".join(f"'{k}'" for k in SENSITIVE_KEYS)
+    secret = f"contains(p, '=') AND ({key} IN ({listed}) OR regexp_matches({key}, '({'|'.join(SENSITIVE_SUFFIXES)})$'))"
+    fields = f"list_transform(regexp_split_to_array({query}, '[&;]'), lambda p: CASE WHEN {secret} THEN regexp_extract(p, '^([^=]*)=', 1) || '={REDACTED}' ELSE p END)"
+    return _sql_zip(fields, f"regexp_extract_all({query}, '[&;]')")
+
+
+def sql_redact_addresses(text: str) -> str:
+    part = lambda k: f"regexp_extract(a, '{SPLIT}', {k})"
+    new = f"lower({part(1)}) || '://' || regexp_replace({part(2)}, '^.*@', '{REDACTED}@') || {part(3)}"
+    for k, mark in ((4, "?"), (5, "#")):
+        new += f" || CASE {part(k)} WHEN '' THEN '' ELSE '{mark}' || {sql_redact_parameters(part(k))} END"
+    changed = " OR ".join([f"contains({part(2)}, '@')", *(f"{part(k)} <> {sql_redact_parameters(part(k))}" for k in (4, 5))])
+    pattern = "'" + ADDRESS.replace("'", "''") + "'"
+    found = f"list_transform(regexp_extract_all({text}, {pattern}), lambda a: CASE WHEN {changed} THEN {new} ELSE a END)"
+    return _sql_zip(f"regexp_split_to_array({text}, {pattern})", found)

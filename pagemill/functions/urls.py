@@ -14,6 +14,11 @@ SCOPES = ("domain-only", "host-only", "subdomain")
 LAYOUTS = ("default", "flatten_domain", "hierarchical", "flatten_all")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, even where body uses it in many places: expressions that repeat it outgrow what the JVM compiles."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _clean(url: Column) -> Column:
     """As urlsplit reads it: no leading control characters or blanks, no tabs or line ends."""
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
@@ -21,23 +26,23 @@ def _clean(url: Column) -> Column:
 
 def split_url(url: Column) -> Column:
     """Struct of scheme, netloc, path, query, fragment, userinfo (null: none), host (lower case, no brackets), port (text; null: none)."""
-    u = _clean(url)
-    part = lambda k: F.regexp_extract(u, SPLIT, k)
-    net = part(2)
-    address = F.regexp_replace(net, r"^.*@", "")
-    host = F.when(address.startswith("["), F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(address, r"^([^:]*)", 1))
-    rest = F.when(address.startswith("["), F.regexp_extract(address, r"^\[[^\]]*\](.*)$", 1)).otherwise(F.regexp_replace(address, r"^[^:]*", ""))
-    port = F.nullif(F.regexp_replace(rest, "^:", ""), F.lit(""))
-    return F.struct(
-        F.lower(part(1)).alias("scheme"),
-        net.alias("netloc"),
-        part(3).alias("path"),
-        part(4).alias("query"),
-        part(5).alias("fragment"),
-        F.when(F.contains(net, F.lit("@")), F.regexp_extract(net, r"^(.*)@", 1)).alias("userinfo"),
-        F.lower(host).alias("host"),
-        port.alias("port"),
-    )
+
+    def named(p: Column) -> Column:
+        address = F.regexp_replace(p["netloc"], r"^.*@", "")
+        bracket = address.startswith("[")
+        host = F.when(bracket, F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.substring_index(address, ":", 1))
+        rest = F.when(bracket, F.regexp_extract(address, r"^\[[^\]]*\](.*)$", 1)).otherwise(F.regexp_replace(address, r"^[^:]*", ""))
+        return F.struct(
+            F.lower(p["scheme"]).alias("scheme"),
+            *[p[c].alias(c) for c in ("netloc", "path", "query", "fragment")],
+            F.when(F.contains(p["netloc"], F.lit("@")), F.regexp_extract(p["netloc"], r"^(.*)@", 1)).alias("userinfo"),
+            F.lower(host).alias("host"),
+            F.nullif(F.regexp_replace(rest, "^:", ""), F.lit("")).alias("port"),
+        )
+
+    # each group is taken once; what is made of the parts is looked at once more, not matched again
+    groups = lambda u: F.struct(*[F.regexp_extract(u, SPLIT, k + 1).alias(c) for k, c in enumerate(("scheme", "netloc", "path", "query", "fragment"))])
+    return let(_clean(url), lambda u: let(groups(u), named))
 
 
 def valid_port(port: Column) -> Column:
@@ -66,21 +71,26 @@ def _identity_of(s: Column, host: Column) -> Column:
 
 def identity(url: Column) -> Column:
     """The fragment-free identity of an HTTP(S) url with an ASCII host; null for anything invalid and for other hosts, which
-    with_identity() takes."""
-    s = split_url(url)
-    ascii_host = F.when(s["host"].rlike(r"^[\x00-\x7F]+$") & _ascii_labels(s["host"]), F.regexp_replace(s["host"], r"\.+$", ""))
-    return _identity_of(s, ascii_host)
+    any_identity() takes."""
+    return let(split_url(url), lambda s: _identity_of(s, _ascii_host(s["host"])))
 
 
-def with_identity(df: DataFrame, url: str = "url", name: str = "identity") -> DataFrame:
-    """Adds the identity column; rows with a non-ASCII host go through IDNA on a branch of their own, so that no other row meets
-    Python."""
+def _ascii_host(host: Column) -> Column:
+    return F.when(host.rlike(r"^[\x00-\x7F]+$") & _ascii_labels(host), F.regexp_replace(host, r"\.+$", ""))
+
+
+def any_identity(url: Column) -> Column:
+    """The identity of a url with a host in any script, in one pass: only non-ASCII hosts travel to Python, as what is null elsewhere."""
     from pagemill.functions.pages import idna_host
 
-    wide = split_url(F.col(url))["host"].rlike(r"[^\x00-\x7F]")
-    plain = df.where(~F.coalesce(wide, F.lit(False))).withColumn(name, identity(F.col(url)))
-    other = df.where(wide).withColumn("_host", idna_host(split_url(F.col(url))["host"]))
-    return plain.unionByName(other.withColumn(name, _identity_of(split_url(F.col(url)), F.col("_host"))).drop("_host"))
+    host = split_url(url)["host"]
+    wide = idna_host(F.when(host.rlike(r"[^\x00-\x7F]"), host))
+    return let(F.struct(split_url(url).alias("s"), wide.alias("w")), lambda x: _identity_of(x["s"], F.coalesce(_ascii_host(x["s"]["host"]), x["w"])))
+
+
+def with_identity(df: DataFrame, url: str = "url", name: str = "identity") -> DataFrame:
+    """Adds the identity column, of hosts in any script."""
+    return df.withColumn(name, any_identity(F.col(url)))
 
 
 def is_remote(url: Column) -> Column:
@@ -106,15 +116,19 @@ def compile_scope(rule: str) -> str:
 def in_scope(url: Column, base: Column, rule: str) -> Column:
     """Whether a crawl follows a link. Other rules than the built-in ones are Java regular expressions, searched in the whole url."""
     rule = compile_scope(rule)
-    a, b = split_url(url), split_url(base)
-    ah, bh = F.regexp_replace(a["host"], r"\.+$", ""), F.regexp_replace(b["host"], r"\.+$", "")
-    sound = is_http(a["scheme"]) & is_http(b["scheme"]) & (a["host"] != "") & (b["host"] != "") & a["userinfo"].isNull() & valid_port(a["port"]) & valid_port(b["port"])
-    tests = {
-        "domain-only": (ah == bh) & (effective_port(a) == effective_port(b)),
-        "host-only": ah == bh,
-        "subdomain": (ah == bh) | ah.endswith(F.concat(F.lit("."), bh)),
-    }
-    return F.coalesce(sound & (tests[rule] if rule in tests else url.rlike(rule)), F.lit(False))
+
+    def judged(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        ah, bh = F.regexp_replace(a["host"], r"\.+$", ""), F.regexp_replace(b["host"], r"\.+$", "")
+        sound = is_http(a["scheme"]) & is_http(b["scheme"]) & (a["host"] != "") & (b["host"] != "") & a["userinfo"].isNull() & valid_port(a["port"]) & valid_port(b["port"])
+        tests = {
+            "domain-only": lambda: (ah == bh) & (effective_port(a) == effective_port(b)),
+            "host-only": lambda: ah == bh,
+            "subdomain": lambda: (ah == bh) | ah.endswith(F.concat(F.lit("."), bh)),
+        }
+        return sound & (tests[rule]() if rule in tests else url.rlike(rule))
+
+    return F.coalesce(let(F.struct(split_url(url).alias("a"), split_url(base).alias("b")), judged), F.lit(False))
 
 
 def origin_key(url: Column) -> Column:
@@ -162,19 +176,23 @@ def output_path(identity_: Column, layout: str = "default") -> Column:
     """The archive's path for an identity: never outside its root, different for every identity."""
     if layout not in LAYOUTS:
         raise ValueError(f"layout is one of {LAYOUTS}")
-    s = split_url(identity_)
-    host = safe_segment(s["netloc"])
-    parts = F.transform(F.filter(F.split(s["path"], "/"), lambda p: p != ""), safe_segment)
-    leaf = F.coalesce(F.element_at(F.when(F.size(parts) > 0, parts), -1), F.lit("index"))
-    stem = F.regexp_replace(leaf, r"^(.+)\.[^.]*$", "$1")
-    name = F.concat(F.substring(safe_segment(stem), 1, 70), F.lit("-"), F.substring(F.sha2(identity_, 256), 1, 10), F.lit(".md"))
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    if layout == "flatten_all":
-        return F.when(identity_.isNotNull(), name)
-    where = F.transform(F.reverse(F.split(host, r"\.")), safe_segment) if layout == "hierarchical" else F.array(host)
-    if layout != "flatten_domain":
-        where = F.concat(where, folders)
-    return F.when(identity_.isNotNull(), F.concat_ws("/", where, F.array(name)))
+
+    def pieces(s: Column) -> Column:
+        parts = F.transform(F.filter(F.split(s["path"], "/"), lambda p: p != ""), safe_segment)
+        return F.struct(safe_segment(s["netloc"]).alias("host"), parts.alias("parts"))
+
+    def placed(i: Column, x: Column) -> Column:
+        leaf = F.coalesce(F.element_at(F.when(F.size(x["parts"]) > 0, x["parts"]), -1), F.lit("index"))
+        stem = F.regexp_replace(leaf, r"^(.+)\.[^.]*$", "$1")
+        name = F.concat(F.substring(safe_segment(stem), 1, 70), F.lit("-"), F.substring(F.sha2(i, 256), 1, 10), F.lit(".md"))
+        if layout == "flatten_all":
+            return name
+        where = F.transform(F.reverse(F.split(x["host"], r"\.")), safe_segment) if layout == "hierarchical" else F.array(x["host"])
+        if layout != "flatten_domain":
+            where = F.concat(where, F.slice(x["parts"], F.lit(1), F.greatest(F.size(x["parts"]) - 1, F.lit(0))))
+        return F.concat_ws("/", where, F.array(name))
+
+    return let(identity_, lambda i: F.when(i.isNotNull(), let(let(split_url(i), pieces), lambda x: placed(i, x))))
 
 
 def relative_path(target: Column, source: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.functions import arrow_udf
 
 from pagemill.functions.mdscan import splice
 from pagemill.functions.pages import md_links
-from pagemill.functions.urls import identity, output_path, relative_path, split_url
+from pagemill.functions.urls import any_identity, output_path, relative_path, split_url
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -31,7 +31,7 @@ def union_inputs(parts: list[DataFrame], order: str = "ordinal") -> DataFrame:
 
 def batch_urls(parts: list[DataFrame]) -> DataFrame:
     """ordinal, url -> each identity once, where it came first. An invalid url fails the batch."""
-    rows = union_inputs(parts).withColumn("identity", identity(F.col("url")))
+    rows = union_inputs(parts).withColumn("identity", any_identity(F.col("url")))
     rows = rows.withColumn("identity", F.when(F.col("identity").isNull(), F.raise_error(F.concat(F.lit("not an HTTP(S) url: "), "url"))).otherwise(F.col("identity")))
     return keep_first(rows, ["identity"], ["source", "ordinal"])
 
@@ -39,7 +39,7 @@ def batch_urls(parts: list[DataFrame]) -> DataFrame:
 def archive_once(fetched: DataFrame, layout: str = "default") -> DataFrame:
     """ordinal, requested_url, final_url -> which of them are converted, and the path each is found at. Only the first page of a
     final identity is; the others are aliases of its file. Errors: invalid urls."""
-    f = fetched.withColumn("identity", identity(F.col("final_url"))).withColumn("alias", identity(F.col("requested_url")))
+    f = fetched.withColumn("identity", any_identity(F.col("final_url"))).withColumn("alias", any_identity(F.col("requested_url")))
     w = W.partitionBy("identity").orderBy("ordinal")
     f = f.withColumn("reused", F.when(F.col("identity").isNotNull(), F.row_number().over(w) > 1))
     return f.withColumn("output_path", output_path(F.col("identity"), layout)).withColumn(
@@ -60,7 +60,7 @@ def conflicts(alias_rows: DataFrame) -> DataFrame:
 
 def resolve(urls: DataFrame, alias_rows: DataFrame, url: str = "url") -> DataFrame:
     """Adds output_path: null for urls that are invalid or not archived."""
-    return urls.withColumn("identity", identity(F.col(url))).join(alias_rows, "identity", "left")
+    return urls.withColumn("identity", any_identity(F.col(url))).join(alias_rows, "identity", "left")
 
 
 def link_targets(documents: DataFrame, alias_rows: DataFrame) -> DataFrame:
@@ -69,15 +69,15 @@ def link_targets(documents: DataFrame, alias_rows: DataFrame) -> DataFrame:
     links = documents.select("doc", "output_path", F.explode(md_links(F.col("markdown"))).alias("l")).select("doc", F.col("output_path").alias("source"), "l.*")
     s = split_url(F.col("destination"))
     links = links.withColumn("s", s).where(F.col("s.scheme").isin("http", "https"))
-    links = links.withColumn("exact", identity(F.col("destination")))
+    links = links.withColumn("exact", any_identity(F.col("destination")))
     bare = F.regexp_replace(F.col("exact"), r"(?s)\?.*$", "")
-    links = links.withColumn("bare", F.when(F.col("s.query") != "", bare))
-    a1 = alias_rows.select(F.col("identity").alias("exact"), F.col("output_path").alias("p1"))
-    a2 = alias_rows.select(F.col("identity").alias("bare"), F.col("output_path").alias("p2"))
-    found = links.join(a1, "exact", "left").join(a2, "bare", "left").withColumn("path", F.coalesce("p1", "p2")).where("path IS NOT NULL")
+    # with its query before without, in one join
+    keys = F.array_distinct(F.array("exact", F.when(F.col("s.query") != "", bare).otherwise(F.col("exact"))))
+    asked = links.select("*", F.posexplode(keys).alias("k", "identity")).join(alias_rows, "identity")
+    found = asked.groupBy("doc", "start", "end").agg(F.min_by(F.struct("source", "s", "output_path", "k"), "k").alias("f")).select("doc", "start", "end", "f.source", "f.s", F.col("f.output_path").alias("path"), "f.k")
     target = F.concat(
         relative_path(F.col("path"), F.col("source")),
-        F.when(F.col("p1").isNull(), F.concat(F.lit("?"), F.col("s.query"))).otherwise(""),
+        F.when(F.col("k") == 1, F.concat(F.lit("?"), F.col("s.query"))).otherwise(""),
         F.when(F.col("s.fragment") != "", F.concat(F.lit("#"), F.col("s.fragment"))).otherwise(""),
     )
     return found.select("doc", "start", "end", target.alias("target"))

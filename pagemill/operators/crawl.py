@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import check_crawl_policy, in_scope
+from pagemill.session import stored as _stored
 
+#: How often a page that answers 429 is asked for again, at the queue's end.
 RETRIES = 2
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int | None = None) -> DataFrame:
     """node, depth and rank of every page that a crawl attempts. Seeds have node and ordinal; edges src, dst and pos.
 
@@ -87,72 +80,90 @@ def result(pages: DataFrame) -> DataFrame:
     )
 
 
-class Frontier:
-    """A driver-side queue for small crawls with exact order under retries: an attempt that meets 429 goes to the tail, twice at most."""
-
-    def __init__(self, seeds, identity=lambda u: u, terminal=(), retries=None):
-        self.identity, self.queue = identity, deque()
-        self.queued, self.active, self.terminal = set(), set(), {identity(t) for t in terminal}
-        self.retries = {}
-        for url, n in (retries or {}).items():
-            self.retries[identity(url)] = max(n, self.retries.get(identity(url), 0))
-        for url, depth in seeds:
-            self.enqueue(url, depth)
-
-    def enqueue(self, url: str, depth: int) -> bool:
-        k = self.identity(url)
-        if k in self.queued or k in self.active or k in self.terminal:
-            return False
-        self.queue.append((url, depth))
-        self.queued.add(k)
-        return True
-
-    def pop(self):
-        while self.queue:
-            url, depth = self.queue.popleft()
-            k = self.identity(url)
-            self.queued.discard(k)
-            if k not in self.terminal:
-                self.active.add(k)
-                return url, depth
-        return None
-
-    def retry(self, url: str, depth: int) -> bool:
-        k = self.identity(url)
-        if self.retries.get(k, 0) >= RETRIES:
-            return False
-        self.retries[k] = self.retries.get(k, 0) + 1
-        self.active.discard(k)
-        return self.enqueue(url, depth)
-
-    def finish(self, url: str) -> None:
-        k = self.identity(url)
-        self.active.discard(k)
-        self.terminal.add(k)
-
-    def snapshot(self) -> list:
-        return list(self.queue)
-
-
-def crawl_queue(start: str, fetch, links, max_depth: int = 3, max_pages: int = 100, allowed=lambda u: True, frontier: Frontier | None = None) -> dict:
-    """fetch(url) -> status, links(url) -> urls. Every attempt counts against the budget: successes, failures, retries, blocked pages."""
-    frontier = frontier or Frontier([(start, 0)])
-    processed, failed, attempts = [], {}, 0
-    while attempts < max_pages and (item := frontier.pop()):
-        url, depth = item
-        attempts += 1
-        if not allowed(url):
-            frontier.finish(url)
-            continue
-        status = fetch(url)
-        if status == 429 and frontier.retry(url, depth):
-            continue
-        frontier.finish(url)
-        if not 200 <= status < 400:
-            failed[url] = f"HTTP {status}"
-            continue
-        processed.append(url)
-        if depth < max_depth:
-            for link in links(url):
-                frontier.enqueue(link, depth + 1)
-    return {"processed": processed, "failed": failed, "attempts": attempts, "queue": frontier.snapshot(), "retries": dict(frontier.retries)}
+@dataclass
+class Crawl:
+    """What a crawl did and what is left: attempts (rank, url, depth, retries, status, final_url, outcome) in their order, and the queue (url, depth,
+    retries, place), from which another crawl goes on."""
+
+    attempts: DataFrame
+    queue: DataFrame
+    scope: str
+
+    def result(self) -> DataFrame:
+        return result(self.attempts.withColumnRenamed("outcome", "status") if "status" not in self.attempts.columns else self.attempts.drop("status").withColumnRenamed("outcome", "status"))
+
+
+def crawl(
+    seeds: DataFrame, fetches: DataFrame, links: DataFrame, start: str, rule: str = "domain-only", max_depth: int = 3, max_pages: int = 100,
+    robots: DataFrame | None = None, done: DataFrame | None = None, attempted: int = 0,
+) -> Crawl:
+    """A crawl of known answers, in the exact order of a first-in first-out queue.
+
+    seeds: url, depth, retries, ordinal (a queue to begin or to go on with). fetches: url, attempt (from 1), status, final_url, hops (array of
+    redirect targets or null); of an url that is asked for more often than it has answers the last one counts. links: url, pos, target.
+    robots: url, allowed. done: urls that earlier runs finished; attempted: how many attempts they made. Urls are identities.
+
+    Every attempt counts against max_pages: pages that robots rules block, failures and retries too. 429 sends a page to the queue's end, RETRIES
+    times at most. The final address of the start page becomes what the scope is about; other pages must not be redirected out of
+    the scope or to where robots rules forbid. Links of processed pages are followed up to max_depth, if they are in scope and allowed, once
+    each.
+
+    The queue is taken in rounds: what is in it now is attempted before all that is appended meanwhile, so a round is a table, and the
+    next one is the retries and links of this one by the rank of their page and their place in it. A round's state (depth, retries) goes with its rows.
+    """
+    check_crawl_policy(max_depth, max_pages, rule=rule)
+    level = seeds.groupBy("url").agg(F.min_by(F.struct("depth", "retries", "ordinal"), "ordinal").alias("q")).select("url", F.col("q.depth").cast("int").alias("depth"), F.col("q.retries").cast("int").alias("retries"), F.col("q.ordinal").alias("o"))
+    if done is not None:
+        level = level.join(done.select("url").distinct(), "url", "left_anti")
+    level = _stored(_ranked(level, ["o", "url"], attempted).select("url", "depth", "retries", "rank"), "round")
+    seen = level.select("url") if done is None else level.select("url").unionByName(done.select("url"))
+    answers = fetches.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("attempt", "status", "final_url", "hops"))).alias("answers"))
+    allowed = None if robots is None else robots.groupBy("url").agg(F.bool_and("allowed").alias("allowed"))
+    scope, made, left = start, [], []
+    while True:
+        within = level.where(F.col("rank") <= max_pages)
+        left.append(level.where(F.col("rank") > max_pages))
+        size = within.count()
+        if not size:
+            break
+        answer = F.coalesce(F.get(F.filter("answers", lambda a: a["attempt"] > F.col("retries")), F.lit(0)), F.element_at("answers", -1))
+        tried = within.join(answers, "url", "left").withColumn("a", F.when(F.size("answers") > 0, answer)).drop("answers")
+        if allowed is not None:
+            tried = tried.join(allowed, "url", "left")
+        scope = _root(tried, start, scope, allowed is not None)
+        blocked = F.lit(False) if allowed is None else ~F.coalesce("allowed", F.lit(True))
+        leaves = F.exists(F.coalesce("a.hops", F.array().cast("array<string>")), lambda h: ~in_scope(h, F.lit(scope), rule)) & ((F.col("url") != start) | (F.col("depth") != 0))
+        outcome = (
+            F.when(blocked, "blocked")
+            .when((F.col("a.status") == 429) & (F.col("retries") < RETRIES), "retry")
+            .when(F.coalesce(F.col("a.status").between(200, 399), F.lit(False)) & ~leaves, "processed")
+            .otherwise("failed")
+        )
+        tried = _stored(tried.select("rank", "url", "depth", "retries", "a.status", "a.final_url", outcome.alias("outcome")), "tried")
+        made.append(tried)
+        again = tried.where("outcome = 'retry'").select("url", "depth", (F.col("retries") + 1).alias("retries"), F.struct("rank", F.lit(-1).cast("bigint").alias("pos")).alias("by"))
+        onward = tried.where(F.expr("outcome = 'processed'") & (F.col("depth") < max_depth)).select("url", "rank", "depth").join(links, "url")
+        onward = onward.select(F.col("target").alias("url"), (F.col("depth") + 1).alias("depth"), F.lit(0).alias("retries"), F.struct("rank", F.col("pos").cast("bigint").alias("pos")).alias("by"))
+        onward = onward.where(in_scope(F.col("url"), F.lit(scope), rule))
+        if allowed is not None:
+            onward = onward.join(allowed, "url", "left").where(F.coalesce("allowed", F.lit(True))).drop("allowed")
+        fresh = onward.groupBy("url").agg(F.min_by(F.struct("depth", "retries", "by"), "by").alias("q")).select("url", "q.*").join(seen, "url", "left_anti")
+        attempted += size
+        level = _stored(_ranked(again.unionByName(fresh), ["by.rank", "by.pos", "url"], attempted).select("url", "depth", "retries", "rank"), "round")
+        seen = _stored(seen.unionByName(fresh.select("url")).distinct(), "seen")
+    rest = left[0]
+    for part in left[1:]:
+        rest = rest.unionByName(part)
+    attempts = None
+    for part in made:
+        attempts = part if attempts is None else attempts.unionByName(part)
+    if attempts is None:
+        attempts = level.select("rank", "url", "depth", "retries", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("final_url"), F.lit("").alias("outcome")).where("false")
+    return Crawl(attempts, rest.select("url", "depth", "retries", F.col("rank").alias("place")), scope)
+
+
+def _root(tried: DataFrame, start: str, scope: str, robots: bool) -> str:
+    """The start page's final address once it has been processed: one row at most."""
+    first = tried.where((F.col("url") == start) & (F.col("depth") == 0) & F.col("a.status").between(200, 399) & F.col("a.final_url").isNotNull())
+    found = (first.where(F.coalesce("allowed", F.lit(True))) if robots else first).select("a.final_url").head()
+    return found[0] if found else scope

@@ -7,7 +7,6 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -71,12 +70,27 @@ def file_stem(url: Column) -> Column:
 
 
 def unique_names(images: DataFrame, key: str) -> DataFrame:
-    """Adds filename: of equal names in a folder the later ones get _1, _2, ... in their order; at most NAME characters."""
+    """Adds filename: a name that an earlier image of the folder has gets the first of _1, _2, ... that none has; at most NAME characters. A
+    document's images are folded in the order of pos, which is unique in it."""
     ext = extension(F.col("mime"))
-    named = images.withColumn("_s", F.substring(file_stem(F.col("url")), 1, NAME - 5)).withColumn("_e", ext)
-    k = F.row_number().over(W.partitionBy(key, "_s", "_e").orderBy("pos")) - 1
-    tail = F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise("")
-    return named.withColumn("_t", tail).withColumn("filename", F.concat(F.substr("_s", F.lit(1), NAME - F.length("_e") - F.length("_t")), F.col("_t"), F.col("_e"))).drop("_s", "_e", "_t")
+    stem = F.substr(file_stem(F.col("url")), F.lit(1), NAME - F.length(ext))
+    rows = F.array_sort(F.collect_list(F.struct("pos", stem.alias("s"), ext.alias("e"))))
+    kind = dict(images.dtypes)["pos"]
+    start = F.array().cast(f"array<struct<pos:{kind},filename:string>>")
+
+    def step(done: Column, x: Column) -> Column:
+        # only names that begin alike can be in the way, and of as many candidates and one more one is free
+        near = F.filter(F.transform(done, lambda d: d["filename"]), lambda n: n.startswith(F.substring(x["s"], 1, NAME // 2)))
+
+        def named(k: Column) -> Column:
+            tail = F.when(k > 0, F.concat(F.lit("_"), k.cast("string"))).otherwise("")
+            return F.concat(F.substr(x["s"], F.lit(1), NAME - F.length(x["e"]) - F.length(tail)), tail, x["e"])
+
+        free = F.filter(F.transform(F.sequence(F.lit(0), F.size(near)), named), lambda n: ~F.array_contains(near, n))
+        return F.concat(done, F.array(F.struct(x["pos"].alias("pos"), F.get(free, F.lit(0)).alias("filename"))))
+
+    names = images.groupBy(key).agg(F.aggregate(rows, start, step).alias("_names")).select(key, F.inline("_names"))
+    return images.join(names, [key, "pos"])
 
 
 def _public(address: str) -> bool:

@@ -1,16 +1,17 @@
 """Request policies over event streams: sliding windows, admission, circuit breakers, adaptive delays.
 
-Windows are range frames. What depends on its own earlier decisions (admission, breaker, schedule) is a fold over a key's
-events in order: `sorted_fold` runs it with applyInPandas, one key's events at a time, and the streaming module keeps the same
-state between batches.
+Windows are range frames over slices of time. What depends on its own earlier decisions (admission, breaker, schedule) is a fold over a key's
+events in order: `sorted_fold` streams sorted partitions through it and holds a key's state and one batch, however many events
+the key has; the streaming module keeps the same state between batches.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,10 +38,19 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+#: A slice of time has so many windows; a window's worth of each goes with the next one too.
+SLICE = 16
+
+
 def window_counts(events: DataFrame, key: str, seconds: float = LIMITS.window) -> DataFrame:
-    """Adds n_window: events of the key in the last seconds, the event's own and one exactly that old included."""
-    w = W.partitionBy(key).orderBy("us").rangeBetween(-int(seconds * 1_000_000), 0)
-    return events.withColumn("us", micros()).withColumn("n_window", F.count("*").over(w)).drop("us")
+    """Adds n_window: events of the key in the last seconds, the event's own and one exactly that old included. Keys are cut into slices
+    of time, each with what the slice before it has in reach, so that a key with a third of all events is no single partition."""
+    reach = int(seconds * 1_000_000)
+    place = F.floor(F.col("us") / (SLICE * reach))
+    near = F.when(F.col("us") + reach >= (place + 1) * (SLICE * reach), place + 1)
+    sliced = events.withColumn("us", micros()).withColumn("own", place).withColumn("slice", F.explode(F.array_compact(F.array(place, near))))
+    w = W.partitionBy(key, "slice").orderBy("us").rangeBetween(-reach, 0)
+    return sliced.withColumn("n_window", F.count("*").over(w)).where("slice = own").drop("us", "own", "slice")
 
 
 def adaptive_delay(events: DataFrame, key: str, value: str = "value", limits: Limits = LIMITS) -> DataFrame:
@@ -104,42 +114,55 @@ class Admission:
         return True, 0.0
 
 
-def sorted_fold(events: DataFrame, key: str, fold, schema: str) -> DataFrame:
-    """`fold(rows)` over each key's rows in the order of ts and event_id; rows is a pandas frame with us."""
+def sorted_fold(events: DataFrame, key: str, columns: list[str], begin, made: dict[str, pa.DataType]) -> DataFrame:
+    """key, event_id and `made` for every event. begin() gives what folds one key: a function of us and the columns that returns the
+    values made. Events come sorted by key, ts and event_id; between batches only the function of the last key is kept."""
+    kinds = {key: dict(events.dtypes)[key], "event_id": dict(events.dtypes)["event_id"]}
+    names = [key, "event_id", *made]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold(rows.sort_values(["us", "event_id"], kind="stable"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = object(), None
+        for batch in batches:
+            out = []
+            keys, numbers, times, *rest = (batch[c].to_pylist() for c in [key, "event_id", "us", *columns])
+            for k, us, *values in zip(keys, times, *rest):
+                if step is None or k != last:
+                    last, step = k, begin()
+                out.append(step(us, *values))
+            values = [pa.array(v, t) for v, t in zip(zip(*out), made.values())] if out else [pa.array([], t) for t in made.values()]
+            yield pa.RecordBatch.from_arrays([batch[key], batch["event_id"], *values], names)
 
-    return events.withColumn("us", micros()).groupBy(key).applyInPandas(run, schema)
+    rows = events.withColumn("us", micros()).select(key, "event_id", "us", *columns)
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "us", "event_id")
+    sql = {pa.bool_(): "boolean", pa.string(): "string", pa.int64(): "bigint", pa.float64(): "double"}
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in kinds.items()), *(f"{n} {sql[t]}" for n, t in made.items())]))
 
 
 def breaker_states(events: DataFrame, key: str, limits: Limits = LIMITS) -> DataFrame:
     """key, event_id, allowed, state and failures after each event; `failed` says how a request went. Refused requests have no outcome."""
 
-    def fold(rows):
-        b, out = Breaker(limits), []
-        for k, e, us, bad in zip(rows[key], rows["event_id"], rows["us"], rows["failed"]):
-            now = us / 1e6
-            allowed = b.may_proceed(now)
+    def begin():
+        b = Breaker(limits)
+
+        def step(us, failed):
+            allowed = b.may_proceed(us / 1e6)
             if allowed:
-                b.record(not bad, now)
-            out.append((k, e, allowed, b.state, b.failures))
-        return pd.DataFrame(out, columns=[key, "event_id", "allowed", "state", "failures"])
+                b.record(not failed, us / 1e6)
+            return allowed, b.state, b.failures
 
-    kind = dict(events.dtypes)[key]
-    return sorted_fold(events.select(key, "event_id", "ts", "failed"), key, fold, f"{key} {kind}, event_id bigint, allowed boolean, state string, failures bigint")
+        return step
+
+    return sorted_fold(events, key, ["failed"], begin, {"allowed": pa.bool_(), "state": pa.string(), "failures": pa.int64()})
 
 
 def admissions(events: DataFrame, key: str, limits: Limits = LIMITS) -> DataFrame:
     """key, event_id, admitted and the seconds to wait if not."""
 
-    def fold(rows):
+    def begin():
         a = Admission(limits)
-        out = [(k, e, *a.ask(us / 1e6)) for k, e, us in zip(rows[key], rows["event_id"], rows["us"])]
-        return pd.DataFrame(out, columns=[key, "event_id", "admitted", "wait"])
+        return lambda us: a.ask(us / 1e6)
 
-    kind = dict(events.dtypes)[key]
-    return sorted_fold(events.select(key, "event_id", "ts"), key, fold, f"{key} {kind}, event_id bigint, admitted boolean, wait double")
+    return sorted_fold(events, key, [], begin, {"admitted": pa.bool_(), "wait": pa.float64()})
 
 
 def schedule(events: DataFrame, key: str, minimum_delay: float = 1.0, polite: bool = False) -> DataFrame:
@@ -147,13 +170,14 @@ def schedule(events: DataFrame, key: str, minimum_delay: float = 1.0, polite: bo
     `retry_after` (seconds or null) of a 429 counts if longer; no jitter, so that results repeat."""
     delay = max(2 * minimum_delay, 1.0) if polite else minimum_delay
 
-    def fold(rows):
-        ready, out = 0.0, []
-        for k, e, us, after in zip(rows[key], rows["event_id"], rows["us"], rows["retry_after"]):
-            start = max(us / 1e6, ready)
-            out.append((k, e, start, start - us / 1e6))
-            ready = start + max(delay, 0.0 if after is None or after != after else float(after))
-        return pd.DataFrame(out, columns=[key, "event_id", "start", "waited"])
+    def begin():
+        ready = [0.0]
+
+        def step(us, after):
+            start = max(us / 1e6, ready[0])
+            ready[0] = start + max(delay, 0.0 if after is None or after != after else float(after))
+            return start, start - us / 1e6
+
+        return step
 
-    kind = dict(events.dtypes)[key]
-    return sorted_fold(events.select(key, "event_id", "ts", "retry_after"), key, fold, f"{key} {kind}, event_id bigint, start double, waited double")
+    return sorted_fold(events, key, ["retry_after"], begin, {"start": pa.float64(), "waited": pa.float64()})

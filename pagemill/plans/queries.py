@@ -11,6 +11,7 @@ from pagemill.functions import pages as P
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.operators import archive, cookies, crawl, evaluate, images, policy, requests, robots, state
+from pagemill.session import ship
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -27,12 +28,15 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def wide(df: DataFrame) -> DataFrame:
-    """Rows over all cores before Python sees them: a small file is one partition."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows over all cores before Python sees them where the scan has fewer partitions than there are cores: of a small file. Large tables
+    are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _literal(v) -> str:
@@ -234,12 +238,19 @@ def main_markdown(spark, sf_dir):
     return _pages_by(("markdown",), "main")(spark, sf_dir).select("page_id", "p.markdown", "p.error")
 
 
-@query("selected_html")
+_NAV = r"(?s)<nav><ul><li>.*?</li><li><a href=\"(/[^\"]*)\">(.*?)</a>"
+
+
+@query("selected_html", f"""SELECT page_id, '<main><a href="' || {_ORIGIN} || regexp_extract(html, '{_NAV}', 1) || '">' || regexp_extract(html, '{_NAV}', 2) || '</a>' || regexp_extract(html, '(?s)<article>(<h1>.*?</h1>)', 1) || '</main>' AS selected_html,
+  CAST(NULL AS VARCHAR) AS error FROM pages""")
 def selected_html(spark, sf_dir):
-    return _pages_by(("html",), "selector", "article > h1, nav li:nth-child(2) a[href^='/']")(spark, sf_dir).select("page_id", "p.selected_html", "p.error")
+    return _pages_by(("html",), "selector", "article > h1, nav li:nth-child(2) a[href^='http']")(spark, sf_dir).select("page_id", "p.selected_html", "p.error")
+
 
+_FOLDER = r"regexp_extract(url, '^([a-z]+://[^/?#]*[^?#]*/)', 1)"
 
-@query("page_assets")
+
+@query("page_assets", f"""SELECT page_id, pos, [{_ORIGIN} || '/i.png', {_FOLDER} || 'a.png', {_FOLDER} || 'b.png', {_FOLDER} || 'bg.jpg'][pos + 1] AS asset FROM pages, (SELECT unnest(range(0, 4))::INT pos)""")
 def page_assets(spark, sf_dir):
     p = wide(table(spark, sf_dir, "pages")).withColumn("html", F.concat(F.lit('<img src="/i.png" srcset="a.png 1x, b.png 2x"><p style="background-image: url(bg.jpg)">'), "html"))
     page = P.page_udf(want=("assets",))
@@ -308,9 +319,12 @@ def redact_passes(spark, sf_dir):
     return d.select("doc_id", F.md5(X.redact_passes(F.concat(F.lit(_SECRETS), F.coalesce("text", F.lit(" "))))).alias("digest"))
 
 
-@query("redact_text")
+_SQL_TEXT = "(SELECT doc_id, " + _literal(_SECRETS) + " || coalesce(text, chr(32)) AS t FROM documents)"
+
+
+@query("redact_text", f"SELECT doc_id, md5({_sql_passes('r')}) AS digest FROM (SELECT doc_id, {X.sql_redact_addresses('t')} AS r FROM {_SQL_TEXT})")
 def redact_text(spark, sf_dir):
-    d = wide(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(X.redact(F.concat(F.lit(_SECRETS), F.coalesce("text", F.lit(" "))))).alias("digest"))
 
 
@@ -330,10 +344,14 @@ def redact_parameters(spark, sf_dir):
     return _PARAMS.df(spark).select("query", X.redact_parameters(F.col("query")).alias("redacted"))
 
 
-@query("redact_mapping", "SELECT event_id, CAST('[REDACTED]' AS VARCHAR) AS token, event_type AS kind FROM events")
+_LINK = "'see https://me:pw@h.org/x?n=' || event_id || '&token=' || event_type || ' Bearer abc'"
+
+
+@query("redact_mapping", f"SELECT event_id, CAST('[REDACTED]' AS VARCHAR) AS token, event_type AS kind, {_sql_passes('r')} AS link FROM (SELECT *, {X.sql_redact_addresses('t')} AS r FROM (SELECT *, {_LINK} AS t FROM events))")
 def redact_mapping(spark, sf_dir):
-    m = F.create_map(F.lit("access-token"), F.col("props"), F.lit("kind"), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", X.redact_mapping(m).alias("m")).select("event_id", F.col("m")["access-token"].alias("token"), F.col("m")["kind"].alias("kind"))
+    link = F.concat(F.lit("see https://me:pw@h.org/x?n="), F.col("event_id").cast("string"), F.lit("&token="), F.col("event_type"), F.lit(" Bearer abc"))
+    m = F.create_map(F.lit("access-token"), F.col("props"), F.lit("kind"), F.col("event_type"), F.lit("link"), link)
+    return table(spark, sf_dir, "events").select("event_id", X.redact_mapping(m).alias("m")).select("event_id", *[F.col("m")[k].alias(n) for k, n in (("access-token", "token"), ("kind", "kind"), ("link", "link"))])
 
 
 _DATES = Rows("header string, epoch bigint, wait bigint", [
@@ -398,15 +416,19 @@ def archive_once(spark, sf_dir):
     return archive.archive_once(fetched(spark, sf_dir)).select("ordinal", "identity", "reused", "output_path")
 
 
-@query("batch_urls", f"SELECT identity, min(ordinal) AS ordinal FROM (SELECT ordinal, {U.SQL_IDENTITY} AS identity FROM ({U.sql_parts(_SQL_FETCHED)})) GROUP BY identity")
+@query("batch_urls", f"SELECT identity, min(ordinal) AS ordinal FROM (SELECT ordinal, {U.SQL_IDENTITY} AS identity FROM ({U.sql_parts(_SQL_FETCHED)})) GROUP BY identity UNION ALL SELECT 'https://xn--bcher-kva.example/x', 7")
 def batch_urls(spark, sf_dir):
     rows = fetched(spark, sf_dir).select("ordinal", F.col("final_url").alias("url"))
-    return archive.batch_urls([rows]).select("identity", "ordinal")
+    more = spark.createDataFrame([(7, "https://bücher.example/x#part"), (8, "https://xn--bcher-kva.example:443/x")], "ordinal bigint, url string")
+    return archive.batch_urls([rows, more]).select("identity", "ordinal")
 
 
-@query("alias_conflicts", "SELECT CAST(NULL AS VARCHAR) AS identity, CAST(0 AS BIGINT) AS paths WHERE false")
+@query("alias_conflicts", f"SELECT identity, CAST(2 AS BIGINT) AS paths FROM (SELECT DISTINCT {U.SQL_IDENTITY} AS identity FROM ({U.sql_parts('(SELECT url FROM pages WHERE page_id % 3 = 0)')}))")
 def alias_conflicts(spark, sf_dir):
-    return archive.conflicts(archive.aliases(archive.archive_once(fetched(spark, sf_dir)).where("NOT reused")))
+    """Pages of two archives with different layouts, one of which has a third of them."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), F.col("url").alias("requested_url"), F.col("url").alias("final_url"))
+    parts = archive.archive_once(p), archive.archive_once(p.where("ordinal % 3 = 0"), "flatten_all")
+    return archive.conflicts(archive.aliases(parts[0].where("NOT reused")).union(archive.aliases(parts[1].where("NOT reused"))))
 
 
 @query("resolve_aliases", f"SELECT a.ordinal, b.output_path FROM {_SQL_ARCHIVED} a JOIN (SELECT DISTINCT identity, output_path FROM {_SQL_ARCHIVED}) b USING (identity)")
@@ -416,13 +438,28 @@ def resolve_aliases(spark, sf_dir):
     return archive.resolve(rows.select("ordinal", F.col("final_url").alias("url")), names).select("ordinal", "output_path")
 
 
-@query("rewrite_links", "SELECT page_id AS doc, CAST(2 AS INT) AS rewritten FROM pages")
+_RELATIVE = """array_to_string(list_concat(['..' FOR k IN range(len(ss) - same)], ts[same + 1:]), '/')"""
+_FRAGMENT = "CASE WHEN contains({0}, '#') THEN regexp_extract({0}, '#.*$') ELSE '' END"
+
+
+@query("rewrite_links", f"""WITH a AS (SELECT * FROM {_SQL_ARCHIVED}), n AS (SELECT count(*) n FROM pages),
+p AS (SELECT page_id, url, a.output_path FROM pages JOIN a ON a.ordinal = page_id * 2 WHERE NOT a.reused),
+q AS (SELECT p.page_id AS doc, p.output_path AS source, p.url AS own, o.url AS next, b.output_path AS target FROM p, n JOIN pages o ON o.page_id = (p.page_id + 1) % n.n JOIN a b ON b.ordinal = o.page_id * 2),
+r AS (SELECT *, string_split(target, '/') ts, string_split(source, '/')[:-2] ss FROM q),
+s AS (SELECT *, len([k FOR k IN range(1, least(len(ss), len(ts) - 1) + 1) IF ss[1:k] = ts[1:k]]) same FROM r)
+SELECT doc, CAST(3 AS INT) AS rewritten, '[self](' || regexp_extract(source, '[^/]*$') || '#x) [other](https://nowhere.example/) ![image](' || next || ') [again](' || regexp_extract(source, '[^/]*$') || {_FRAGMENT.format('own')}
+  || ') [next](' || {_RELATIVE} || {_FRAGMENT.format('next')} || ')' AS markdown FROM s""")
 def rewrite_links(spark, sf_dir):
+    """Every page links to itself in two ways, to the page after it, and elsewhere; images stay."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
     rows = archive.archive_once(fetched(spark, sf_dir)).where("NOT reused")
-    pages = rows.where("ordinal % 2 = 0").select((F.col("ordinal") / 2).cast("bigint").alias("doc"), "final_url", "output_path")
-    bare = F.regexp_replace("final_url", "#.*$", "")
-    body = F.concat(F.lit("[self]("), bare, F.lit("#x) [other](https://nowhere.example/) [again]("), "final_url", F.lit(")"))
-    return archive.rewrite(pages.select("doc", "output_path", body.alias("markdown")), archive.aliases(rows)).select("doc", "rewritten")
+    n = p.agg(F.count("*").alias("n"))
+    after = p.crossJoin(F.broadcast(n)).select(F.pmod(F.col("page_id") - 1, F.col("n")).alias("doc"), F.col("url").alias("next"))
+    pages = rows.where("ordinal % 2 = 0").select((F.col("ordinal") / 2).cast("bigint").alias("doc"), F.col("final_url").alias("own"), "output_path").join(after, "doc")
+    body = F.concat(
+        F.lit("[self]("), F.regexp_replace("own", "#.*$", ""), F.lit("#x) [other](https://nowhere.example/) ![image]("), "next", F.lit(") [again]("), "own", F.lit(") [next]("), "next", F.lit(")")
+    )
+    return archive.rewrite(pages.select("doc", "output_path", body.alias("markdown")), archive.aliases(rows)).select("doc", "rewritten", "markdown")
 
 
 @query("batch_report", "SELECT count(*) AS total, count(*) FILTER (page_id % 7 <> 0) AS processed, count(*) FILTER (page_id % 7 = 0) AS failed, count(*) FILTER (page_id % 7 = 0) = 0 AS success FROM pages")
@@ -494,7 +531,10 @@ def admissions(spark, sf_dir):
     return policy.admissions(table(spark, sf_dir, "events"), "user_id", _SLOW).drop("wait")
 
 
-@query("schedule")
+@query("schedule", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, CASE WHEN event_type = 'error' THEN 7.0 ELSE 1.0 END AS gap, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM events),
+r AS (SELECT user_id, 0::BIGINT k, NULL::BIGINT event_id, 0.0::DOUBLE begins, 0.0::DOUBLE waited, 0.0::DOUBLE ready FROM e WHERE k = 1
+ UNION ALL SELECT r.user_id, e.k, e.event_id, greatest(e.t, r.ready), greatest(e.t, r.ready) - e.t, greatest(e.t, r.ready) + e.gap FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, begins AS start, waited FROM r WHERE k > 0""")
 def schedule(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("retry_after", F.when(F.col("event_type") == "error", 7.0))
     return policy.schedule(e, "user_id")
@@ -519,11 +559,43 @@ def crawl_depths(spark, sf_dir):
     return crawl.traverse(*graph(spark, sf_dir), max_depth=4).select("node", "depth")
 
 
-@query("crawl_budget")
+_CHILDREN = "[(queue[1].n * 2 + 1) % c, (queue[1].n * 3 + 2) % c]"
+
+
+@query("crawl_budget", f"""WITH RECURSIVE c AS (SELECT count(*) c FROM pages),
+r AS (SELECT 0::BIGINT AS rank, NULL::BIGINT AS node, NULL::INT AS depth, [{{'n': 0::BIGINT, 'd': 0}}] AS queue, [0::BIGINT] AS seen FROM c WHERE c > 0
+ UNION ALL SELECT rank + 1, queue[1].n, queue[1].d, list_concat(queue[2:], [{{'n': x, 'd': queue[1].d + 1}} FOR x IN new]), list_concat(seen, new)
+ FROM (SELECT r.*, CASE WHEN queue[1].d < 6 THEN [x FOR x, i IN {_CHILDREN} IF NOT list_contains(seen, x) AND list_position({_CHILDREN}, x) = i] ELSE [] END AS new FROM r, c WHERE len(queue) > 0 AND rank < 20))
+SELECT node, depth, rank FROM r WHERE rank > 0""")
 def crawl_budget(spark, sf_dir):
     return crawl.traverse(*graph(spark, sf_dir), max_depth=6, max_pages=20)
 
 
+_KINDS = "CASE WHEN n % 11 = 3 THEN 'blocked' WHEN n % 5 = 4 AND tries < least(n % 4, 2) THEN 'retry' WHEN n % 7 = 6 OR (n % 5 = 4 AND n % 4 = 3) THEN 'failed' ELSE 'processed' END"
+
+
+@query("crawl", f"""WITH RECURSIVE c AS (SELECT count(*) c FROM pages),
+r AS (SELECT 0::BIGINT AS rank, NULL::BIGINT AS n, NULL::INT AS depth, NULL::INT AS tries, NULL::VARCHAR AS outcome, [{{'n': 0::BIGINT, 'd': 0, 't': 0}}] AS queue, [0::BIGINT] AS seen FROM c WHERE c > 0
+ UNION ALL SELECT rank + 1, n, depth, tries, kind, list_concat(queue[2:], CASE WHEN kind = 'retry' THEN [{{'n': n, 'd': depth, 't': tries + 1}}] ELSE [{{'n': x, 'd': depth + 1, 't': 0}} FOR x IN new] END), list_concat(seen, new)
+ FROM (SELECT *, CASE WHEN kind = 'processed' AND depth < 5 THEN [x FOR x, i IN kids IF NOT list_contains(seen, x) AND list_position(kids, x) = i AND x % 11 <> 3 AND x % 13 <> 12] ELSE []::BIGINT[] END AS new
+ FROM (SELECT *, {_KINDS} AS kind FROM (SELECT rank, queue[1].n AS n, queue[1].d AS depth, queue[1].t AS tries, queue, seen, {_CHILDREN} AS kids FROM r, c WHERE len(queue) > 0 AND rank < 60))))
+SELECT rank, n AS page_id, depth, tries AS retries, outcome FROM r WHERE rank > 0""")
+def crawled(spark, sf_dir):
+    """Every page links to two others; some answer 429 first, some fail, some are out of scope or blocked."""
+    _, edges = graph(spark, sf_dir)
+    site = lambda n: F.concat(F.when(n % 13 == 12, "https://other.org/").otherwise("https://e.org/"), n.cast("string"))
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", site(n).alias("url"))
+    late, bad = n % 5 == 4, n % 7 == 6
+    status = F.when(late & (F.col("attempt") <= n % 4), 429).when(bad, 404).otherwise(200)
+    fetches = p.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("url", "attempt", status.alias("status"), F.col("url").alias("final_url"), F.lit(None).cast("array<string>").alias("hops"))
+    links = edges.select(site(F.col("src")).alias("url"), "pos", site(F.col("dst")).alias("target"))
+    robots_rules = p.select("url", (n % 11 != 3).alias("allowed"))
+    seeds = spark.createDataFrame([("https://e.org/0", 0, 0, 0)], "url string, depth int, retries int, ordinal int")
+    run = crawl.crawl(seeds, fetches, links, "https://e.org/0", "host-only", 5, 60, robots_rules)
+    return run.attempts.select("rank", F.regexp_extract("url", "[0-9]+$", 0).cast("bigint").alias("page_id"), "depth", "retries", "outcome")
+
+
 _HOPS = Rows("url string, seq int, target string", [("https://e.org/a", 1, "https://e.org/b"), ("https://e.org/a", 2, "https://e.org/c"), ("https://e.org/d", 1, "http://e.org/d"), ("https://e.org/f", 1, "https://x.org/")])
 
 
@@ -595,7 +667,7 @@ def image_budget(spark, sf_dir):
     return images.within_budget(_SIZES.df(spark).drop("accepted"), "doc", 40, 100).select("doc", "pos", "accepted")
 
 
-_NAMES = Rows("doc int, pos int, url string, mime string, filename string", [(1, 0, "https://e.org/a b.png", "image/png", "a_b.png"), (1, 1, "https://e.org/x/a%20b.jpg", "image/png", "a_b_1.png"), (1, 2, "https://e.org/a_b.gif", "image/gif", "a_b.gif"), (2, 0, "https://e.org/a b.png", "image/png", "a_b.png")])
+_NAMES = Rows("doc int, pos int, url string, mime string, filename string", [(1, 0, "https://e.org/a b.png", "image/png", "a_b.png"), (1, 1, "https://e.org/x/a%20b.jpg", "image/png", "a_b_1.png"), (1, 2, "https://e.org/a_b.gif", "image/gif", "a_b.gif"), (1, 3, "https://e.org/a_b_1.png", "image/png", "a_b_1_1.png"), (1, 4, "https://e.org/y/a_b.png", "image/png", "a_b_2.png"), (2, 0, "https://e.org/a b.png", "image/png", "a_b.png")])
 
 
 @query("image_names", f"SELECT doc, pos, filename FROM {_NAMES.sql()}")

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators import archive, config, crawl, policy, state
+from pagemill.operators import archive, config, crawl, images, policy, state
 from pagemill.sources import files
 from pagemill.streaming import policies
 
@@ -70,13 +71,111 @@ def test_rewrite(spark):
     assert archive.rewrite(docs, names).first()["markdown"] == "[x](b.md?q=1#f) [y](c.md) [w](https://other.org/) ![i](https://e.org/b)"
 
 
-def test_small_crawls():
-    links = {"a": ["b", "c"], "b": ["a", "d"], "c": [], "d": ["e"]}
-    run = crawl.crawl_queue("a", lambda u: 500 if u == "c" else 200, lambda u: links.get(u, []), max_depth=2)
-    assert run["processed"] == ["a", "b", "d"] and run["failed"] == {"c": "HTTP 500"} and run["attempts"] == 4
-    assert crawl.crawl_queue("a", lambda u: 429, lambda u: [], max_pages=10)["attempts"] == 3
-    assert crawl.crawl_queue("a", lambda u: 200, lambda u: links[u], max_pages=1)["queue"] == [("b", 1), ("c", 1)]
-    assert crawl.crawl_queue("a", lambda u: 200, lambda u: [], allowed=lambda u: False) == {"processed": [], "failed": {}, "attempts": 1, "queue": [], "retries": {}}
+def queue_crawl(seeds, answers, links, start, max_depth, max_pages, allowed, done=(), attempted=0, scope=lambda u, base: True):
+    """The same crawl with a queue, one page after another."""
+    queue, seen, made, base = [s for s in seeds if s[0] not in done], {s[0] for s in seeds} | set(done), [], start
+    while queue and attempted < max_pages:
+        url, depth, retries = queue.pop(0)
+        attempted += 1
+        status, final, hops = (answers.get(url) or [(None, None, [])])[min(retries, max(len(answers.get(url, [])) - 1, 0))]
+        if not allowed(url):
+            made.append((url, depth, "blocked"))
+        elif status == 429 and retries < crawl.RETRIES:
+            made.append((url, depth, "retry"))
+            queue.append((url, depth, retries + 1))
+        elif status is None or not 200 <= status < 400 or (url != start or depth) and not all(scope(h, base) for h in hops):
+            made.append((url, depth, "failed"))
+        else:
+            made.append((url, depth, "processed"))
+            base = final if url == start and not depth else base
+            for target in links.get(url, []) if depth < max_depth else []:
+                if target not in seen and scope(target, base) and allowed(target):
+                    seen.add(target)
+                    queue.append((target, depth + 1, 0))
+    return made, queue
+
+
+def as_tables(spark, seeds, answers, links):
+    return (
+        spark.createDataFrame([(*s, k) for k, s in enumerate(seeds)], "url string, depth int, retries int, ordinal int"),
+        spark.createDataFrame([(u, k + 1, *a) for u, rows in answers.items() for k, a in enumerate(rows)], "url string, attempt int, status int, final_url string, hops array<string>"),
+        spark.createDataFrame([(u, k, t) for u, ts in links.items() for k, t in enumerate(ts)], "url string, pos int, target string"),
+    )
+
+
+def did(run):
+    return [(r["url"], r["depth"], r["outcome"]) for r in run.attempts.orderBy("rank").collect()], [(r["url"], r["depth"], r["retries"]) for r in run.queue.orderBy("place").collect()]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crawl_equals_a_queue(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    site = lambda k: f"https://{'www.' * (k % 3 == 1)}e.org/{k}" if k % 7 else f"https://other.org/{k}"
+    urls = [site(k) for k in range(1, 40)]
+    scope = lambda u, base: u.split("/")[2].endswith("e.org")
+    links = {u: r.sample(urls, 4) + [u] for u in urls}
+    answers = {u: [(r.choice([200, 200, 200, 429, 404, 500]), u, [])] for u in urls} | {u: [(429, u, []), (200, u, [])] for u in urls[5::9]} | {u: [(200, "https://other.org/", ["https://other.org/"])] for u in urls[7::11]}
+    start = urls[1]
+    answers[start] = [(200, start, [])]
+    blocked = set(urls[3::8])
+    robots = spark.createDataFrame([(u, False) for u in blocked], "url string, allowed boolean")
+    for max_pages in (1, 9, 100):
+        want, queue = queue_crawl([(start, 0, 0)], answers, links, start, 3, max_pages, lambda u: u not in blocked, scope=scope)
+        run = crawl.crawl(*as_tables(spark, [(start, 0, 0)], answers, links), start, "subdomain", 3, max_pages, robots)
+        assert did(run) == (want, queue)
+
+
+def test_crawl_goes_on(spark):
+    """A page that always answers 429, with a budget of one attempt more in each run, is failed at the third; as a queue has it."""
+    u, tables = "https://e.org/", lambda seeds: as_tables(spark, seeds, {"https://e.org/": [(429, None, [])]}, {"https://e.org/": ["https://e.org/b"]})
+    seeds, outcomes = [(u, 0, 0)], []
+    for budget in (1, 2, 3):
+        run = crawl.crawl(*tables(seeds), u, max_pages=budget, attempted=len(outcomes))
+        made, seeds = did(run)
+        outcomes += [m[2] for m in made]
+    assert outcomes == ["retry", "retry", "failed"] and seeds == []
+    done = spark.createDataFrame([(u,)], "url string")
+    assert did(crawl.crawl(*tables([(u, 0, 0)]), u, done=done, attempted=1)) == ([], [])
+
+
+def test_crawl_scope_follows_the_start_page(spark):
+    a, b, c = "https://e.org/", "https://www.e.net/", "https://www.e.net/x"
+    run = crawl.crawl(*as_tables(spark, [(a, 0, 0)], {a: [(200, b, [b])], c: [(200, c, [])]}, {a: [c, "https://e.org/y"]}), a, "host-only")
+    assert did(run)[0] == [(a, 0, "processed"), (c, 1, "processed")] and run.scope == b
+    assert run.result().first()["message"] == "completed"
+
+
+def test_image_names_never_meet(spark):
+    rows = [("a.png",), ("x/a.png",), ("a_1.png",), ("a.gif",), ("y/a.png",), ("n" * 300 + ".png",), ("m/" + "n" * 300 + ".png",), ("a_1_1.png",)]
+    d = spark.createDataFrame([(1, k, f"https://e.org/{u}", "image/gif" if u.endswith("gif") else "image/png") for k, (u,) in enumerate(rows)], "doc int, pos int, url string, mime string")
+    got = [r["filename"] for r in images.unique_names(d, "doc").orderBy("pos").collect()]
+    assert got == ["a.png", "a_1.png", "a_1_1.png", "a.gif", "a_2.png", "n" * 196 + ".png", "n" * 194 + "_1.png", "a_1_1_1.png"]
+
+
+def test_redaction_of_addresses(spark):
+    texts = {
+        "go https://me:pw@h.org/x?a=1 now": "go https://[REDACTED]@h.org/x?a=1 now", "https://h.org/?token=1&b=2;sig=3#state=4": "https://h.org/?token=[REDACTED]&b=2;sig=[REDACTED]#state=[REDACTED]",
+        "HTTPS://u@H.org": "https://[REDACTED]@H.org", "https://h.org/?a=b#": "https://h.org/?a=b#", "https://[::1]:8/?api%5Fkey=1": "https://[::1]:8/?api%5Fkey=[REDACTED]", "https://u@[x/y": "https://u@[x/y",
+        "no address": "no address", None: None, "'https://a@b.c','https://d.e'": "'https://[REDACTED]@b.c','https://d.e'",
+    }
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.redact_addresses(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == texts
+    m = spark.range(1).select(X.redact_mapping(F.create_map(F.lit("u"), F.lit("https://me:pw@h.org/x?a=1"), F.lit("password"), F.lit("x"))).alias("m")).first()["m"]
+    assert m == {"u": "https://[REDACTED]@h.org/x?a=1", "password": "[REDACTED]"}
+
+
+def test_archives_of_hosts_in_any_script(spark):
+    rows = [(0, "https://bücher.example/x", "https://bücher.example/x#y"), (1, "https://xn--bcher-kva.example/x", "https://xn--bcher-kva.example/x"), (2, "nothing", "nothing")]
+    d = spark.createDataFrame(rows, "ordinal bigint, requested_url string, final_url string")
+    got = {r["ordinal"]: (r["identity"], r["reused"], r["error"] is None) for r in archive.archive_once(d).collect()}
+    assert got[0] == ("https://xn--bcher-kva.example/x", False, True) and got[1] == ("https://xn--bcher-kva.example/x", True, True) and got[2][0] is None and not got[2][2]
+    first = archive.batch_urls([d.where("ordinal < 2").select("ordinal", F.col("final_url").alias("url"))]).collect()
+    assert [(r["identity"], r["ordinal"]) for r in first] == [("https://xn--bcher-kva.example/x", 0)]
+    names = archive.aliases(archive.archive_once(d))
+    docs = spark.createDataFrame([(1, "xn--bcher-kva.example/a.md", "[x](https://bücher.example/x?q=1#f)")], "doc int, output_path string, markdown string")
+    assert archive.rewrite(docs, names).first()["markdown"].startswith("[x](x-")
 
 
 @pytest.mark.parametrize("bad", [{"max_depth": -1}, {"max_pages": 0}, {"delay": float("inf")}, {"rate_limit": 0}, {"rule": "("}])
