@@ -41,21 +41,23 @@ RARE = 32
 #: The first rank strip; the others double it.
 FIRST_STRIP = 2.0**-4
 _POISSON = 24
+_CELL, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _cell_darts(elements: np.ndarray, at: np.ndarray, area: float, low: float, high: float, tag: int, k: int):
-    """The darts of one cell (at most unit area) for each element: index of the element, coordinate, rank, identity, uniform weight position."""
-    h = mix(elements ^ np.uint64((tag * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1)))
+def _cell_darts(elements: np.ndarray, tag: np.ndarray, area: float, low: np.ndarray, height: float, k: int):
+    """The darts of cells (of at most unit area), one for each element: index of the element, coordinate, rank, identity, uniform weight
+    position. tag and low tell the cell's number and the rank it begins at, for each element or for all."""
+    h = mix(elements ^ (tag * _CELL + _SALT))
     u = _uniform(h)
     p = math.exp(-area)
-    hit = np.flatnonzero(u >= p)
-    if not len(hit):
+    at = np.flatnonzero(u >= p)
+    if not len(at):
         return None
-    u, h, at = u[hit], h[hit], at[hit]
+    u, h = u[at], h[at]
     number, total, term = np.ones(len(u), np.int64), p, p
     for n in range(1, _POISSON):
         term *= area / n
@@ -67,10 +69,11 @@ def _cell_darts(elements: np.ndarray, at: np.ndarray, area: float, low: float, h
     index = np.repeat(np.arange(len(u)), number)
     turn = np.arange(len(index)) - np.repeat(np.cumsum(number) - number, number)
     dart = mix(h[index] + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
-    rank = low + (high - low) * _uniform(dart)
+    at = at[index]
+    rank = (low[at] if len(low) > 1 else low) + height * _uniform(dart)
     second = mix(dart ^ np.uint64(0xA0761D6478BD642F))
     coordinate = ((second >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-    return at[index], coordinate, rank, dart, _uniform(mix(second))
+    return at, coordinate, rank, dart, second
 
 
 def signatures(elements: np.ndarray, sizes: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -89,32 +92,40 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, k: int, weights: np.ndar
     heaviest = 1.0 if weights is None or not len(weights) else float(weights.max())
     strips = int(math.ceil(math.log2(heaviest))) + 1 if heaviest > 1 else 1
     live = np.flatnonzero(mass > 0)
+    heavy = np.flatnonzero(weights > 1) if weights is not None else live[:0]
+    # elements of weight 1 and more fill the lowest cell, so all its darts count; few weigh more
+    full = weights is None or not len(weights) or float(weights.min()) >= 1
     strip = 0
     while len(live):
         mine = np.zeros(n, bool)
         mine[live] = True
-        pick = np.flatnonzero(mine[owner])
+        pick, more = np.flatnonzero(mine[owner]), heavy[mine[owner[heavy]]]
         low, high = (0.0, FIRST_STRIP) if strip == 0 else (FIRST_STRIP * 2.0 ** (strip - 1), FIRST_STRIP * 2.0**strip)
         for v in range(strips):
             floor, width = (0.0, 1.0) if v == 0 else (2.0 ** (v - 1), 2.0 ** (v - 1))
-            some = pick if v == 0 else pick[weights[pick] > floor]
+            some = pick if v == 0 else more[weights[more] > floor]
             if not len(some):
                 continue
             area = width * (high - low)
             cells = max(1, math.ceil(area))
-            for c in range(cells):
-                a, b = low + (high - low) * c / cells, low + (high - low) * (c + 1) / cells
-                for s in range(0, len(some), 1 << 18):
-                    part = some[s : s + (1 << 18)]
-                    got = _cell_darts(elements[part], part, area / cells, a, b, (strip * 64 + v) * 4096 + c % 4096 + (c // 4096 << 24), k)
-                    if got is None:
-                        continue
-                    at, coordinate, rank, dart, place = got
-                    if weights is not None:
-                        ok = floor + width * place < weights[at]
-                        at, coordinate, rank, dart = at[ok], coordinate[ok], rank[ok], dart[ok]
-                    key = rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart & np.uint64(0xFFFFFFFF)
-                    np.minimum.at(out, owner[at] * k + coordinate, key)
+            height, first = (high - low) / cells, (strip * 64 + v) << 40
+            for s in range(0, cells * len(some), 1 << 18):
+                # cell after cell, each with all the elements
+                if cells == 1:
+                    part, c = some[s : s + (1 << 18)], np.zeros(1, np.uint64)
+                else:
+                    c, part = np.divmod(np.arange(s, min(s + (1 << 18), cells * len(some))), len(some))
+                    part, c = some[part], c.astype(np.uint64)
+                got = _cell_darts(elements[part], c + np.uint64(first), area / cells, low + height * c, height, k)
+                if got is None:
+                    continue
+                at, coordinate, rank, dart, second = got
+                at = part[at]
+                if v or not full:
+                    ok = floor + width * _uniform(mix(second)) < weights[at]
+                    at, coordinate, rank, dart = at[ok], coordinate[ok], rank[ok], dart[ok]
+                key = rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | dart & np.uint64(0xFFFFFFFF)
+                np.minimum.at(out, owner[at] * k + coordinate, key)
         strip += 1
         due = live[need[live] <= strip - 1]
         filled = (out.reshape(n, k)[due] != np.iinfo(np.uint64).max).all(1)

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagemill.llm import bpe
@@ -75,3 +76,40 @@ def test_empty_corpus(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, corpus[0]), name)
     assert docs.count() == 0
+
+
+AWKWARD = [
+    (None, None), (None, ""), (None, prose(60)), (1, None), (2, ""), (3, " \n\t"), (4, prose(120)), (4, prose(120)), (5, "x" * 300_000), (6, prose(30_000)), (7, "one"), (-8, prose(80)),
+]
+
+
+def test_awkward_rows_of_every_stage(spark, corpus):
+    """Nulls in any column, empty and very long texts, repeated rows and further columns with names that the operators use themselves."""
+    rows = AWKWARD + AWKWARD[4:8]
+    d = spark.createDataFrame([(i, t, None, None if i else "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("score", "class_id", "copy_of", "h1", "h2", "gone", "digest", "ids", "_text", "part", "head"):
+        d = d.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, corpus[0]).collect()
+        ids = [r["doc_id"] for r in out]
+        if name == "near_duplicates":  # the repeated rows go, other texts of an id stay
+            assert sorted(i for i in ids if i is not None) == [-8, 1, 2, 3, 4, 4, 5, 6, 7] and ids.count(None) == 3
+        elif name != "quality":
+            assert sorted((i is None, i or 0) for i in ids) == sorted((i is None, i or 0) for i, _ in rows)
+        if name == "repeated_passages":
+            assert {r["text"] for r in out} - {None, ""} == {t for _, t in rows} - {None, ""}
+        if name == "tokens":
+            assert all(r["n_tokens"] == 0 for r in out if r["doc_id"] in (1, 2, 3))
+        elif name == "quality":
+            assert set(ids) <= {i for i, _ in rows} and all(ids.count(i) in (0, n) for i, n in ((4, 4), (2, 2), (3, 2)))
+
+
+def test_ties_stay(spark, corpus):
+    """Of equal scores all or none are rejected; of texts exactly as similar as the threshold one stays."""
+    w = [f"t{k}" for k in range(94)]  # 90 shingles; 10 of them go with the last 10 words: 80 shared of 100 in all
+    a, b = " ".join(w), " ".join([*w[:84], *(f"u{k}" for k in range(10))])
+    rows = [(1, a), (2, b)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, corpus[0]).collect()] == [1]
+    same = spark.createDataFrame([(k, "equal text.", "en", "s", 1) for k in range(9)], d.schema)
+    assert corpus_pipeline.quality(spark, same, corpus[0]).count() in (0, 9)
