@@ -20,9 +20,16 @@ def is_local(spark: SparkSession) -> bool:
     return master.startswith("local") and not master.startswith("local-cluster")
 
 
+#: Bytes from which a worker's memory goes back to the system as soon as it is free: workers live through many stages, and what one leaves in the
+#: heap would be missing in the next.
+FREED_AT_ONCE = 1 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package: on a cluster Spark sends it to them once a session, compiled."""
     context = spark.sparkContext
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        context.environment.setdefault(name, str(FREED_AT_ONCE))
     if is_local(spark):
         paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         if str(ROOT) not in paths:
