@@ -20,16 +20,20 @@ def is_local(spark: SparkSession) -> bool:
     return master.startswith("local") and not master.startswith("local-cluster")
 
 
-#: Bytes from which a worker's memory goes back to the system as soon as it is free: workers live through many stages, and what one leaves in the
-#: heap would be missing in the next.
-FREED_AT_ONCE = 1 << 20
+#: Bytes from which a worker's free memory goes back to the system, where its arrays begin to be mapped and at the heap's end: workers live
+#: through many stages, and what one leaves in the heap would be missing in the next.
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": 8 << 20, "MALLOC_TRIM_THRESHOLD_": 32 << 20}
+#: Bytes of an Arrow batch, where the session says nothing else: texts are long, and each task holds some batches on both sides.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: on a cluster Spark sends it to them once a session, compiled."""
+    """Lets Python workers import this package: on a cluster Spark sends it to them once a session, compiled. Bounds what workers hold."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     context = spark.sparkContext
-    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
-        context.environment.setdefault(name, str(FREED_AT_ONCE))
+    for name, size in _MALLOC.items():
+        context.environment.setdefault(name, str(size))
     if is_local(spark):
         paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         if str(ROOT) not in paths:
