@@ -165,8 +165,8 @@ def normalize_hostname(host: Column) -> Column:
 
 def safe_segment(value: Column) -> Column:
     """One safe part of a path: percent-decoded once, other than letters, digits, `_`, `.` and `-` replaced. A stray percent sign
-    leaves the whole part undecoded."""
-    decoded = F.coalesce(F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")), value)
+    stands for itself."""
+    decoded = F.try_url_decode(F.regexp_replace(F.regexp_replace(value, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25"))
     clean = F.regexp_replace(F.trim(decoded), r"[^\p{L}\p{N}_.-]", "_")
     clean = F.regexp_replace(clean, r"^[. ]+|[. ]+$", "")
     return F.when(clean == "", "_").otherwise(clean)
@@ -254,7 +254,7 @@ SQL_IDENTITY = f"""CASE WHEN sch IN ('http', 'https') AND usr IS NULL AND host <
 
 
 def sql_safe(value: str) -> str:
-    decoded = f"CASE WHEN regexp_matches({value}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN {value} ELSE url_decode({value}) END"
+    decoded = f"url_decode({value})"
     return f"coalesce(nullif(regexp_replace(regexp_replace(trim({decoded}), '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g'), ''), '_')"
 
 

@@ -29,6 +29,22 @@ def union_inputs(parts: list[DataFrame], order: str = "ordinal") -> DataFrame:
     return out
 
 
+#: The marks of a listing's entries.
+FOLDER, NOTE, PAGE, OTHER = "\U0001f4c1", "\U0001f4dd", "\U0001f310", "\U0001f4c4"
+
+
+def tree(paths: DataFrame, depth: int = 3) -> DataFrame:
+    """path -> path, level, line of every folder and file down to `depth` levels, each once; ordered by path they read as a tree, folders
+    above what they hold. A folder at the last level stands for what is below it."""
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    level = F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(depth)))).alias("level")
+    cut = paths.select(parts.alias("parts")).where(F.size("parts") > 0).select("parts", level)
+    entry = cut.select(F.array_join(F.slice("parts", F.lit(1), F.col("level")), "/").alias("path"), F.element_at("parts", F.col("level")).alias("name"), "level", (F.size("parts") > F.col("level")).alias("folder"))
+    entry = entry.groupBy("path", "name", "level").agg(F.max("folder").alias("folder"))
+    mark = F.when(F.col("folder"), FOLDER).when(F.col("name").endswith(".md"), NOTE).when(F.col("name").endswith(".html"), PAGE).otherwise(OTHER)
+    return entry.select("path", "level", F.concat(F.repeat(F.lit("  "), F.col("level") - 1), mark, F.lit(" "), F.col("name")).alias("line"))
+
+
 def batch_urls(parts: list[DataFrame]) -> DataFrame:
     """ordinal, url -> each identity once, where it came first. An invalid url fails the batch."""
     rows = union_inputs(parts).withColumn("identity", any_identity(F.col("url")))

@@ -57,8 +57,10 @@ def replace_domain(current: DataFrame, new: DataFrame, host: str) -> DataFrame:
 
 
 def from_export(exports: DataFrame, host: str | None = None) -> DataFrame:
-    """json (a list of cookies) -> cookie rows; entries without name or value are left out."""
-    c = exports.select("export_id", F.posexplode(F.from_json("json", EXPORT)).alias("pos", "c")).where("c.name IS NOT NULL AND c.value IS NOT NULL")
+    """json -> cookie rows: a list of cookies, of which those without name or value are left out, or an object of names and values, whose
+    cookies are the host's alone and need one."""
+    listed = F.ltrim("json").startswith("[")
+    c = exports.where(listed).select("export_id", F.posexplode(F.from_json("json", EXPORT)).alias("pos", "c")).where("c.name IS NOT NULL AND c.value IS NOT NULL")
     domain = F.coalesce("c.domain", F.lit(host or ""))
     rows = c.select(
         "export_id", "pos", "c.name", "c.value", domain.alias("domain"), F.coalesce(F.nullif("c.path", F.lit("")), F.lit("/")).alias("path"),
@@ -66,7 +68,14 @@ def from_export(exports: DataFrame, host: str | None = None) -> DataFrame:
         F.coalesce("c.httpOnly", F.lit(False)).alias("http_only"), F.col("c.sameSite").alias("same_site"),
         F.coalesce("c.hostOnly", ~domain.startswith(".")).alias("host_only"),
     )
-    return rows if host is None else rows.where(domain_matches(F.lit(host), F.col("domain"), F.col("host_only")))
+    if host is not None:
+        rows = rows.where(domain_matches(F.lit(host), F.col("domain"), F.col("host_only")))
+    scope = F.raise_error(F.lit("cookies without a domain need a target host")).cast("string") if host is None else F.lit(host)
+    plain = exports.where(~listed).select("export_id", F.posexplode(F.from_json("json", "map<string,string>")).alias("pos", "name", "value")).select(
+        "export_id", "pos", "name", "value", scope.alias("domain"), F.lit("/").alias("path"), F.lit(None).cast("bigint").alias("expires"), F.lit(False).alias("secure"),
+        F.lit(False).alias("http_only"), F.lit(None).cast("string").alias("same_site"), F.lit(True).alias("host_only"),
+    )
+    return rows.unionByName(plain)
 
 
 def firefox_rows(cookies: DataFrame, now: Column) -> DataFrame:

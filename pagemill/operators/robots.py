@@ -6,7 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import origin_key, split_url
+from pagemill.functions.urls import origin_key, robots_url, split_url
+
+
+#: Seconds that a fetched robots file counts.
+TTL = 3600
+
+
+def contents(responses: DataFrame) -> DataFrame:
+    """origin, status, body (status null: no answer) -> origin, status, content: a 2xx body, nothing but permission for 4xx, else null."""
+    return responses.select("origin", "status", F.when(F.col("status").between(200, 299), F.coalesce("body", F.lit(""))).when(F.col("status").between(400, 499), F.lit("")).alias("content"))
+
+
+def to_fetch(urls: DataFrame, fetched: DataFrame, now: Column, ttl: int = TTL) -> DataFrame:
+    """origin, robots_url: once for each origin of the urls whose robots file was not fetched (origin, fetched_at in seconds) within `ttl`."""
+    wanted = urls.select(origin_key(F.col("url")).alias("origin"), robots_url(F.col("url")).alias("robots_url")).where("origin IS NOT NULL")
+    fresh = fetched.where(now - F.col("fetched_at") < ttl).select("origin").distinct()
+    return wanted.join(fresh, "origin", "left_anti").groupBy("origin").agg(F.min("robots_url").alias("robots_url"))
 
 
 def product_token(agent: str) -> str:

@@ -142,7 +142,7 @@ def output_paths(spark, sf_dir):
     return v.select("page_id", "variant", *[U.output_path(F.col("identity"), x).alias(f"{x}_path") for x in U.LAYOUTS])
 
 
-_SEGMENTS = Rows("value string, expected string", [("a b", "a_b"), ("%2e%2e", "_"), ("..", "_"), ("a%2Fb", "a_b"), ("été-1.html", "été-1.html"), ("", "_"), ("a+b", "a_b"), (" x. ", "x"), ("100%", "100_"), ("日本", "日本"), ("a:b*c", "a_b_c")])
+_SEGMENTS = Rows("value string, expected string", [("a b", "a_b"), ("%2e%2e", "_"), ("..", "_"), ("a%2Fb", "a_b"), ("été-1.html", "été-1.html"), ("", "_"), ("a+b", "a_b"), (" x. ", "x"), ("100%", "100_"), ("50%%20a%41", "50__aA"), ("日本", "日本"), ("a:b*c", "a_b_c")])
 
 
 @query("safe_segments", f"SELECT value, expected AS segment FROM {_SEGMENTS.sql()}")
@@ -620,6 +620,15 @@ def crawl_delays(spark, sf_dir):
     return robots.crawl_delays(_ROBOTS.df(spark), "mill/1.0")
 
 
+@query("robots_fetches", f"""SELECT origin, min(origin || '/robots.txt') AS robots_url FROM (SELECT page_id, sch || '://' || lower(net) AS origin FROM ({U.sql_parts(_SQL_VARIANTS)}) WHERE variant IN ('plain', 'port')) u
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT page_id, sch || '://' || lower(net) AS origin FROM ({U.sql_parts(_SQL_VARIANTS)}) WHERE variant = 'plain') f WHERE f.origin = u.origin AND f.page_id > 100) GROUP BY origin""")
+def robots_fetches(spark, sf_dir):
+    """The robots files to fetch for all urls, where each page's own was fetched page_id seconds after a time 3,700 seconds ago."""
+    v = variants(spark, sf_dir).where(F.col("variant").isin("plain", "port"))
+    fetched = v.where("variant = 'plain'").select(U.origin_key(F.col("url")).alias("origin"), F.col("page_id").alias("fetched_at"))
+    return robots.to_fetch(v, fetched, F.lit(3700))
+
+
 # ---- cookies, images, state, evaluation ------------------------------------------------------------------------------
 
 _COOKIES = Rows("pos int, name string, value string, domain string, path string, expires bigint, secure boolean, host_only boolean", [
@@ -635,9 +644,9 @@ def cookie_headers(spark, sf_dir):
 _EXPORTED = '[{"name":"a","value":"1","domain":".e.org","expirationDate":1.9,"secure":true},{"name":"b","value":"2"},{"value":"3"}]'
 
 
-@query("cookie_export", "SELECT * FROM (VALUES ('a', '.e.org', '/', 1::BIGINT, true, false), ('b', 'e.org', '/', NULL, false, true)) v(name, domain, path, expires, secure, host_only)")
+@query("cookie_export", "SELECT * FROM (VALUES ('a', '.e.org', '/', 1::BIGINT, true, false), ('b', 'e.org', '/', NULL, false, true), ('name', 'e.org', '/', NULL, false, true), ('value', 'e.org', '/', NULL, false, true)) v(name, domain, path, expires, secure, host_only)")
 def cookie_export(spark, sf_dir):
-    return cookies.from_export(spark.createDataFrame([(1, _EXPORTED)], "export_id int, json string"), "e.org").select("name", "domain", "path", "expires", "secure", "host_only")
+    return cookies.from_export(spark.createDataFrame([(1, _EXPORTED), (2, '{"name": "s", "value": 9}')], "export_id int, json string"), "e.org").select("name", "domain", "path", "expires", "secure", "host_only")
 
 
 _STORES = Rows("name string, value string, domain string, expiry bigint, expires_utc bigint", [("a", "1", ".e.org", 100, 11644473700000000), ("b", "2", "e.org", 0, 0), ("c", "", "e.org", 99, 11644473701000000), ("d", "4", "e.org", 101, 11644473701000000)])
@@ -720,3 +729,44 @@ def place_assets(spark, sf_dir):
     p = wide(table(spark, sf_dir, "pages")).withColumn("html", F.concat(F.lit('<img src="'), name, F.lit('">'), "html"))
     acquired = table(spark, sf_dir, "pages").where("page_id % 2 = 0").select(name.alias("url"), F.concat(F.lit("images/"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
     return requests.place_assets(p, acquired).select("page_id", "placed")
+
+
+# ---- listings and progress -------------------------------------------------------------------------------------------
+
+_SQL_DOC_PATH = "coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.html' ELSE '.txt' END"
+
+
+@query("archive_tree", f"""WITH p AS (SELECT string_split({_SQL_DOC_PATH}, '/') s FROM documents WHERE doc_id IS NOT NULL)
+SELECT DISTINCT array_to_string(s[:k], '/') AS path, k::INT AS level, repeat('  ', (k - 1)::INT) || CASE WHEN k < 3 THEN '{archive.FOLDER}' WHEN s[3] LIKE '%.md' THEN '{archive.NOTE}' WHEN s[3] LIKE '%.html' THEN '{archive.PAGE}' ELSE '{archive.OTHER}' END
+  || ' ' || s[k] AS line FROM p, range(1, 4) r(k)""")
+def archive_tree(spark, sf_dir):
+    """An archive's listing, of paths made of every document's source, language and id."""
+    end = F.element_at(F.array(*map(F.lit, (".md", ".html", ".txt"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), end)
+    return archive.tree(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(path.alias("path")))
+
+
+_SQL_RESULTS = "SELECT event_type AS crawl_id, event_id AS pos, 'u' || user_id AS url, value >= 20 AS success, CASE WHEN event_id % 7 <> 0 THEN 'f' || event_id END AS output_path, CASE WHEN event_id % 5 <> 0 THEN 'e' || event_id END AS error FROM events"
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Every event as the result of a page: of a user's url, in the crawl of its type."""
+    kept = lambda n, mark: F.when(F.col("event_id") % n != 0, F.concat(F.lit(mark), F.col("event_id").cast("string")))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("crawl_id"), F.col("event_id").alias("pos"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
+        (F.col("value") >= 20).alias("success"), kept(7, "f").alias("output_path"), kept(5, "e").alias("error"),
+    )
+
+
+@query("crawl_outcomes", f"""WITH r AS ({_SQL_RESULTS}) SELECT crawl_id, url, arg_max(output_path, pos) FILTER (WHERE success AND output_path IS NOT NULL) AS output_path,
+  arg_max(error, pos) FILTER (WHERE NOT success AND error IS NOT NULL) AS error FROM r GROUP BY crawl_id, url HAVING output_path IS NOT NULL OR error IS NOT NULL""")
+def crawl_outcomes(spark, sf_dir):
+    """The results in two parts, the later ones on top of the state that the first 5,000 lead to."""
+    rows = _results(spark, sf_dir)
+    return state.outcomes(rows.where("pos >= 5000"), state.outcomes(rows.where("pos < 5000")))
+
+
+@query("crawl_counters", f"WITH r AS ({_SQL_RESULTS}) SELECT crawl_id, count(*) AS urls_processed, count(*) FILTER (WHERE NOT success AND error IS NOT NULL) AS urls_failed FROM r GROUP BY crawl_id")
+def crawl_counters(spark, sf_dir):
+    rows = _results(spark, sf_dir)
+    return state.counters(rows.where("pos % 2 = 1"), state.counters(rows.where("pos % 2 = 0")))

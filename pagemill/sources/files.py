@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -95,6 +96,28 @@ def local_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The store of a path and the path, as Spark's own readers see them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def expand_patterns(spark: SparkSession, patterns: list[str]) -> tuple[list[str], list[str]]:
+    """(paths, unmatched): what each pattern matches in its store, in the patterns' order and sorted within each; a path that several
+    patterns match comes as often. `~` is the home folder; a wildcard matches no hidden name."""
+    found, unmatched = [], []
+    for pattern in patterns:
+        store, place = hadoop(spark, os.path.expanduser(pattern))
+        paths = [hit.getPath() for hit in store.globStatus(place) or ()]
+        if not place.getName().startswith("."):
+            paths = [p for p in paths if not p.getName().startswith(".")]
+        names = sorted(p.toString() if place.toUri().getScheme() else p.toUri().getPath() for p in paths)
+        found += names
+        if not names:
+            unmatched.append(pattern)
+    return found, unmatched
+
+
 def link_lists(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
     """path, text, error of Markdown files with links; lenient: unreadable files are left out."""
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", str(lenient).lower()).load(path)

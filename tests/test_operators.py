@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators import archive, config, crawl, images, policy, state
+from pagemill.operators import archive, config, cookies, crawl, images, policy, robots, state
 from pagemill.sources import files
 from pagemill.streaming import policies
 
@@ -214,6 +214,18 @@ def test_state_store(spark, tmp_path):
     new = store.import_state(row)
     assert store.resolve("crawl-00") == "crawl-0001" and store.load(new).first()["attempted_count"] == 1
     assert store.listing().count() == 2
+    later = row.withColumn("start_url", F.lit("later"))
+    store.save(later, "crawl-0001")
+    assert {p.name for p in (tmp_path / "s").glob("crawl-0001.*")} == {"crawl-0001.json", "crawl-0001.bak"}
+    assert store.load("crawl-0001").first()["start_url"] == "later"
+    store.export("crawl-0001", f"{tmp_path}/out/e.json")
+    assert '"later"' in (tmp_path / "out/e.json").read_text()
+    for broken in ("{", '{"crawl_id":"another"}', '{"crawl_id":"crawl-0001","version":"9"}'):  # the backup is there for each of these
+        (tmp_path / "s/.crawl-0001.json.crc").unlink(missing_ok=True)
+        (tmp_path / "s/crawl-0001.json").write_text(broken)
+        assert [(r["start_url"], r["error"]) for r in store.load("crawl-0001").collect()] == [(None, None)]
+    assert store.clean(1, F.current_timestamp()) == 0 and store.clean(-1, F.current_timestamp()) == 2
+    assert not [*(tmp_path / "s").glob("*.json"), *(tmp_path / "s").glob("*.bak")]
     for bad in ("../x", "", "craw"):
         with pytest.raises(ValueError):
             store.resolve(bad)
@@ -221,6 +233,52 @@ def test_state_store(spark, tmp_path):
     assert kept == [*range(1, 10), 99]
 
 
+def test_config_files(tmp_path):
+    place, defaults = tmp_path / "c" / "config.json", {"a": 1, "p": {"q": "x"}}
+    assert config.load(defaults, place) == (defaults, None)
+    for k in range(8):
+        config.save({"a": k}, place)
+    assert config.load(defaults, place) == ({"a": 7, "p": {"q": "x"}}, str(place)) and len(list(place.parent.iterdir())) == 6
+    assert config.load_private(place) == {"a": 7}
+    for bad in ("{", "[]", '{"a": "text"}'):
+        place.write_text(bad)
+        found, source = config.load(defaults, place)
+        assert found["a"] == 6 and source.endswith(".bak.json")
+    place.write_text("{")
+    with pytest.raises(config.ConfigError):
+        config.load_private(place)
+    place.write_text('"' + "x" * config.PRIVATE_BYTES + '"')
+    with pytest.raises(config.ConfigError):
+        config.load_private(place)
+    place.write_text("1")
+    place.chmod(0o644)
+    with pytest.raises(config.ConfigError):
+        config.load_private(place)
+    (tmp_path / "link").symlink_to(place)
+    with pytest.raises(OSError):
+        config.load_private(tmp_path / "link")
+    assert config.json_safe({1: (place, {2}), "k": None}) == {"1": [str(place), [2]], "k": None}
+
+
+def test_patterns(spark, tmp_path):
+    for n in ("b.md", "a.md", ".hidden.md", "c.txt"):
+        (tmp_path / n).write_text("x")
+    found, unmatched = files.expand_patterns(spark, [f"{tmp_path}/*.md", f"{tmp_path}/none*", f"{tmp_path}/a.md", f"file:{tmp_path}/c.*"])
+    assert found == [f"{tmp_path}/a.md", f"{tmp_path}/b.md", f"{tmp_path}/a.md", f"file:{tmp_path}/c.txt"] and unmatched == [f"{tmp_path}/none*"]
+
+
+def test_robots_contents(spark):
+    rows = spark.createDataFrame([("a", 200, "x"), ("b", 404, "y"), ("c", 503, "z"), ("d", None, None), ("e", 204, None)], "origin string, status int, body string")
+    assert {r["origin"]: r["content"] for r in robots.contents(rows).collect()} == {"a": "x", "b": "", "c": None, "d": None, "e": ""}
+
+
+def test_cookie_mapping_needs_a_host(spark):
+    rows = spark.createDataFrame([(1, ' {"a": "1"}'), (2, None), (3, "[]")], "export_id int, json string")
+    assert [(r["name"], r["domain"], r["host_only"]) for r in cookies.from_export(rows, "e.org").collect()] == [("a", "e.org", True)]
+    with pytest.raises(Exception, match="target host"):
+        cookies.from_export(rows).collect()
+
+
 def test_config(spark):
     defaults = {"crawl": {"depth": 3, "delay": 0.5, "polite": False}, "out": "x", "headers": {}}
     merged = config.merge(defaults, {"crawl": {"depth": 5}, "new": 1, "headers": {"A": "b"}})
