@@ -121,3 +121,13 @@ def test_quality_corpus(spark):
 
     for r in evaluate.scores(evaluate.CORPUS.df(spark), ("main",)).collect():
         assert r["honest"] and r["recall"] in (None, 1.0) and r["rejection"] in (None, 1.0), r
+
+
+def test_sql_names(spark):
+    P.register(spark)
+    page = "<html><head><title>T</title></head><body><h2>A</h2><p><a href=\"/b\">c</a></p></body></html>"
+    spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").createOrReplaceTempView("_pagemill_sql_names")
+    found = dict(spark.sql("SELECT id, html_to_markdown(html) FROM _pagemill_sql_names").collect())
+    assert "## A" in found[1] and "[c](/b)" in found[1] and found[2] is None and found[3].strip() == ""
+    got = spark.sql("SELECT html_links(html, 'https://e.org/x').links l, url_join('https://e.org/x', '/b') u, md_urls('see https://e.org/q') m FROM _pagemill_sql_names WHERE id = 1").first()
+    assert got.u == "https://e.org/b" and got.m == ["https://e.org/q"] and len(got.l) == 1
