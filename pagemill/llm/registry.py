@@ -16,6 +16,9 @@ MODULES = {
     "op8_near_dup": "dartminhash",
     "op9_line_rules": "linerules",
     "op10_warc": "warc",
+    "op11_byte_bpe": "bytebpe",
+    "op12_fim": "fim",
+    "op13_hard_negatives": "hardneg",
 }
 _loaded = {name: importlib.import_module(f"pagemill.llm.{module}") for name, module in MODULES.items()}
 
