@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import gram_hashes, mix, of_classes, rounds, ship, stored, string_buffers, word_bounds, word_hashes
@@ -256,42 +256,66 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of documents (doc_id, comp) in different components that can be as similar as that.
-
-    Two sets of that similarity share one of their rarest shingles: of |x| shingles in the order of their document frequency, one of
-    the first |x| - ceil(t |x|) + 1. Either the rarest that they share is in RARE documents or fewer, and so meets few; or their
-    intersection has only shingles of more documents, and each has at least a share t of such. The latter meet by shingle and
-    length: bands are as wide as the sizes of two similar sets can be apart. Of the documents of one shingle and band those of its largest component are
-    not compared with one another, as they are linked already: a family of variants costs its size times the number of strangers.
-    """
+def _prefixes(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, comp, n (shingles), m1 and m2 (how many of them are in more than one document, in more than RARE), p1 and p2: of the first ones by document
+    frequency, as many as two sets of that similarity must share one of, those in 2 to RARE documents, and those in more."""
     listed = placed.join(sets, "doc_id").select("doc_id", "text", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = listed.groupBy("t").agg(F.count("*").alias("c"))
     length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
     rare = listed.join(often, "t").groupBy("doc_id", "text", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("s"))
     held = lambda least: F.size(F.filter("s", lambda e: e["c"] > least))
     part = lambda keep: F.transform(F.filter(F.slice("s", F.lit(1), length), keep), lambda e: e["t"])
-    rare = rare.select(
-        "doc_id", "comp", "n", F.floor(F.log("n") / math.log(1 / threshold)).cast("int").alias("band"), held(1).alias("m1"), held(RARE).alias("m2"),
-        part(lambda e: (e["c"] > 1) & (e["c"] <= RARE)).alias("p1"), part(lambda e: e["c"] > RARE).alias("p2"),
-    )
-    rare = stored(rare, "prefixes")
-    columns = lambda rows, s, m, p, *more: rows.select(*[F.col(c).alias(a + s) for c, a in (("doc_id", ""), ("comp", "c"), ("n", "n"), (m, "m"), (p, "p"))], *more)
-    apart = (F.col("ca") != F.col("cb")) & (F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
-    once = F.array_min(F.array_intersect("pa", "pb")) == F.col("t")  # each pair at the least of the shingles that it meets in
+    return rare.select("doc_id", "comp", "n", held(1).alias("m1"), held(RARE).alias("m2"), part(lambda e: (e["c"] > 1) & (e["c"] <= RARE)).alias("p1"), part(lambda e: e["c"] > RARE).alias("p2"))
+
+
+def _step(size: Column) -> Column:
+    """The step of a size; each is a thirty-second wider than the one before."""
+    return F.floor(F.log(size.cast("double")) * (1 / math.log1p(1 / 32)) + 1e-9).cast("int")
+
+
+def frequent_meetings(rare: DataFrame, threshold: float) -> DataFrame:
+    """Rows a, b (and what decides about them) that meet in a frequent shingle, as they may have no rarer one in common.
+
+    Such two share frequent shingles alone, i of them. From i / (x + y - i) >= t follows i >= t (x + y) / (1 + t); as i is at most either's number m of frequent
+    shingles, the larger, of x shingles, meets only sizes y from t x to m (1 + t) / t - x, and the smaller needs m >= 2 t y / (1 + t). Sizes meet by steps. So pages
+    of one template, whose own words keep them apart, do not meet at all: those with enough in common to be the smaller are linked with one another. Of the
+    documents of one shingle and step those of its largest component are not compared, as they are linked already: a family of variants costs its size times the
+    number of strangers that may be as similar.
+    """
+    n, m = F.col("n"), F.col("m2")
+    most = F.floor(m * ((1 + threshold) / threshold) - n + 1e-9)
+    large = rare.where((F.size("p2") > 0) & (most >= threshold * n - 1e-9)).withColumn("most", F.least(most, n)).withColumn("t", F.explode("p2"))
+    large = large.withColumn("cell", F.explode(F.sequence(_step(F.ceil(threshold * n - 1e-9)), _step(F.col("most")))))
+    small = rare.where((F.size("p2") > 0) & (m * (1 + threshold) >= 2 * threshold * n - 1e-9)).withColumn("t", F.explode("p2")).withColumn("cell", _step(n))
+    large, small = stored(large, "cells"), stored(small, "cells")
+    sides = large.select("t", "cell", "comp", F.lit(1).alias("l"), F.lit(0).alias("s")).unionByName(small.select("t", "cell", "comp", F.lit(0).alias("l"), F.lit(1).alias("s")))
+    families = sides.groupBy("t", "cell", "comp").agg(F.sum("l").alias("l"), F.sum("s").alias("s")).groupBy("t", "cell")
+    families = families.agg(F.max_by("comp", F.struct(F.col("l") + F.col("s"), "comp")).alias("largest"), F.count("*").alias("families"), F.sum("l").alias("l"), F.sum("s").alias("s"))
+    families = families.where("families > 1 AND l > 0 AND s > 0").select("t", "cell", "largest")
+    large, small = large.join(families, ["t", "cell"]), small.join(families, ["t", "cell"])
+    x = lambda w: large.where(w).select("t", "cell", "largest", "most", *[F.col(c).alias(c + "a") for c in ("doc_id", "comp", "n", "m2", "p2")])
+    y = lambda w: small.where(w).select("t", "cell", *[F.col(c).alias(c + "b") for c in ("doc_id", "comp", "n", "m2", "p2")])
+    met = x("true").join(y("comp <> largest"), ["t", "cell"]).unionByName(x("comp <> largest").join(y("comp = largest"), ["t", "cell"]))
+    # of two of one size either may be the larger
+    return met.where("compa <> compb AND nb <= most AND (nb < na OR doc_ida < doc_idb)")
+
+
+def _prefix_pairs(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of documents (doc_id, comp) in different components that can be as similar as that.
+
+    Two sets of that similarity share one of their rarest shingles: of |x| shingles in the order of their document frequency, one of
+    the first |x| - ceil(t |x|) + 1. Either the rarest that they share is in RARE documents or fewer, and so meets few; or their
+    intersection has only shingles of more documents, and each has at least a share t of such; see frequent_meetings().
+    """
+    rare = stored(_prefixes(placed, sets, threshold), "prefixes")
+    enough = lambda m: F.least(m + "a", m + "b") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9
+    once = lambda p: F.array_min(F.array_intersect(p + "a", p + "b")) == F.col("t")  # noqa: E731  each pair at the least of the shingles that it meets in
     few = rare.where(F.size("p1") > 0).withColumn("t", F.explode("p1"))
-    few = columns(few, "a", "m1", "p1", "t").join(columns(few, "b", "m1", "p1", "t"), "t").where(F.expr("a < b") & apart & once).select("a", "b")
-    many = rare.where((F.size("p2") > 0) & (F.col("m2") >= threshold * F.col("n") - 1e-9)).withColumn("t", F.explode("p2"))
-    own = many.withColumn("cell", F.col("band"))
-    near = stored(many.withColumn("cell", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))), "cells")
-    families = near.groupBy("t", "cell", "comp").agg(F.count("*").alias("size")).groupBy("t", "cell")
-    families = families.agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.count("*").alias("families")).where("families > 1").drop("families")
-    own, near = own.join(families, ["t", "cell"]), near.join(families, ["t", "cell"])
-    # a pair meets in the cell of its smaller id, where one of the two is no member of the largest component
-    x, y = (lambda w: columns(own.where(w), "a", "m2", "p2", "t", "cell")), (lambda w: columns(near.where(w), "b", "m2", "p2", "t", "cell"))
-    met = [x("comp <> largest").join(y("true"), ["t", "cell"]), x("comp = largest").join(y("comp <> largest"), ["t", "cell"])]
-    strangers, others = (m.where(F.expr("a < b") & apart & once).select("a", "b") for m in met)
-    return few.union(strangers).union(others).distinct()
+    few = [few.select("t", *[F.col(c).alias(c + side) for c in ("doc_id", "comp", "n", "m1", "p1")]) for side in "ab"]
+    few = few[0].join(few[1], "t").where(F.expr("doc_ida < doc_idb AND compa <> compb") & enough("m1") & once("p1"))
+    many = frequent_meetings(rare, threshold).where(enough("m2") & once("p2"))
+    pair = lambda d: d.select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b"))
+    return pair(few).union(pair(many)).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:

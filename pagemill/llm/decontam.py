@@ -39,9 +39,14 @@ BLOCK_ITEMS, BLOCK_WORDS = 208, 60_000
 MAX_BLOCKS = 16
 #: Tasks that add up matrices of the vocabulary's size, at most: what they shuffle does not grow with the table.
 PARTIALS = 4096
-#: Terms in more than this share of the passages have no weight in the search (they count in the comparison). Items that keep less than
-#: KEPT of their squared length without them are searched for exactly.
-MAX_SHARE, KEPT = 0.02, 0.5
+#: The power of the inverse document frequency's logarithm that terms weigh.
+DAMPING = 2.0
+#: The cosine that a whole copy of an item is to have to a passage whose other words weigh PLENTY times what a passage's words weigh on average, if the
+#: search by cosine is to be trusted with it; items below are searched for exactly.
+TRUSTED, PLENTY = 0.4, 2.0
+#: How much the items' own rows weigh in the decomposition, against all passages together; 0: the space is the passages' alone, whose leading directions are
+#: those of common words: on the 0.1 table none of 246 leaks is found in it, and all with the items' rows.
+ITEM_WEIGHT = 1.0
 #: Candidates; then the share of an item's words in common order that is a leak, or is one together with the answer.
 COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
 #: An answer shorter than this many words decides nothing; an item shorter than SHORT must occur word by word.
@@ -101,14 +106,12 @@ class Block:
 
     def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are in the vocabulary, and their numbers there."""
-        at = np.searchsorted(self.vocabulary, words)
-        at[at == len(self.vocabulary)] = 0
-        found = np.flatnonzero(self.vocabulary[at] == words)
-        return found, at[found]
+        return _numbered(self.vocabulary, words)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark's items in order of their ids, a bounded number at a time. Null texts and texts without words are no items."""
+    """The benchmark's items in order of their ids, a bounded number at a time. Null texts and texts without words are no items. An item with a null id is
+    one, and is reported as null, after the others; texts of one id are items of their own."""
     rows, size, parts = [], 0, 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         n = len(_text_words([r["text"]])[0])
@@ -184,41 +187,48 @@ def _part(matrix: np.ndarray, which: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), values], ["i", "v"])
 
 
-def _term_table(docs: DataFrame, block: Block) -> DataFrame:
-    """For a number of texts at a time: where words of the vocabulary stand, and the texts' first words. Written once, read in
-    each pass."""
+def _term_table(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """For a number of texts at a time: where words of the vocabulary stand, and the texts' first words. Written once for all blocks of a pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rounds(batches):
             words, first = _words(*string_buffers(batch["text"]))
-            found, terms = block.terms(words)
-            packed = [first.astype(np.uint32), found.astype(np.uint32), terms.astype(_term_type(len(block.vocabulary)))]
+            found, terms = _numbered(vocabulary, words)
+            packed = [first.astype(np.uint32), found.astype(np.uint32), terms.astype(_term_type(len(vocabulary)))]
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in packed], ["first", "found", "terms"])
 
     return docs.select("text").mapInArrow(run, "first binary, found binary, terms binary")
 
 
+def _numbered(vocabulary: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are in the vocabulary, and their numbers there."""
+    at = np.searchsorted(vocabulary, words)
+    at[at == len(vocabulary)] = 0
+    found = np.flatnonzero(vocabulary[at] == words)
+    return found, at[found]
+
+
 def _term_type(v: int) -> type:
-    """16 bits, but for a block of one item of more words than that."""
+    """16 bits where they are enough."""
     return np.uint16 if v <= 1 << 16 else np.uint32
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], v: int):
+def _unpacked(batches: Iterator[pa.RecordBatch], v: int, number: np.ndarray | None = None):
+    """Each text's first word, the places of the words found, and their terms: as in the table, or as `number` has them, without those it has as -1."""
     for batch in batches:
         for f, w, t in zip(batch["first"], batch["found"], batch["terms"]):
-            yield (
-                np.frombuffer(f.as_py(), np.uint32).astype(np.int64),
-                np.frombuffer(w.as_py(), np.uint32).astype(np.int64),
-                np.frombuffer(t.as_py(), _term_type(v)).astype(np.int64),
-            )
+            first, found = (np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in (f, w))
+            terms = np.frombuffer(t.as_py(), _term_type(v)).astype(np.int64)
+            if number is not None:
+                terms = number[terms]
+                found, terms = found[terms >= 0], terms[terms >= 0]
+            yield first, found, terms
 
 
-def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Block:
-    """Term weights from all passages, then the latent space: a randomised range finder and the eigenvectors inside it."""
-    v = len(block.vocabulary)
-    table = stored(_term_table(docs, block), "terms").coalesce(PARTIALS)
+def _frequencies(table: DataFrame, v: int) -> tuple[np.ndarray, float]:
+    """How many passages have each term, and how many there are."""
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((v + 1, 1))
         for first, found, terms in _unpacked(batches, v):
             begin, _, term, _ = _passages(first, found, terms, v)
@@ -228,31 +238,36 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
         high = np.floor(total / 2**20)
         yield from _part(np.column_stack([high, total - high * 2**20]), np.flatnonzero(total[:, 0]))
 
-    counted = _summed(table.mapInArrow(frequencies, _PART), v + 1, 2)
+    counted = _summed(table.mapInArrow(count, _PART), v + 1, 2)
     df = counted[:, 0] * 2.0**20 + counted[:, 1]
-    n = max(df[v], 1.0)
-    weight = np.log((1 + n) / (1 + df[:v]))
-    block.hot = np.zeros(len(block.items), bool)
-    squares = np.where(df[:v] > max(MAX_SHARE * n, 5), 0, weight**2), weight**2
-    for k, item in enumerate(block.items):
-        kept, full = (w[np.unique(item)].sum() for w in squares)
-        block.hot[k] = kept <= KEPT * full
-    weight[df[:v] > max(MAX_SHARE * n, 5)] = 0
-    if not weight.any():  # a table of a few passages: every term counts alike
-        weight[:] = 1
-    block.weight = weight
+    return df[:v], max(df[v], 1.0)
+
+
+def fit(table: DataFrame, vocabulary: np.ndarray, df: np.ndarray, n: float, block: Block, rank: int = RANK, seed: int = 11, item_weight: float = ITEM_WEIGHT) -> Block:
+    """Term weights from all passages, then the latent space: a randomised range finder and the eigenvectors inside it.
+
+    table: where the words of `vocabulary` stand; df and n: passages of each word, and of all. The block's vocabulary is part of it.
+    """
+    v, whole = len(block.vocabulary), len(vocabulary)
+    own_terms = np.searchsorted(vocabulary, block.vocabulary)
+    number = np.full(whole, -1, np.int64)
+    number[own_terms] = np.arange(v)
+    df = df[own_terms]
+    weight = block.weight = np.log1p(n / np.maximum(df, 1.0)) ** DAMPING
+    usual = PLENTY * (df * weight**2).sum() / n
+    lengths = np.array([(weight[np.unique(i)] ** 2).sum() for i in block.items])
+    block.hot = lengths < TRUSTED**2 * (lengths + usual)
     width = min(rank + EXTRA, v)
-    # the rows of the items' parts weigh as much as all passages together, so that the space has their directions too
     sizes = [np.unique(i, return_counts=True) for i in block.parts]
     own = _weighted(np.repeat(np.arange(len(sizes)), [len(t) for t, _ in sizes]), np.concatenate([t for t, _ in sizes]), np.concatenate([c for _, c in sizes]), weight)
 
     def gram(dense: np.ndarray) -> np.ndarray:
-        """A'A times a thin matrix, A being the passages and the items."""
+        """A'A times a thin matrix, A being the passages and, so far as they weigh, the items' parts."""
         thin = dense.astype(np.float32)
 
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((v, thin.shape[1]), np.float32)
-            for first, found, terms in _unpacked(batches, v):
+            for first, found, terms in _unpacked(batches, whole, number):
                 _, passage, term, times = _passages(first, found, terms, v)
                 add(total, *_weighted(passage, term, times, weight))
             yield from _part(total, np.flatnonzero(total.any(1)))
@@ -268,14 +283,16 @@ def fit(docs: DataFrame, block: Block, rank: int = RANK, seed: int = 11) -> Bloc
             total[t[f]] += _times_dense(row[order], value[order], f, z)
 
         out = _summed(table.mapInArrow(share, _PART), v, thin.shape[1])
-        mine = np.zeros((v, thin.shape[1]), np.float32)
-        add(mine, *own)
-        return out + mine * max(1.0, n / len(block.parts))
+        if item_weight:
+            mine = np.zeros((v, thin.shape[1]), np.float32)
+            add(mine, *own)
+            out += mine * (item_weight * max(1.0, n / len(block.parts)))
+        return out
 
     # one pass over the passages: the eigenvectors of A'A by Nystroem's formula from Y = A'A test
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0]
     y = gram(test)
-    shift = 1e-7 * np.linalg.norm(y)
+    shift = 1e-7 * np.linalg.norm(y) + 1e-30
     y += shift * test
     core = test.T @ y
     root = np.linalg.cholesky((core + core.T) / 2 + 1e-12 * np.trace(core) * np.eye(width))
@@ -367,7 +384,8 @@ class Judge:
         b, v = self.block, len(self.block.vocabulary)
         hot = np.flatnonzero(b.hot)
         n = np.array([len(b.items[i]) for i in hot], np.int64)
-        halves = np.maximum(PASSAGE, -(-3 * n // (2 * STRIDE)) * STRIDE)
+        # windows are no wider than three times the item, or chance would fill half of a short one
+        halves = -(-3 * n // 32) * 16
         for half in np.unique(halves).tolist():
             begin, passage, term, times = _passages(first, found, terms, v, half)
             for i in hot[halves == half].tolist():
@@ -380,10 +398,16 @@ class Judge:
                 yield from zip(text.tolist(), [i] * len(text), a.tolist(), z.tolist())
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark's blocks, each fitted when it is asked for."""
+def fitted(docs: DataFrame, benchmark: DataFrame, **options) -> Iterator[Block]:
+    """The benchmark's blocks, each fitted when it is asked for; those of one pass from one table of terms. options: of fit()."""
     ship(docs.sparkSession)
-    return (fit(docs, b) for b in blocks(benchmark))
+    left = blocks(benchmark)
+    while group := list(islice(left, MAX_BLOCKS)):
+        vocabulary = np.unique(np.concatenate([b.vocabulary for b in group]))
+        table = stored(_term_table(docs, vocabulary), "terms").coalesce(PARTIALS)
+        df, n = _frequencies(table, len(vocabulary))
+        for block in group:
+            yield fit(table, vocabulary, df, n, block, **options)
 
 
 def _groups(models: Iterable[Block]) -> Iterator[tuple[list[Block], bool]]:
@@ -402,7 +426,8 @@ _FINDINGS = "item_ids array<bigint>, share double"
 
 
 def _columns(found: list[dict[int, float]]) -> list[pa.Array]:
-    return [pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())]
+    ordered = lambda x: sorted(x, key=lambda i: (i is None, i or 0))
+    return [pa.array([ordered(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())]
 
 
 def _leaking(docs: DataFrame, groups: Iterable[tuple[list[Block], bool]]) -> DataFrame:
@@ -431,7 +456,8 @@ def leaks(docs: DataFrame, models: Iterable[Block]) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and share (the largest part of an item found) for every row of `docs`.
 
     Null and empty texts are clean, and so is everything where the benchmark has no items. Repeated rows are judged one by one; other
-    columns are ignored; an empty table gives an empty one.
+    columns are ignored; an empty table gives an empty one. An item with a null id is reported as null, last; of several texts of one id the largest share
+    counts.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -465,7 +491,8 @@ def _found(judges: list[Judge], texts: pa.Array) -> list[dict[int, float]]:
     out: list[dict[int, float]] = [{} for _ in range(len(texts))]
     for j in judges:
         for d, hits in enumerate(j.judge(words, first)):
-            out[d] |= {j.block.ids[i]: s for i, s in hits.items()}
+            for i, share in hits.items():  # an id may have several texts: the largest share counts
+                out[d][j.block.ids[i]] = max(share, out[d].get(j.block.ids[i], 0.0))
     return out
 
 

@@ -58,11 +58,18 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Of texts one after another, symbols from 1 on, each text closed by 0."""
+    """Of texts one after another, symbols from 1 on, each text closed by 0.
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.suffixes = sorted_suffixes(text, depth)
-        self.bwt = WaveletMatrix(text[self.suffixes - 1], sigma)
+    The suffix array goes once the transform is made; what stays of it is the owner of each suffix's text, in 32 bits. (Samples of the array, and steps from row
+    to row between them, would need suffixes sorted to their ends; these are sorted as deep as patterns are long.)
+    """
+
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, owners: np.ndarray):
+        suffixes = sorted_suffixes(text, depth)
+        self.size = len(text)
+        self.owners = owners[suffixes].astype(np.int32)
+        self.bwt = WaveletMatrix(text[suffixes - 1], sigma)
+        del suffixes
         self.starts = np.append(0, np.cumsum(np.bincount(text, minlength=sigma)))[:sigma]
 
     def search(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +77,7 @@ class FMIndex:
         symbols matched by two places or more (their matching statistic, up to `length`), and the last interval of suffixes.
         A pattern leaves the search when it is found in one place only."""
         n = len(ends)
-        low, high = np.zeros(n, np.int64), np.full(n, len(self.suffixes), np.int64)
+        low, high = np.zeros(n, np.int64), np.full(n, self.size, np.int64)
         matched = np.zeros(n, np.int64)
         live = np.arange(n)
         for step in range(1, length + 1):

@@ -8,7 +8,9 @@ doc_id. Work is in proportion to the text, whatever the number of shards:
    rows that repeat a whole text are settled by its hash and take no further part;
 2. documents with shared anchors cut out the stretches around those. Windows that repeat within a batch are settled there,
    and all but one leave; the others go to the shard of their anchor. Windows with a very frequent anchor travel by
-   themselves, by their own hash, so that no anchor gathers a large part of the table in one task;
+   themselves, by their own hash, so that no anchor gathers a large part of the table in one task. They need no index: a task remembers the smallest doc_id
+   that it has seen of each and settles what is larger, so that few rows of a window leave it however many texts have it, and the shard streams those in the order
+   of doc_id and holds the first;
 3. a shard indexes its stretches, a bounded number of symbols at a time (equal keys stay together), and streams them through
    backward search on the wavelet tree. That gives each window's matching statistic; where it reaches WINDOW the smallest
    doc_id of the interval decides;
@@ -33,6 +35,8 @@ WINDOW = 13
 RUN = 6
 #: Windows of an anchor that more rows have travel one by one.
 FREQUENT = 4096
+#: Frequent windows that a task remembers; those beyond travel each time.
+REMEMBERED = 1 << 20
 #: A shard's index holds about so many symbols at a time; equal keys are never split.
 BLOCK = 1_500_000
 #: Bytes of a word's hash that travel.
@@ -106,8 +110,8 @@ def anchors(docs: DataFrame, window: int, run: int) -> DataFrame:
     return docs.mapInArrow(find, "anchor bigint, h1 bigint")
 
 
-_STRETCH = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
-_STRETCH_SQL = "key bigint, doc_id bigint, h1 bigint, start bigint, stop bigint, words binary"
+_STRETCH = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary()), ("alone", pa.bool_())])
+_STRETCH_SQL = "key bigint, doc_id bigint, h1 bigint, start bigint, stop bigint, words binary, alone boolean"
 
 
 def _runs(start: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +124,35 @@ def _runs(start: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(start)) - 1
 
 
+class Smallest:
+    """The smallest doc_id of each window seen so far, of a bounded number of windows."""
+
+    def __init__(self):
+        self.windows, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settled(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which of the windows (distinct) have a smaller doc_id already."""
+        place = np.searchsorted(self.windows, windows)
+        old = place < len(self.windows)
+        old[old] = self.windows[place[old]] == windows[old]
+        out = np.zeros(len(windows), bool)
+        out[old] = self.ids[place[old]] < ids[old]
+        self.ids[place[old]] = np.minimum(self.ids[place[old]], ids[old])
+        new = np.flatnonzero(~old)
+        new = new[np.unique(windows[new], return_index=True)[1]][: max(0, REMEMBERED - len(self.windows))]
+        if len(new):
+            merged = np.concatenate([self.windows, windows[new]])
+            order = np.argsort(merged, kind="stable")
+            self.windows, self.ids = merged[order], np.concatenate([self.ids, ids[new]])[order]
+        return out
+
+
 def stretches(found: DataFrame, window: int, run: int, frequent: int) -> DataFrame:
-    """From documents with their shared anchors: stretches of words for the shards, and (key and words null) intervals that a smaller
-    doc_id of the same batch has already settled."""
+    """From documents with their shared anchors: stretches of words for the shards, frequent windows (alone), and (words null) intervals that a smaller
+    doc_id of the same batch, or for frequent windows of the same task, has already settled."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Smallest()
         for batch in rounds(batches, limit=6 << 20):
             *_, first, words = _hashed(batch)
             h1, _ = _content(words, first)
@@ -155,13 +183,16 @@ def stretches(found: DataFrame, window: int, run: int, frequent: int) -> DataFra
             least = d[new][np.cumsum(new) - 1]
             gone = np.zeros(len(w), bool)
             gone[order] = d > least
+            often = np.flatnonzero((number > frequent) & ~gone)
+            gone[often] = known.settled(whole[often], ids[doc[often]])
             for settled in (True, False):
                 sub = np.flatnonzero(gone == settled)
                 if not len(sub):
                     continue
                 a, o = at[sub], doc[sub]
-                key = np.where(number[sub] > frequent, whole[sub], anchor[sub]) if not settled else np.zeros(len(sub), np.uint64)
-                f, l = _runs(a, (o[1:] == o[:-1]) & (key[1:] == key[:-1]))  # noqa: E741
+                alone = number[sub] > frequent if not settled else np.zeros(len(sub), bool)
+                key = np.where(alone, whole[sub], anchor[sub]) if not settled else np.zeros(len(sub), np.uint64)
+                f, l = _runs(a, (o[1:] == o[:-1]) & (key[1:] == key[:-1]) & ~alone[1:])  # noqa: E741
                 start, stop = a[f], a[l] + window
                 o = o[f]
                 base = first[:-1][o]
@@ -178,7 +209,7 @@ def stretches(found: DataFrame, window: int, run: int, frequent: int) -> DataFra
                 for s in range(0, len(o), 20_000):
                     e = slice(s, s + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [columns[0][e], pa.array(ids[o[e]]), pa.array(h1[o[e]]), pa.array((start - base)[e]), pa.array((stop - base)[e]), packed[e]],
+                        [columns[0][e], pa.array(ids[o[e]]), pa.array(h1[o[e]]), pa.array((start - base)[e]), pa.array((stop - base)[e]), packed[e], pa.array(alone[f][e])],
                         schema=_STRETCH,
                     )
 
@@ -205,14 +236,14 @@ def match_block(key: np.ndarray, doc: np.ndarray, size: np.ndarray, words: np.nd
     owner = np.repeat(np.arange(len(sample)), length)
     inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     text[begin[:-1][owner] + inner] = symbols[at[:-1][sample][owner] + inner]
-    index = FMIndex(text, sigma, window)
+    in_text = np.repeat(np.arange(len(sample)), length + 1)
+    index = FMIndex(text, sigma, window, in_text)
     count = length - window + 1
     which = np.repeat(np.arange(len(sample)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     matched, low, high = index.search(text, begin[:-1][which] + offset + window, window)
     # the smallest doc_id among an interval's texts; intervals of whole windows are equal or apart
-    in_text = np.append(np.repeat(np.arange(len(sample)), length + 1), 0)
-    best = np.append(least[in_text[index.suffixes]], np.iinfo(np.int64).max)
+    best = np.append(least[index.owners], np.iinfo(np.int64).max)
     first = least[which].copy()
     full = np.flatnonzero(matched == window)
     if len(full):
@@ -237,6 +268,18 @@ def intervals(cut: DataFrame, window: int, shards: int, block: int) -> DataFrame
         names = ["doc_id", "h1", "start", "stop"]
         held: list[pa.RecordBatch] = []
         symbols = 0
+        last, smallest = None, {}
+
+        def first_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Of frequent windows in the order of key and doc_id those with a smaller doc_id; one key's words are held."""
+            nonlocal last, smallest
+            late = []
+            for n, (key, doc, words) in enumerate(zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "words")))):
+                if key != last:
+                    last, smallest = key, {}
+                if smallest.setdefault(words, doc) < doc:
+                    late.append(n)
+            return batch.take(pa.array(late, pa.int64())).select(names)
 
         def flush(parts: list[pa.RecordBatch]):
             table = pa.Table.from_batches(parts).combine_chunks()
@@ -255,6 +298,10 @@ def intervals(cut: DataFrame, window: int, shards: int, block: int) -> DataFrame
             if known.num_rows:
                 yield known.select(names)
             batch = batch.filter(pa.compute.is_valid(batch["words"]))
+            alone = batch.filter(batch["alone"])
+            if alone.num_rows:
+                yield first_of(alone)
+                batch = batch.filter(pa.compute.invert(batch["alone"]))
             while batch.num_rows:
                 size = (np.asarray(batch["stop"]) - np.asarray(batch["start"])).cumsum()
                 room = int(np.searchsorted(size, block - symbols))
@@ -278,7 +325,7 @@ def intervals(cut: DataFrame, window: int, shards: int, block: int) -> DataFrame
 
     import pyarrow.compute  # noqa: F401
 
-    return cut.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(search, "doc_id bigint, h1 bigint, start bigint, stop bigint")
+    return cut.repartition(shards, "key").sortWithinPartitions("key", "doc_id").mapInArrow(search, "doc_id bigint, h1 bigint, start bigint, stop bigint")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, run: int = RUN, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:

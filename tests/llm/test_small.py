@@ -69,6 +69,23 @@ def brute_repeats(rows, window=13):
     return out
 
 
+def test_frequent_windows_in_the_order_of_a_task(spark, monkeypatch):
+    """A window of all texts: a task settles what is larger than it has seen, the shard holds the first of a key; with a memory of one window too."""
+    common = " ".join(f"c{k}" for k in range(20))
+    ids = [50, 3, 40, 2, 60, 2, 1, 70]
+    rows = [(i, f"{prose(30)} {common} {prose(15)}") for i in ids]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = sorted((i, r[1]) for i, r in zip(ids, [(i, n) for i, n in ((i, 0 if i == 1 else 20) for i in ids)]))
+    monkeypatch.setattr(substring, "rounds", lambda batches, **_: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    got = substring.remove_repeats(d, frequent=1).select("doc_id", "n_removed").collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == want
+    known = substring.Smallest()
+    see = lambda w, i: known.settled(np.array(w, np.uint64), np.array(i)).tolist()
+    assert see([5, 9, 5], [7, 7, 7]) == [False] * 3 and see([9, 5], [8, 6]) == [True, False] and see([5, 1], [7, 1]) == [True, False]
+    monkeypatch.setattr(substring, "REMEMBERED", 3)
+    assert see([2], [9]) == [False] and see([2], [10]) == [False] and see([1], [2]) == [True]
+
+
 @pytest.mark.parametrize("options", [{}, {"frequent": 1}, {"block": 40}])
 def test_substring(docs, options):
     got = substring.remove_repeats(docs, outputs=("kept_sha256",), **options).collect()
@@ -462,6 +479,28 @@ def test_leaks_equal_an_exhaustive_search(spark):
     assert len(got - want) <= 0.05 * len(got), got - want  # windows of another width
 
 
+def test_leaks_of_items_without_an_id(spark):
+    """A null item_id is reported as null, after the others."""
+    a, b, c = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    items = spark.createDataFrame([(None, a), (3, b), (None, c), (7, None)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, a + " " + b), (2, b), (3, c), (4, prose(40))], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontam.leaks(d, decontam.fitted(d, items)).collect()}
+    assert got == {1: (True, [3, None]), 2: (True, [3]), 3: (True, [None]), 4: (False, [])}
+
+
+@pytest.mark.parametrize("blocks", [16, 1])
+def test_the_largest_share_of_an_id_counts(spark, monkeypatch, blocks):
+    """One text of an id is held whole, the other in part: in one pass and in several."""
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", blocks)
+    a, b = ([f"{c}{k}" for k in range(30)] for c in "ab")
+    for first, second in ((a, b), (b, a)):
+        items = spark.createDataFrame([(1, " ".join(first)), (1, " ".join(second))], "item_id bigint, text string")
+        d = spark.createDataFrame([(5, " ".join(a + b[:24])), (6, prose(50))], "doc_id bigint, text string")
+        got = {r["doc_id"]: (r["item_ids"], r["share"]) for r in decontam.leaks(d, decontam.fitted(d, items)).collect()}
+        assert got == {5: ([1], 1.0), 6: ([], 0.0)}
+
+
 def test_leaks_of_a_repeated_item(spark):
     """Two texts of one item_id are two items; each is reported by that id, once."""
     a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
@@ -555,6 +594,38 @@ def test_strangers_of_families_meet(spark, monkeypatch):
     assert want and want <= got and all(a < b for a, b in got)
 
 
+def test_pages_of_a_template_do_not_meet(spark, monkeypatch):
+    """Pages of one template with 30 words of their own: no two reach 0.8, and what is compared grows as their number, not as its square."""
+    monkeypatch.setattr(dartminhash, "RARE", 8)
+    made = {}
+    for n in (200, 400):
+        rows = [(k, k, [*range(196), *range(1000 + 40 * k, 1034 + 40 * k)]) for k in range(n)]  # 196 shingles of the template
+        rows += [(k, k, [*range(196), *range(900_000 + 40 * k, 900_020 + 40 * k)]) for k in range(n, n + 5)]  # five that are alike
+        placed = spark.createDataFrame([(i, c if i < n else n) for i, c, _ in rows], "doc_id bigint, comp bigint")
+        sets = spark.createDataFrame([(i, 0, s) for i, _, s in rows], "doc_id bigint, text int, shingles array<int>")
+        rare = dartminhash.stored(dartminhash._prefixes(placed, sets, 0.8), "prefixes")
+        made[n] = dartminhash.frequent_meetings(rare, 0.8).count()
+        assert dartminhash._prefix_pairs(placed, sets, 0.8).isEmpty()
+    assert made[200] == made[400] == 0
+
+
+def test_frequent_meetings_lose_no_pair(spark, monkeypatch):
+    """Sets of frequent shingles of many sizes: every pair that reaches the threshold without a rare shingle in common meets."""
+    monkeypatch.setattr(dartminhash, "RARE", 3)
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(150):
+        base = np.arange(60) + 100 * (k % 3)
+        own = [10_000 + 50 * k + j for j in range(int(r.integers(0, 12)))]
+        rows.append((k, sorted({*r.choice(base, int(r.integers(45, 61)), replace=False).tolist(), *own})))
+    placed = spark.createDataFrame([(i, i // 4) for i, _ in rows], "doc_id bigint, comp bigint")
+    sets = spark.createDataFrame([(i, 0, s) for i, s in rows], "doc_id bigint, text int, shingles array<int>")
+    got = {(x["a"], x["b"]) for x in dartminhash._prefix_pairs(placed, sets, 0.8).collect()}
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and i // 4 != j // 4 and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
+    # of the largest component of a shingle and step none meet one another, but here components are of four
+    assert len(want) > 200 and want <= got
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_near_duplicates_of_a_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
@@ -689,4 +760,4 @@ def test_empty_tables(spark, empty):
 
 
 def test_registry_names():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
