@@ -49,15 +49,17 @@ def batch_urls(parts: list[DataFrame]) -> DataFrame:
     """ordinal, url -> each identity once, where it came first. An invalid url fails the batch."""
     rows = union_inputs(parts).withColumn("identity", any_identity(F.col("url")))
     rows = rows.withColumn("identity", F.when(F.col("identity").isNull(), F.raise_error(F.concat(F.lit("not an HTTP(S) url: "), "url"))).otherwise(F.col("identity")))
-    return keep_first(rows, ["identity"], ["source", "ordinal"])
+    first = F.min_by(F.struct(*rows.columns), F.struct("source", "ordinal"))
+    return rows.groupBy("identity").agg(first.alias("first")).select("first.*")
 
 
 def archive_once(fetched: DataFrame, layout: str = "default") -> DataFrame:
     """ordinal, requested_url, final_url -> which of them are converted, and the path each is found at. Only the first page of a
-    final identity is; the others are aliases of its file. Errors: invalid urls."""
+    final identity is; the others are aliases of its file. Errors: invalid urls. Ordinals are unique. A popular identity is no sorted
+    partition, and invalid urls meet nothing: the least ordinals are pre-aggregated and joined."""
     f = fetched.withColumn("identity", any_identity(F.col("final_url"))).withColumn("alias", any_identity(F.col("requested_url")))
-    w = W.partitionBy("identity").orderBy("ordinal")
-    f = f.withColumn("reused", F.when(F.col("identity").isNotNull(), F.row_number().over(w) > 1))
+    least = f.where("identity IS NOT NULL").groupBy("identity").agg(F.min("ordinal").alias("_least"))
+    f = f.join(least, "identity", "left").select(*f.columns, (F.col("ordinal") > F.col("_least")).alias("reused"))
     return f.withColumn("output_path", output_path(F.col("identity"), layout)).withColumn(
         "error", F.when(F.col("identity").isNull() | F.col("alias").isNull(), "not an HTTP(S) url without credentials")
     )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import pages as P
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators import archive, cookies, crawl, evaluate, images, policy, requests, robots, state
-from pagemill.session import ship
+from pagemill.operators import archive, cookies, crawl, evaluate, images, manifest, policy, requests, robots, state
+from pagemill.session import shared_folder, ship
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -416,6 +416,40 @@ def archive_once(spark, sf_dir):
     return archive.archive_once(fetched(spark, sf_dir)).select("ordinal", "identity", "reused", "output_path")
 
 
+_SQL_RUNS = """(SELECT page_id AS ordinal, url AS requested, url AS final FROM pages UNION ALL SELECT 1000000 + page_id, url || '?again=1', url || '#again' FROM pages
+  UNION ALL SELECT 2000000 + page_id, CASE WHEN page_id % 5 = 0 THEN url ELSE url || '?third=1' END, CASE WHEN page_id % 5 = 0 THEN url || '?own=1' ELSE url || '?again=1' END FROM pages)"""
+
+
+@query("incremental_archive", f"""WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM {_SQL_RUNS}),
+i AS MATERIALIZED (SELECT url, {U.SQL_IDENTITY} AS identity FROM ({U.sql_parts('(SELECT requested AS url FROM f UNION SELECT final FROM f)')})),
+p AS MATERIALIZED (SELECT identity, {U.sql_output_path()} AS path FROM (SELECT *, {U.SQL_SEGMENTS} FROM (
+  SELECT identity, regexp_extract(identity, '^[a-z]+://([^/?#]*)', 1) net, regexp_extract(identity, '^[a-z]+://[^/?#]*([^?#]*)', 1) pat FROM (SELECT DISTINCT identity FROM i)))),
+c AS MATERIALIZED (SELECT ordinal, x.identity AS final, y.identity AS alias FROM f JOIN i x ON x.url = f.final JOIN i y ON y.url = f.requested),
+w AS MATERIALIZED (SELECT claimed, arg_min(target, t) AS target, min(t) AS t FROM (SELECT final AS claimed, final AS target, ordinal * 2 AS t FROM c UNION ALL SELECT alias, final, ordinal * 2 + 1 FROM c) GROUP BY claimed),
+r AS (SELECT claimed, target, t % 2 AS k FROM w UNION ALL SELECT r.claimed, w.target, w.t % 2 FROM r JOIN w ON w.claimed = r.target WHERE r.k = 1),
+m AS MATERIALIZED (SELECT claimed, path FROM r JOIN p ON p.identity = r.target WHERE k = 0)
+SELECT ordinal, final AS identity, a.path AS output_path, w.t <> ordinal * 2 AS reused, CASE WHEN b.path <> a.path THEN b.path END AS conflict
+FROM c JOIN m a ON a.claimed = c.final JOIN m b ON b.claimed = c.alias JOIN w ON w.claimed = c.final""")
+def incremental_archive(spark, sf_dir):
+    """Three runs on one manifest: pages as they are; asked for in another way; found at what the second run has asked for, or asked for at another page's."""
+    p = table(spark, sf_dir, "pages")
+    own = F.col("page_id") % 5 == 0
+    add = lambda c, mark: F.concat(c, F.lit(mark))
+    url = F.col("url")
+    runs = [
+        p.select(F.col("page_id").alias("ordinal"), url.alias("requested_url"), url.alias("final_url")),
+        p.select((F.col("page_id") + 1_000_000).alias("ordinal"), add(url, "?again=1").alias("requested_url"), add(url, "#again").alias("final_url")),
+        p.select((F.col("page_id") + 2_000_000).alias("ordinal"), F.when(own, url).otherwise(add(url, "?third=1")).alias("requested_url"), F.when(own, add(url, "?own=1")).otherwise(add(url, "?again=1")).alias("final_url")),
+    ]
+    folder = shared_folder(spark, "manifest")
+    out = None
+    for run in runs:
+        made = manifest.Manifest(spark, folder, buckets=8).archive(run)
+        rows = made.pages.join(made.conflicts.select("ordinal", F.col("output_path").alias("conflict")), "ordinal", "left").select("ordinal", "identity", "output_path", "reused", "conflict")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("batch_urls", f"SELECT identity, min(ordinal) AS ordinal FROM (SELECT ordinal, {U.SQL_IDENTITY} AS identity FROM ({U.sql_parts(_SQL_FETCHED)})) GROUP BY identity UNION ALL SELECT 'https://xn--bcher-kva.example/x', 7")
 def batch_urls(spark, sf_dir):
     rows = fetched(spark, sf_dir).select("ordinal", F.col("final_url").alias("url"))
@@ -596,6 +630,40 @@ def crawled(spark, sf_dir):
     return run.attempts.select("rank", F.regexp_extract("url", "[0-9]+$", 0).cast("bigint").alias("page_id"), "depth", "retries", "outcome")
 
 
+_LED = "CASE WHEN n % 8 = 5 THEN 'https://e.org/' || (n + 1) WHEN n % 9 = 7 THEN 'https://other.org/' || n WHEN n % 10 = 6 THEN 'https://e.org/private/' || n ELSE 'https://e.org/' || n END"
+_LED_KIND = f"CASE WHEN n % 11 = 3 THEN 'blocked' WHEN n > 0 AND led LIKE 'https://other%' OR led LIKE '%/private/%' OR (n % 8 = 5 AND (n + 1) % 11 = 3) THEN 'failed' WHEN n % 5 = 4 AND tries < least(n % 4, 2) THEN 'retry' WHEN n % 5 = 4 AND n % 4 = 3 THEN 'failed' ELSE 'processed' END"
+
+
+@query("crawl_resumed", f"""WITH RECURSIVE c AS (SELECT count(*) c FROM pages),
+r AS (SELECT 0::BIGINT AS rank, NULL::BIGINT AS n, NULL::INT AS depth, NULL::INT AS tries, NULL::VARCHAR AS outcome, NULL::VARCHAR AS final_url, [{{'n': 0::BIGINT, 'd': 0, 't': 0}}] AS queue, [0::BIGINT] AS seen FROM c WHERE c > 0
+ UNION ALL SELECT rank + 1, n, depth, tries, kind, led, list_concat(queue[2:], CASE WHEN kind = 'retry' THEN [{{'n': n, 'd': depth, 't': tries + 1}}] ELSE [{{'n': x, 'd': depth + 1, 't': 0}} FOR x IN new] END), list_concat(seen, new)
+ FROM (SELECT *, CASE WHEN kind = 'processed' AND depth < 8 THEN [x FOR x, i IN kids IF NOT list_contains(seen, x) AND list_position(kids, x) = i AND x % 11 <> 3] ELSE []::BIGINT[] END AS new
+ FROM (SELECT *, {_LED_KIND} AS kind FROM (SELECT *, {_LED} AS led FROM (SELECT rank, queue[1].n AS n, queue[1].d AS depth, queue[1].t AS tries, queue, seen, {_CHILDREN} AS kids FROM r, c WHERE len(queue) > 0 AND rank < 60)))))
+SELECT rank, n AS page_id, depth, tries AS retries, outcome, final_url FROM r WHERE rank > 0""")
+def crawl_resumed(spark, sf_dir):
+    """A crawl that is stopped after every other round and goes on from its log, with budgets of 10, 25 and 60 pages. Pages redirect: to their neighbours, out of
+    the scope, and to where robots rules forbid."""
+    _, edges = graph(spark, sf_dir)
+    site = lambda n: F.concat(F.lit("https://e.org/"), n.cast("string"))
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", site(n).alias("url"))
+    led = F.when(n % 8 == 5, site(n + 1)).when(n % 9 == 7, F.concat(F.lit("https://other.org/"), n.cast("string"))).when(n % 10 == 6, F.concat(F.lit("https://e.org/private/"), n.cast("string"))).otherwise(F.col("url"))
+    late = n % 5 == 4
+    fetches = p.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(4)))).select(
+        "url", "attempt", F.when(late & (F.col("attempt") <= n % 4), 429).otherwise(200).alias("status"), led.alias("final_url"), F.when(n % 2 == 0, F.array(led)).alias("hops")
+    )
+    links = edges.select(site(F.col("src")).alias("url"), "pos", site(F.col("dst")).alias("target"))
+    rules = p.select("url", (n % 11 != 3).alias("allowed")).unionByName(p.select(F.concat(F.lit("https://e.org/private/"), n.cast("string")).alias("url"), F.lit(False).alias("allowed")))
+    # the last page's neighbour has no row of its own
+    rules = rules.unionByName(p.where((n + 1) % 11 == 3).select(site(n + 1).alias("url"), F.lit(False).alias("allowed")))
+    seeds = spark.createDataFrame([("https://e.org/0", 0, 0, 0)], "url string, depth int, retries int, ordinal int")
+    log = shared_folder(spark, "crawl-log")
+    for budget in (10, 25, 60):
+        crawl.crawl(seeds, fetches, links, "https://e.org/0", "host-only", 8, budget, rules, log=log, rounds=2)
+    run = crawl.crawl(seeds, fetches, links, "https://e.org/0", "host-only", 8, 60, rules, log=log)
+    return run.attempts.select("rank", F.regexp_extract("url", "[0-9]+$", 0).cast("bigint").alias("page_id"), "depth", "retries", "outcome", "final_url")
+
+
 _HOPS = Rows("url string, seq int, target string", [("https://e.org/a", 1, "https://e.org/b"), ("https://e.org/a", 2, "https://e.org/c"), ("https://e.org/d", 1, "http://e.org/d"), ("https://e.org/f", 1, "https://x.org/")])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators import archive, config, cookies, crawl, images, policy, robots, state
+from pagemill.operators import archive, config, cookies, crawl, crawl_log, images, manifest, policy, robots, state
 from pagemill.sources import files
 from pagemill.streaming import policies
 
@@ -80,10 +80,14 @@ def queue_crawl(seeds, answers, links, start, max_depth, max_pages, allowed, don
         status, final, hops = (answers.get(url) or [(None, None, [])])[min(retries, max(len(answers.get(url, [])) - 1, 0))]
         if not allowed(url):
             made.append((url, depth, "blocked"))
+            continue
+        targets = {h for h in [*(hops or []), final] if h and h != url}
+        if not all(map(allowed, targets)) or (url != start or depth) and not all(scope(h, base) for h in targets):
+            made.append((url, depth, "failed"))
         elif status == 429 and retries < crawl.RETRIES:
             made.append((url, depth, "retry"))
             queue.append((url, depth, retries + 1))
-        elif status is None or not 200 <= status < 400 or (url != start or depth) and not all(scope(h, base) for h in hops):
+        elif status is None or not 200 <= status < 400:
             made.append((url, depth, "failed"))
         else:
             made.append((url, depth, "processed"))
@@ -107,26 +111,105 @@ def did(run):
     return [(r["url"], r["depth"], r["outcome"]) for r in run.attempts.orderBy("rank").collect()], [(r["url"], r["depth"], r["retries"]) for r in run.queue.orderBy("place").collect()]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_crawl_equals_a_queue(spark, seed):
+def random_site(spark, seed):
+    """Pages that answer in every way: retries, failures, redirects in and out of the scope and to where robots rules forbid, told by hops or by the
+    final address alone; the start page's own redirect moves the scope."""
     import random
 
     r = random.Random(seed)
     site = lambda k: f"https://{'www.' * (k % 3 == 1)}e.org/{k}" if k % 7 else f"https://other.org/{k}"
     urls = [site(k) for k in range(1, 40)]
-    scope = lambda u, base: u.split("/")[2].endswith("e.org")
     links = {u: r.sample(urls, 4) + [u] for u in urls}
     answers = {u: [(r.choice([200, 200, 200, 429, 404, 500]), u, [])] for u in urls} | {u: [(429, u, []), (200, u, [])] for u in urls[5::9]} | {u: [(200, "https://other.org/", ["https://other.org/"])] for u in urls[7::11]}
-    start = urls[1]
-    answers[start] = [(200, start, [])]
     blocked = set(urls[3::8])
+    answers |= {u: [(200, r.choice(urls), None if k % 2 else [r.choice(urls)])] for k, u in enumerate(urls[2::5])} | {urls[9]: [(429, sorted(blocked)[0], [])], urls[10]: [(200, None, [sorted(blocked)[1], urls[10]])]}
+    start = urls[1]
+    answers[start] = [(200, "https://e.org/start" if seed % 2 else start, [])]
     robots = spark.createDataFrame([(u, False) for u in blocked], "url string, allowed boolean")
-    for max_pages in (1, 9, 100):
-        want, queue = queue_crawl([(start, 0, 0)], answers, links, start, 3, max_pages, lambda u: u not in blocked, scope=scope)
+    scope = lambda u, base: u.split("/")[2] == base.split("/")[2] or u.split("/")[2].endswith("." + base.split("/")[2])
+    return start, answers, links, robots, (lambda u: u not in blocked), scope
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crawl_equals_a_queue(spark, seed):
+    start, answers, links, robots, allowed, scope = random_site(spark, seed)
+    for max_pages in (9, 100):
+        want, queue = queue_crawl([(start, 0, 0)], answers, links, start, 3, max_pages, allowed, scope=scope)
         run = crawl.crawl(*as_tables(spark, [(start, 0, 0)], answers, links), start, "subdomain", 3, max_pages, robots)
         assert did(run) == (want, queue)
 
 
+@pytest.mark.parametrize("seed", [3])
+def test_a_killed_crawl_ends_as_an_unbroken_one(spark, tmp_path, seed, monkeypatch):
+    """Killed after every round, and in the middle of one: what it had written is there without its commit. Budgets grow from run to run."""
+    monkeypatch.setattr(crawl_log, "PARTS", 3)
+    monkeypatch.setattr(crawl_log, "CHECKPOINT_PAGES", 6)
+    start, answers, links, robots, allowed, scope = random_site(spark, seed)
+    tables = as_tables(spark, [(start, 0, 0)], answers, links)
+    folder = f"file://{tmp_path}/log"
+    put = crawl_log.CrawlLog._put
+    for k, budget in enumerate([1, 4, 9, 100, 100]):
+        if k == 3:  # dies as it commits
+
+            def die(*_):
+                raise KeyboardInterrupt
+
+            monkeypatch.setattr(crawl_log.CrawlLog, "_put", die)
+            with pytest.raises(KeyboardInterrupt):
+                crawl.crawl(*tables, start, "subdomain", 3, budget, robots, log=folder)
+            monkeypatch.setattr(crawl_log.CrawlLog, "_put", put)
+        run = crawl.crawl(*tables, start, "subdomain", 3, budget, robots, log=folder, rounds=1)
+        if k == 1:
+            assert run.attempts.count() <= 4
+    run = crawl.crawl(*tables, start, "subdomain", 3, 100, robots, log=folder)
+    want, queue = queue_crawl([(start, 0, 0)], answers, links, start, 3, 100, allowed, scope=scope)
+    assert did(run) == (want, queue) and queue == []
+    assert run.scope == (answers[start][0][1])
+    with pytest.raises(ValueError, match="is of a crawl"):
+        crawl.crawl(*tables, "https://else.org/", log=folder)
+    log = crawl_log.CrawlLog(spark, folder)
+    assert len(log.last()["attempts"]) <= 3 and not [p for p in (tmp_path / "log/commits").iterdir() if p.name.startswith("_")]
+
+
+def test_the_log_keeps_ten_checkpoints(spark, tmp_path):
+    log = crawl_log.CrawlLog(spark, f"file://{tmp_path}/log", pages=1)
+    rows = spark.createDataFrame([(1, "u", 0, 0, 200, "u", "processed")], crawl_log.ATTEMPTS)
+    state = None
+    for k in range(15):
+        part = log.new_part()
+        for name in ("queue", "seen"):
+            log.write(part, name, rows)
+        if state is None:
+            state = log.begin(part, start="s", scope="s", placed=1, queued=1)
+        else:
+            log.write(part, "attempts", rows)
+            state = log.append(state, part, 1 if k != 7 else 0, scope="s", placed=1)
+    assert len(state["checkpoints"]) == 10 and state["round"] == 14 and state["attempted"] == 13
+    assert log.commits() == [c["round"] for c in state["checkpoints"]] == [*range(4, 7), *range(8, 15)]
+    assert {c["trigger"] for c in state["checkpoints"]} == {"pages"}
+    assert log.table(log.last(), "attempts").count() == 14 and log.table(log.read(4), "seen").count() == 5
+    with pytest.raises(RuntimeError, match="another crawl"):
+        log._put(log.last(), None)
+    timed = crawl_log.CrawlLog(spark, f"file://{tmp_path}/timed", seconds=-1)
+    part = timed.new_part()
+    timed.write(part, "queue", rows)
+    timed.write(part, "seen", rows)
+    timed.write(part, "attempts", rows)
+    state = timed.append(timed.begin(part, start="s", scope="s", placed=1, queued=1), part, 1, scope="s", placed=1)
+    assert [c["trigger"] for c in state["checkpoints"]] == ["start", "time"]
+
+
+def test_redirects_of_a_crawl(spark):
+    """Redirects to where robots rules forbid, and final addresses out of the scope without a hop told, are failures; so is a start page that is led there."""
+    a, b, c, d = "https://e.org/", "https://e.org/b", "https://e.org/c", "https://e.org/d"
+    robots = spark.createDataFrame([("https://e.org/private", False)], "url string, allowed boolean")
+    answers = {a: [(200, a, [])], b: [(200, "https://e.org/private#x", ["https://e.org/private#x"])], c: [(200, "https://x.org/", None)], d: [(200, "https://e.org/e", ["https://e.org/e"])]}
+    run = crawl.crawl(*as_tables(spark, [(a, 0, 0)], answers, {a: [b, c, d, "https://e.org/private"]}), a, "host-only", robots=robots)
+    assert did(run)[0] == [(a, 0, "processed"), (b, 1, "failed"), (c, 1, "failed"), (d, 1, "processed")]
+    run = crawl.crawl(*as_tables(spark, [(a, 0, 0)], {a: [(200, "https://e.org/private", None)]}, {a: [b]}), a, robots=robots)
+    assert did(run)[0] == [(a, 0, "failed")] and run.scope == a
+
+
 def test_crawl_goes_on(spark):
     """A page that always answers 429, with a budget of one attempt more in each run, is failed at the third; as a queue has it."""
     u, tables = "https://e.org/", lambda seeds: as_tables(spark, seeds, {"https://e.org/": [(429, None, [])]}, {"https://e.org/": ["https://e.org/b"]})
@@ -147,6 +230,79 @@ def test_crawl_scope_follows_the_start_page(spark):
     assert run.result().first()["message"] == "completed"
 
 
+def plain_manifest(pages):
+    """Claims in their order, one page after another; path is what an identity's own file is called."""
+    found, out, clashes = {}, [], set()
+    for ordinal, requested, final in pages:
+        new = final not in found
+        path = found.setdefault(final, f"file of {final}")
+        if found.setdefault(requested, path) != path:
+            clashes.add((requested, found[requested], path, ordinal))
+        out.append((ordinal, final, path, not new))
+    return found, out, clashes
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_manifest_in_parts(spark, tmp_path, parts, monkeypatch):
+    """Chains of aliases, conflicts, popular identities and invalid urls; more runs than are kept apart, a filter that outgrows its size."""
+    import random
+
+    monkeypatch.setattr(manifest, "MERGE", 2)
+    monkeypatch.setattr(manifest, "output_path", lambda identity, layout: F.concat(F.lit("file of "), identity))
+    r = random.Random(7)
+    url = lambda: f"https://e.org/{r.choice([0, r.randrange(40), r.randrange(900)])}"
+    pages = [(k, url(), url()) for k in range(420)]
+    found, want, clashes = plain_manifest(pages)
+    folder = f"file://{tmp_path}/m"
+    got, conflicts = [], set()
+    size = -(-len(pages) // parts)
+    for k in range(parts):
+        part = [(o, a.upper().replace("HTTPS", "https").replace("E.ORG", "E.org"), f + "#x") for o, a, f in pages[k * size : (k + 1) * size]] + [(1000 + k, "nothing", "https://e.org/1")]
+        made = manifest.Manifest(spark, folder, buckets=4, capacity=100).archive(spark.createDataFrame(part, "ordinal int, requested_url string, final_url string"))
+        rows = made.pages.collect()
+        assert [r["error"] for r in rows if r["ordinal"] >= 1000] == ["not an HTTP(S) url without credentials"]
+        got += [(r["ordinal"], r["identity"], r["output_path"], r["reused"]) for r in rows if r["ordinal"] < 1000]
+        conflicts |= {tuple(r) for r in made.conflicts.collect()}
+    assert sorted(got) == want and conflicts == clashes and clashes
+    kept = manifest.Manifest(spark, folder)
+    assert {r["identity"]: r["output_path"] for r in kept.table().collect()} == found
+    assert kept.state["identities"] == len(found) and len(kept.state["runs"]) == {1: 1, 4: 2}[parts] and kept.state["buckets"] == 4
+    asked = spark.createDataFrame([("https://e.org/0#f",), ("https://e.org/none",), ("nothing",)], "url string")
+    assert {r["url"]: r["output_path"] for r in kept.resolve(asked).collect()} == {"https://e.org/0#f": found.get("https://e.org/0"), "https://e.org/none": None, "nothing": None}
+
+
+def test_manifest_reads_its_buckets(spark, tmp_path):
+    folder = f"file://{tmp_path}/m"
+    page = lambda ids: spark.createDataFrame([(k, f"https://e.org/{k}", f"https://e.org/{k}") for k in ids], "ordinal int, requested_url string, final_url string")
+    manifest.Manifest(spark, folder, buckets=4, capacity=5000).archive(page(range(3000)))
+    kept = manifest.Manifest(spark, folder)
+    # what the filter lets through: all that are there, few of the others
+    ids = kept.table().select("identity").unionByName(spark.range(3000).select(F.concat(F.lit("https://no.org/"), F.col("id").cast("string")).alias("identity")))
+    rows = manifest.maybe_in(ids, kept._filter(), 4, kept.state["words"]).groupBy(F.col("identity").startswith("https://e.org").alias("there"), "maybe").count().collect()
+    counts = {(r["there"], r["maybe"]): r["count"] for r in rows}
+    assert counts[(True, True)] == 3000 and (True, False) not in counts and counts.get((False, True), 0) < 100
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.known(page(range(10)).select(F.col("final_url").alias("identity")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scan = plan[plan.rindex("SortMergeJoin") :]
+    assert "Bucketed: true" in scan
+    below = scan[: scan.index("Bucketed: true")].splitlines()[-1]
+    above = [line for line in scan.splitlines()[: len(scan[: scan.index("Bucketed: true")].splitlines())] if "Exchange" in line]
+    assert all(line.index("Exchange") != below.index("FileScan") for line in above) and "SelectedBucketsCount: 4 out of 4" in scan
+    # a run that was killed before its commit leaves nothing that counts
+    torn = manifest.Manifest(spark, folder)
+    torn._insert(2, "SELECT 'https://e.org/torn' AS identity, 'x' AS output_path")
+    again = manifest.Manifest(spark, folder)
+    assert again.table().count() == 3000
+    again.archive(page(range(2990, 3010)))
+    assert manifest.Manifest(spark, folder).table().count() == 3010
+    with pytest.raises(RuntimeError, match="another run"):
+        torn.archive(page([1]))
+
+
 def test_image_names_never_meet(spark):
     rows = [("a.png",), ("x/a.png",), ("a_1.png",), ("a.gif",), ("y/a.png",), ("n" * 300 + ".png",), ("m/" + "n" * 300 + ".png",), ("a_1_1.png",)]
     d = spark.createDataFrame([(1, k, f"https://e.org/{u}", "image/gif" if u.endswith("gif") else "image/png") for k, (u,) in enumerate(rows)], "doc int, pos int, url string, mime string")
