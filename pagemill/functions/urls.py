@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,96 @@ def split_url(url: Column) -> Column:
     return let(_clean(url), lambda u: let(groups(u), named))
 
 
+#: Fixed values of Python's urllib.parse: schemes whose references resolve, and those of them with parameters after a semicolon.
+RELATIVE = ("", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
+PARAMETERS = ("", "ftp", "http", "prospero", "imap", "https", "shttp", "rtsp", "rtsps", "mms", "sftp")
+
+
+def _address_6() -> str:
+    """A pattern of IPv6 addresses, of all places that the run of zeros can have, with an IPv4 end and a zone."""
+    four = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    end = f"(?:H:H|{four})"
+    ways = [f"(?:H:){{6}}{end}", *(f"(?:(?:H:){{0,{k - 1}}}H)?::(?:H:){{{5 - k}}}{end}" if k else f"::(?:H:){{5}}{end}" for k in range(6)), "(?:(?:H:){0,5}H)?::H", "(?:(?:H:){0,6}H)?::"]
+    return "(?:" + "|".join(ways).replace("H", "[0-9A-Fa-f]{1,4}") + ")(?:%[^%]+)?"
+
+
+@lru_cache(1)
+def _unsound_letters() -> str:
+    """Letters whose compatible form has a delimiter of addresses: no authority may have them."""
+    return "".join(c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and set("/?#@:") & set(unicodedata.normalize("NFKC", c)))
+
+
+def _sound_authority(netloc: Column) -> Column:
+    """Whether brackets pair and hold an IPv6 (or future) address, and no letter hides a delimiter."""
+    inside = F.regexp_extract(netloc, r"(?s)^[^\[]*\[([^\]]*)", 1)
+    bare = ~netloc.rlike(r"[\[\]]")
+    held = netloc.rlike(r"\[") & netloc.rlike(r"\]") & inside.rlike(f"^(?:{_address_6()}|v[0-9A-Fa-f]+\\..+)$")
+    return (bare | held) & ~netloc.rlike(f"[{_unsound_letters()}]")
+
+
+def url_join(base: Column, reference: Column) -> Column:
+    """The reference resolved against the base, as urllib.parse.urljoin has it; null where either is null or has a malformed authority.
+
+    Segments are merged and dots removed by a fold over an array, so it is all native.
+    """
+
+    def params(path: Column, scheme: Column) -> Column:
+        """Struct of a path and what follows the first semicolon of its last segment."""
+        at = r"(?s)^((?:.*/)?[^/;]*)(;[^/]*)?$"
+        some = scheme.isin(*PARAMETERS)
+        return F.struct(
+            F.when(some, F.regexp_extract(path, at, 1)).otherwise(path).alias("path"),
+            F.when(some, F.regexp_replace(F.regexp_extract(path, at, 2), "^;", "")).otherwise("").alias("params"),
+        )
+
+    def whole(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
+        mark = lambda sign, c: F.when(c != "", F.concat(F.lit(sign), c)).otherwise("")
+        path = F.concat(path, mark(";", params))
+        rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+        bare = path.startswith("//") | (scheme != "") & ((path == "") | path.startswith("/"))
+        place = F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted)).when(bare, F.concat(F.lit("//"), path)).otherwise(path)
+        return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), place, mark("?", query), mark("#", fragment))
+
+    def merged(base_path: Column, path: Column) -> Column:
+        own = F.split(path, "/")
+        folder = F.split(base_path, "/")
+        folder = F.when(F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1)).otherwise(folder)
+        all_ = F.concat(folder, own)
+        inner = F.filter(F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 2, F.lit(0))), lambda x: x != "")
+        ends = lambda a: F.when(F.size(a) > 1, F.concat(F.slice(a, 1, 1), inner, F.slice(a, -1, 1))).otherwise(a)
+        segments = F.when(path.startswith("/"), own).otherwise(ends(all_))
+        up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+        step = lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+
+        def folded(s: Column) -> Column:
+            out = F.aggregate(s, F.array().cast("array<string>"), step)
+            out = F.when(F.element_at(s, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
+            return F.coalesce(F.nullif(F.array_join(out, "/"), F.lit("")), F.lit("/"))
+
+        return let(segments, folded)
+
+    def resolved(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        scheme = F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"])
+        away = (scheme != b["scheme"]) | ~scheme.isin(*RELATIVE)
+
+        def joined(p: Column) -> Column:
+            bp, rp = p["b"], p["r"]
+            query = F.when(r["query"] != "", r["query"]).otherwise(b["query"])
+            return (
+                F.when(r["netloc"] != "", whole(scheme, r["netloc"], rp["path"], rp["params"], r["query"], r["fragment"]))
+                .when((rp["path"] == "") & (rp["params"] == ""), whole(scheme, b["netloc"], bp["path"], bp["params"], query, r["fragment"]))
+                .otherwise(whole(scheme, b["netloc"], merged(bp["path"], rp["path"]), rp["params"], r["query"], r["fragment"]))
+            )
+
+        sound = _sound_authority(b["netloc"]) & _sound_authority(r["netloc"])
+        inner = let(F.struct(params(b["path"], b["scheme"]).alias("b"), params(r["path"], scheme).alias("r")), joined)
+        return F.when(sound, F.when(away, reference).otherwise(inner))
+
+    parts = lambda u: let(_clean(u), lambda c: F.struct(*[(F.lower if name == "scheme" else lambda v: v)(F.regexp_extract(c, SPLIT, k + 1)).alias(name) for k, name in enumerate(("scheme", "netloc", "path", "query", "fragment"))]))
+    return F.when(base == "", reference).when(reference == "", base).when(base.isNotNull() & reference.isNotNull(), let(F.struct(parts(base).alias("b"), parts(reference).alias("r")), resolved))
+
+
 def valid_port(port: Column) -> Column:
     """Null ports are valid: the scheme's default holds."""
     number = F.when(port.rlike(r"^[0-9]{1,9}$"), port.try_cast("int"))

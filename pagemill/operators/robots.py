@@ -64,8 +64,13 @@ def decisions(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     s = split_url(F.col("url"))
     path = F.concat(F.when(s["path"] == "", "/").otherwise(s["path"]), F.when(s["query"] != "", F.concat(F.lit("?"), s["query"])).otherwise(""))
     asked = urls.select("url").distinct().withColumn("origin", origin_key(F.col("url"))).withColumn("path", _quote(path))
-    hit = asked.join(rules, "origin").where((F.col("rule") == "*") | F.col("path").startswith(F.col("rule")))
-    hit = hit.groupBy("url").agg(F.min_by("allow", "line").alias("allow"))
+    # a path meets the rules that are its prefixes, of the lengths that its origin's rules have: not every rule of the origin
+    rules = rules.withColumn("prefix", F.when(F.col("rule") == "*", "").otherwise(F.col("rule")))
+    rules = rules.groupBy("origin", "prefix").agg(F.min(F.struct("line", "allow")).alias("first"))
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    asked_at = asked.join(lengths, "origin").withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+    hit = asked_at.select("url", "origin", F.substring("path", F.lit(1), F.col("n")).alias("prefix")).join(rules, ["origin", "prefix"])
+    hit = hit.groupBy("url").agg(F.min("first").alias("f")).select("url", F.col("f.allow").alias("allow"))
     known = asked.join(robots.select("origin", "status", F.col("content").isNotNull().alias("has")), "origin", "left").join(hit, "url", "left")
     refused = F.col("status").between(400, 499)
     return known.select("url", F.when(refused, True).when(F.coalesce("has", F.lit(False)), F.coalesce("allow", F.lit(True))).otherwise(False).alias("allowed"))

@@ -394,6 +394,24 @@ def markdown_urls(spark, sf_dir):
     return d.select("doc_id", F.posexplode(P.md_urls(F.concat(F.lit(_MD), F.coalesce("text", F.lit(""))))).alias("pos", "url"))
 
 
+_REFERENCES = ("g", "./g", "g/", "/g", "//h.org", "//h.org/../x", "?y", "g?y", "#s", "g#s", "g?y#s", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g//h", "g?y/./x", "http://x.org/a/../b", "mailto:a@b.c")
+
+
+@query("url_join", f"""WITH r AS (SELECT unnest([{', '.join(f"'{x}'" for x in _REFERENCES)}]) AS ref),
+p AS (SELECT page_id, url, ref, regexp_extract(url, '^([a-z]+):', 1) AS s, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS n, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS b, regexp_extract(url, '[?]([^#]*)', 1) AS q,
+  regexp_extract(ref, '^(//)?([^/?#]*)', 2) AS rn, regexp_extract(ref, '^[^?#]*') AS rp, regexp_extract(ref, '[?#].*$') AS rest FROM pages, r),
+m AS (SELECT *, CASE WHEN rp LIKE '/%' THEN rp ELSE regexp_replace(CASE WHEN b = '' THEN '/' ELSE b END, '[^/]*$', '') || rp END AS path FROM p),
+g AS (SELECT *, string_split(CASE WHEN rp LIKE '/%' THEN path ELSE regexp_replace(path, '(.)/+', '\\1/', 'g') END, '/')[2:] AS segs FROM m),
+f AS (SELECT *, list_reduce(list_concat([''], segs), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END) || CASE WHEN segs[-1] IN ('.', '..') THEN '/' ELSE '' END AS folded FROM g)
+SELECT page_id, ref, CASE WHEN ref SIMILAR TO '[a-z]+:.*' THEN ref WHEN ref LIKE '//%' THEN s || ':' || ref
+  WHEN rp = '' THEN s || '://' || n || b || CASE WHEN rest LIKE '?%' THEN rest WHEN q <> '' THEN '?' || q || rest ELSE rest END
+  ELSE s || '://' || n || CASE WHEN folded = '' THEN '/' ELSE folded END || rest END AS joined FROM f""")
+def url_join(spark, sf_dir):
+    """References of every shape against every page's address."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, _REFERENCES))).alias("ref"))
+    return p.select("page_id", "ref", U.url_join(F.col("url"), F.col("ref")).alias("joined"))
+
+
 # ---- archives --------------------------------------------------------------------------------------------------------
 
 
@@ -675,12 +693,25 @@ def redirect_scope(spark, sf_dir):
 _ROBOTS = Rows("origin string, status int, content string", [
     ("https://a.org", 200, "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: mill\nCrawl-delay: 2\nDisallow: /private\nAllow: /"), ("https://b.org", 404, ""), ("https://c.org", 503, None),
     ("https://d.org", 200, "User-agent: not-mill\nDisallow: /\nCrawl-delay: 9\nUser-agent: *\nCrawl-delay: x\nCrawl-delay: 1.5\nDisallow: /x # c"), ("https://e.org", 200, "")])
-_ASKED = Rows("url string, allowed boolean", [("https://a.org/private/1", False), ("https://a.org/a", True), ("https://b.org/x", True), ("https://c.org/x", False), ("https://d.org/xy", False), ("https://d.org/y", True), ("https://e.org/", True), ("https://f.org/", False)])
+#: Each page adds a rule to its origin's file: a prefix of its path, as long as its number says; every eleventh one fits all.
+_SQL_RULES = """(SELECT page_id, origin, CASE WHEN page_id % 3 = 1 THEN 'allow' ELSE 'disallow' END AS kind, CASE WHEN page_id % 11 = 10 THEN '*' ELSE substring(path, 1, (page_id % 12 + 2)::INT) END AS rule
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages))"""
+_SQL_CHECKED = "(SELECT url FROM pages UNION SELECT url || '/more' FROM pages WHERE url NOT LIKE '%#%' UNION SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') || '/en/1' FROM pages)"
 
 
-@query("robots_decisions", f"SELECT url, allowed FROM {_ASKED.sql()}")
+@query("robots_decisions", f"""SELECT u.url, coalesce(arg_min(r.kind = 'allow', r.page_id), true) AS allowed FROM (SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM {_SQL_CHECKED}) u
+LEFT JOIN {_SQL_RULES} r ON r.origin = u.origin AND (r.rule = '*' OR starts_with(u.path, r.rule)) GROUP BY u.url""")
 def robots_decisions(spark, sf_dir):
-    return robots.decisions(_ASKED.df(spark).select("url"), _ROBOTS.df(spark), "mill/1.0")
+    """Every page's address and others of its origin, against files in which each page of the origin has a rule."""
+    p = table(spark, sf_dir, "pages")
+    origin, path = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1)
+    rule = F.when(F.col("page_id") % 11 == 10, "*").otherwise(F.substring(path, F.lit(1), (F.col("page_id") % 12 + 2).cast("int")))
+    line = F.concat(F.when(F.col("page_id") % 3 == 1, "Allow: ").otherwise("Disallow: "), rule)
+    lines = p.select(origin.alias("origin"), "page_id", line.alias("line")).groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("page_id", "line"))).alias("l"))
+    content = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: mill\n"), F.array_join("l.line", "\n"))
+    more = p.where("url NOT LIKE '%#%'").select(F.concat("url", F.lit("/more")).alias("url"))
+    asked = p.select("url").union(more).union(p.select(F.concat(origin, F.lit("/en/1")).alias("url"))).distinct()
+    return robots.decisions(asked, lines.select("origin", F.lit(200).alias("status"), content.alias("content")), "mill/1.0")
 
 
 @query("crawl_delays", "SELECT * FROM (VALUES ('https://a.org', 2.0::DOUBLE), ('https://b.org', NULL), ('https://c.org', NULL), ('https://d.org', 1.5), ('https://e.org', NULL)) v(origin, delay)")

@@ -423,6 +423,57 @@ def test_patterns(spark, tmp_path):
     assert found == [f"{tmp_path}/a.md", f"{tmp_path}/b.md", f"{tmp_path}/a.md", f"file:{tmp_path}/c.txt"] and unmatched == [f"{tmp_path}/none*"]
 
 
+BASES = [
+    "http://a/b/c/d;p?q", "https://e.org", "https://e.org/", "https://e.org/x/y/?a=b#c", "HTTP://E.org:80//x//y", "https://u:p@[2001:db8::1%z]:8/a/b", "https://[v1.x]/a", "https://[::1/a", "https://]/a",
+    "https://[1.2.3.4]/", "https://[::ffff:1.2.3.4]/q/", "file:///a/b", "ftp://h/a;type=i", "mailto:a@b.c", "data:text/plain,x", "a/b", "/a/../b", "", "?q", "//h/x", "  https://e.org/\ta/b\n", "x:y", "https://\u2100.org/", "svn+ssh://h/a/b",
+]
+REFERENCES = [
+    "g:h", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g",
+    "./g/.", "g/./h", "g/../h", "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g#s/../x", "http:g", "https:g", "HTTPS://x.org/a/../b", "//[::1]:80/x", "//[::1", "//x]", "//[zz]/", " g ", "g\th", "g//h", "//", "///x", "a//../b", ";", "..;x", "g;", "?", "#", "javascript:x", "é/ü?ß", "/%2e%2e/x",
+    "//\uff0f.org/",
+]
+
+
+def test_native_url_join(spark):
+    from urllib.parse import urljoin
+
+    def want(b, r):
+        try:
+            return urljoin(b, r)
+        except ValueError:
+            return None
+
+    pairs = [(b, r) for b in BASES for r in REFERENCES] + [(None, "x"), ("https://e.org/", None)]
+    d = spark.createDataFrame(pairs, "b string, r string").select("b", "r", U.url_join(F.col("b"), F.col("r")).alias("j"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    wrong = [(x["b"], x["r"], x["j"], want(x["b"], x["r"])) for x in d.collect() if x["b"] is not None and x["r"] is not None and x["j"] != want(x["b"], x["r"])]
+    assert not wrong, wrong[:10]
+    assert d.where("b IS NULL OR r IS NULL").where("j IS NOT NULL").isEmpty()
+
+
+def test_robots_rules_meet_by_prefixes(spark):
+    """A thousand rules an origin: as testing each of them in order; no join but of equal keys."""
+    import random
+
+    r = random.Random(4)
+    path = lambda n: "/" + "/".join(r.choice("abc") for _ in range(r.randrange(n)))
+    rules = {o: [(r.choice(["Allow", "Disallow"]), r.choice([path(7), path(7), path(9), "*" if k == 950 else path(8), "/é", "/a%20b", "/q?x"])) for k in range(1000)] for o in ("https://a.org", "https://b.org")}
+    files_ = [(o, 200, "User-agent: *\n" + "\n".join(f"{f}: {p}" for f, p in rs)) for o, rs in rules.items()] + [("https://c.org", 404, None), ("https://d.org", 500, None)]
+    urls = [f"{o}{path(12)}" for o in [*rules, "https://c.org", "https://d.org"] for _ in range(150)] + ["https://a.org", "https://a.org/q?x=1", "https://b.org/%C3%A9", "https://b.org/a b", "https://none.org/"]
+
+    def allowed(u):
+        o = "/".join(u.split("/")[:3])
+        if o not in rules:
+            return o == "https://c.org"
+        p = (u[len(o) :] or "/").replace("%C3%A9", "é")
+        return next((f == "Allow" for f, x in rules[o] if x == "*" or p.startswith(x.replace("%20", " "))), True)
+
+    d = robots.decisions(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(files_, "origin string, status int, content string"), "mill")
+    assert {x["url"]: x["allowed"] for x in d.collect()} == {u: allowed(u) for u in urls}
+    assert "NestedLoop" not in d._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_robots_contents(spark):
     rows = spark.createDataFrame([("a", 200, "x"), ("b", 404, "y"), ("c", 503, "z"), ("d", None, None), ("e", 204, None)], "origin string, status int, body string")
     assert {r["origin"]: r["content"] for r in robots.contents(rows).collect()} == {"a": "x", "b": "", "c": None, "d": None, "e": ""}
