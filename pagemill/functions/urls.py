@@ -131,10 +131,16 @@ def url_join(base: Column, reference: Column) -> Column:
 
         sound = _sound_authority(b["netloc"]) & _sound_authority(r["netloc"])
         inner = let(F.struct(params(b["path"], b["scheme"]).alias("b"), params(r["path"], scheme).alias("r")), joined)
-        return F.when(sound, F.when(away, reference).otherwise(inner))
+        return F.when(sound, F.when(away, x["reference"]).otherwise(inner))
 
     parts = lambda u: let(_clean(u), lambda c: F.struct(*[(F.lower if name == "scheme" else lambda v: v)(F.regexp_extract(c, SPLIT, k + 1)).alias(name) for k, name in enumerate(("scheme", "netloc", "path", "query", "fragment"))]))
-    return F.when(base == "", reference).when(reference == "", base).when(base.isNotNull() & reference.isNotNull(), let(F.struct(parts(base).alias("b"), parts(reference).alias("r")), resolved))
+
+    def told(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        both = let(F.struct(parts(b).alias("b"), parts(r).alias("r"), r.alias("reference")), resolved)
+        return F.when(b == "", r).when(r == "", b).when(b.isNotNull() & r.isNotNull(), both)
+
+    return let(F.struct(base.alias("b"), reference.alias("r")), told)
 
 
 def valid_port(port: Column) -> Column:

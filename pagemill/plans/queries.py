@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import nodes as N
 from pagemill.functions import pages as P
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.operators import archive, cookies, crawl, evaluate, images, manifest, policy, requests, robots, state
-from pagemill.session import shared_folder, ship
+from pagemill.session import shared_folder, ship, stored
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -199,16 +200,12 @@ def page_catalog(spark, sf_dir):
 
 @query("html_links", f"""SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct([{_ORIGIN} || replace(h, '&amp;', '&') FOR h IN regexp_extract_all(html, '{_HREF}', 1)])) link FROM pages)""")
 def html_links(spark, sf_dir):
-    page = P.page_udf(want=("links",))
-    p = wide(table(spark, sf_dir, "pages")).select("page_id", page("html", "url").alias("p"))
-    return p.select("page_id", F.explode("p.links").alias("link"))
+    return N.links(wide(table(spark, sf_dir, "pages"))).select("page_id", "link")
 
 
 @query("page_metadata", f"SELECT page_id, {_SQL_TITLE} AS title, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS date, url AS canonical_url, CAST(NULL AS VARCHAR) AS description, {_SQL_LANG} AS language FROM pages")
 def page_metadata(spark, sf_dir):
-    page = P.page_udf(want=("metadata",))
-    p = wide(table(spark, sf_dir, "pages")).select("page_id", page("html", "url").alias("p"))
-    return p.select("page_id", *[f"p.{c}" for c in P.METADATA])
+    return N.metadata(wide(table(spark, sf_dir, "pages")))
 
 
 _ESC = "'\"' || replace(replace({0}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
@@ -244,7 +241,24 @@ _NAV = r"(?s)<nav><ul><li>.*?</li><li><a href=\"(/[^\"]*)\">(.*?)</a>"
 @query("selected_html", f"""SELECT page_id, '<main><a href="' || {_ORIGIN} || regexp_extract(html, '{_NAV}', 1) || '">' || regexp_extract(html, '{_NAV}', 2) || '</a>' || regexp_extract(html, '(?s)<article>(<h1>.*?</h1>)', 1) || '</main>' AS selected_html,
   CAST(NULL AS VARCHAR) AS error FROM pages""")
 def selected_html(spark, sf_dir):
-    return _pages_by(("html",), "selector", "article > h1, nav li:nth-child(2) a[href^='http']")(spark, sf_dir).select("page_id", "p.selected_html", "p.error")
+    return N.selected_html(wide(table(spark, sf_dir, "pages")), "article > h1, nav li:nth-child(2) a[href^='http']")
+
+
+#: Selectors by child, descendant, sibling, attribute and place; in SQL, what each finds in the pages' own layout.
+_SELECTED = {
+    "nav > ul > li": "regexp_extract_all(nav, '<li>')", "nav a": "regexp_extract_all(nav, '<a href=')", "li + li": "regexp_extract_all(nav, '<li>')[2:]", "nav ~ article > h1": "regexp_extract_all(html, '<article><h1>')",
+    "li:nth-child(odd) > a[href^='/t']": "list_filter(regexp_extract_all(nav, '<li><a href=\"([^\"]*)\"', 1), lambda x, i: i % 2 = 1 AND starts_with(x, '/t'))",
+}
+
+
+@query("selected_nodes", "WITH p AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages) " + " UNION ALL ".join(f"SELECT page_id, '{k.replace(chr(39), chr(39) * 2)}' AS selector, CAST(len({v}) AS BIGINT) AS n FROM p WHERE len({v}) > 0" for k, v in _SELECTED.items()))
+def selected_nodes(spark, sf_dir):
+    nodes = stored(N.node_table(wide(table(spark, sf_dir, "pages"))), "nodes")
+    out = None
+    for selector in _SELECTED:
+        n = N.select(nodes, selector).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", F.lit(selector).alias("selector"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 _FOLDER = r"regexp_extract(url, '^([a-z]+://[^/?#]*[^?#]*/)', 1)"
@@ -264,10 +278,7 @@ def tab_markdown(spark, sf_dir):
 
 @query("html_nodes", r"""SELECT page_id, 'a' AS tag, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n FROM pages UNION ALL SELECT page_id, 'article', CAST(len(regexp_extract_all(html, '<article>')) AS BIGINT) FROM pages""")
 def html_nodes(spark, sf_dir):
-    P.register(spark)
-    wide(table(spark, sf_dir, "pages")).createOrReplaceTempView("_pagemill_pages")
-    nodes = spark.sql("SELECT p.page_id, n.tag FROM _pagemill_pages p, LATERAL html_nodes(p.html) n WHERE n.tag IN ('a', 'article')")
-    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return N.node_table(wide(table(spark, sf_dir, "pages"))).where("tag IN ('a', 'article')").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 _RAW = Rows("html string, title string, expected string", [
