@@ -234,11 +234,15 @@ class PageMarkdown:
         return self.block(content, context)
 
 
-#: Marks that the tab dialect escapes: a pattern and what stands for it.
-ESCAPES = (
-    (r"\\", r"\\\\"), (r"\*", r"\\*"), (r"^-", r"\\-"), (r"^\+ ", r"\\+ "), (r"^(=+)", r"\\\1"), (r"^(#{1,6}) ", r"\\\1 "), (r"`", r"\\`"),
-    (r"^~~~", r"\\~~~"), (r"\[", r"\\["), (r"\]", r"\\]"), (r"^>", r"\\>"), (r"_", r"\\_"), (r"^(\d+)\. ", r"\1\\. "),
-)
+#: Marks that the tab dialect escapes wherever they are, and those that count after white space at a line's start and before a blank.
+ESCAPED_MARKS = re.compile(r"([\\*_`\[\]])")
+ESCAPED_STARTS = re.compile(r"^(\s*)(?:([-+]|#{1,6}|>) |(\d+)\. )", re.M)
+
+
+def escape_tab(text: str) -> str:
+    """Authored marks as literal text."""
+    text = ESCAPED_MARKS.sub(r"\\\1", text)
+    return ESCAPED_STARTS.sub(lambda m: f"{m[1]}\\{m[2]} " if m[2] else f"{m[1]}{m[3]}\\. ", text)
 
 
 class TabMarkdown(PageMarkdown):
@@ -266,9 +270,7 @@ class TabMarkdown(PageMarkdown):
         plain = super().text(node, context | {"code"})
         if context & {"pre", "code"}:
             return plain
-        for pattern, replacement in ESCAPES:
-            plain = re.sub(pattern, replacement, plain)
-        return plain
+        return escape_tab(plain)
 
     def on_heading(self, node, content, context):
         content = " ".join(content.split())

@@ -84,15 +84,6 @@ def slug(title: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^A-Za-z0-9_\s]", ""), r"\s+", "-"), 1, 50)
 
 
-def escape_markdown(text: Column) -> Column:
-    for pattern, new in (
-        (r"\\", r"\\\\"), (r"\*", r"\\*"), (r"(?m)^-", r"\\-"), (r"(?m)^\+ ", r"\\+ "), (r"(?m)^(=+)", r"\\$1"), (r"(?m)^(#{1,6}) ", r"\\$1 "), (r"`", r"\\`"),
-        (r"(?m)^~~~", r"\\~~~"), (r"\[", r"\\["), (r"\]", r"\\]"), (r"(?m)^>", r"\\>"), (r"_", r"\\_"), (r"(?m)^(\d+)\. ", r"$1\\. "),
-    ):
-        text = F.regexp_replace(text, pattern, new)
-    return text
-
-
 def sensitive_key(key: Column) -> Column:
     k = F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     return k.isin(*SENSITIVE_KEYS) | k.rlike(f"({'|'.join(SENSITIVE_SUFFIXES)})$")

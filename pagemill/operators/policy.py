@@ -68,34 +68,65 @@ def key_stats(events: DataFrame, key: str, failed: Column, value: str = "value")
     )
 
 
-@dataclass
+#: What events do to a key: in a state, on an event, if a guard holds, the next state and what becomes of the numbers. Rules are tried in their order; an
+#: event without one changes nothing. `spare` asks are let through, the others are refused.
+ASKED, GOOD, BAD = "asked", "good", "bad"
+RULES = {
+    ("CLOSED", ASKED): [("always", "CLOSED", "spare")],
+    ("CLOSED", GOOD): [("always", "CLOSED", "forgive")],
+    ("CLOSED", BAD): [("last straw", "OPEN", "blame"), ("always", "CLOSED", "blame")],
+    ("OPEN", ASKED): [("rested", "HALF_OPEN", "probe")],
+    ("OPEN", BAD): [("always", "OPEN", "blame")],
+    ("HALF_OPEN", ASKED): [("untried", "HALF_OPEN", "spare")],
+    ("HALF_OPEN", GOOD): [("last test", "CLOSED", "acquit"), ("always", "HALF_OPEN", "pass")],
+    ("HALF_OPEN", BAD): [("always", "OPEN", "blame")],
+}
+GUARDS = {
+    "always": lambda x, now, limits: True,
+    "last straw": lambda x, now, limits: x["failures"] + 1 >= limits.failures,
+    "rested": lambda x, now, limits: now - x["blamed_at"] >= limits.recovery,
+    "untried": lambda x, now, limits: x["passed"] < limits.tests,
+    "last test": lambda x, now, limits: x["passed"] + 1 >= limits.tests,
+}
+EFFECTS = {
+    "spare": lambda x, now: {},
+    "probe": lambda x, now: {"passed": 0},
+    "forgive": lambda x, now: {"failures": max(0, x["failures"] - 1)},
+    "blame": lambda x, now: {"failures": x["failures"] + 1, "blamed_at": now},
+    "pass": lambda x, now: {"passed": x["passed"] + 1},
+    "acquit": lambda x, now: {"passed": x["passed"] + 1, "failures": 0},
+}
+
+
 class Breaker:
-    """CLOSED, OPEN after enough failures, HALF_OPEN after the recovery time, and back by enough successes."""
+    """A key's place in the table of RULES. `held` is all that is kept of it: state, failures, blamed_at, passed."""
 
-    limits: Limits = LIMITS
-    state: str = "CLOSED"
-    failures: int = 0
-    last_failure: float = 0.0
-    tests: int = 0
-
-    def may_proceed(self, now: float) -> bool:
-        if self.state == "OPEN" and now - self.last_failure >= self.limits.recovery:
-            self.state, self.tests = "HALF_OPEN", 0
-            return True
-        return self.state == "CLOSED" or self.state == "HALF_OPEN" and self.tests < self.limits.tests
-
-    def record(self, ok: bool, now: float) -> None:
-        if not ok:
-            self.failures += 1
-            self.last_failure = now
-            if self.state == "HALF_OPEN" or self.failures >= self.limits.failures:
-                self.state = "OPEN"
-        elif self.state == "HALF_OPEN":
-            self.tests += 1
-            if self.tests >= self.limits.tests:
-                self.state, self.failures = "CLOSED", 0
-        elif self.state == "CLOSED":
-            self.failures = max(0, self.failures - 1)
+    def __init__(self, limits: Limits = LIMITS, held: dict | None = None):
+        self.limits = limits
+        self.held = {"state": "CLOSED", "failures": 0, "blamed_at": 0.0, "passed": 0} | (held or {})
+
+    @property
+    def state(self) -> str:
+        return self.held["state"]
+
+    @property
+    def failures(self) -> int:
+        return self.held["failures"]
+
+    def on(self, event: str, now: float) -> bool:
+        """Applies the first rule that fits, and says whether there was one."""
+        for guard, state, effect in RULES.get((self.state, event), ()):
+            if GUARDS[guard](self.held, now, self.limits):
+                self.held |= EFFECTS[effect](self.held, now) | {"state": state}
+                return True
+        return False
+
+    def ask(self, failed: bool, now: float) -> bool:
+        """Whether a request may go; if so, its outcome counts."""
+        may = self.on(ASKED, now)
+        if may:
+            self.on(BAD if failed else GOOD, now)
+        return may
 
 
 @dataclass
@@ -145,10 +176,7 @@ def breaker_states(events: DataFrame, key: str, limits: Limits = LIMITS) -> Data
         b = Breaker(limits)
 
         def step(us, failed):
-            allowed = b.may_proceed(us / 1e6)
-            if allowed:
-                b.record(not failed, us / 1e6)
-            return allowed, b.state, b.failures
+            return b.ask(failed, us / 1e6), b.state, b.failures
 
         return step
 

@@ -42,16 +42,12 @@ def breaker_states(events: DataFrame, key: str, limits: Limits = LIMITS) -> Data
     def step(k, b: Breaker, rows):
         out = []
         for e, us, bad in zip(rows["event_id"], rows["us"], rows["failed"]):
-            allowed = b.may_proceed(us / 1e6)
-            if allowed:
-                b.record(not bad, us / 1e6)
-            out.append((k, e, allowed, b.state, b.failures))
+            out.append((k, e, b.ask(bool(bad), us / 1e6), b.state, b.failures))
         return pd.DataFrame(out, columns=[key, "event_id", "allowed", "state", "failures"])
 
     kind = dict(events.dtypes)[key]
     schema = f"{key} {kind}, event_id bigint, allowed boolean, state string, failures bigint"
-    fields = ("state", "failures", "last_failure", "tests")
-    return _fold(events, key, schema, lambda: Breaker(limits), step, lambda b: [getattr(b, f) for f in fields], lambda x: Breaker(limits, *x))
+    return _fold(events, key, schema, lambda: Breaker(limits), step, lambda b: b.held, lambda held: Breaker(limits, held))
 
 
 def window_counts(events: DataFrame, key: str, window: str = "1 minute", slide: str = "10 seconds", late: str = "5 minutes") -> DataFrame:

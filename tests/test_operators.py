@@ -341,12 +341,15 @@ def test_crawl_policy(bad):
 
 
 def test_breaker():
-    b = policy.Breaker(policy.Limits(failures=2, recovery=10, tests=1))
-    for t in (0, 1):
-        b.record(False, t)
-    assert b.state == "OPEN" and not b.may_proceed(5) and b.may_proceed(11) and b.state == "HALF_OPEN"
-    b.record(True, 11)
-    assert b.state == "CLOSED" and b.failures == 0
+    b = policy.Breaker(policy.Limits(failures=2, recovery=10, tests=2))
+    assert [b.ask(True, t) for t in (0, 1, 2)] == [True, True, False] and b.state == "OPEN" and b.failures == 2
+    assert not b.on(policy.ASKED, 10.9) and b.ask(False, 11) and b.state == "HALF_OPEN"
+    assert b.ask(False, 12) and b.state == "CLOSED" and b.failures == 0
+    assert b.ask(True, 13) and b.ask(False, 14) and b.failures == 0 and b.ask(False, 15) and b.failures == 0
+    b = policy.Breaker(policy.Limits(failures=1, recovery=5, tests=2))
+    assert b.ask(True, 0) and b.ask(True, 5) and b.state == "OPEN" and not b.ask(False, 9) and b.ask(False, 10) and b.state == "HALF_OPEN"
+    assert set(policy.Breaker(held={"state": "OPEN"}).held) == {"state", "failures", "blamed_at", "passed"}
+    assert all(g in policy.GUARDS and e in policy.EFFECTS for rules in policy.RULES.values() for g, _, e in rules)
 
 
 def test_streams_equal_batches(spark, tmp_path):

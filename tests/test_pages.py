@@ -1,12 +1,13 @@
 """Facts about single pages: tree, selectors, regions, metadata, Markdown, links."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.functions import pages as P
 from pagemill.functions.dom import SelectorError, parse, select
 from pagemill.functions.mdscan import extract_urls, scan_links, splice
 from pagemill.functions.regions import RegionError, content_region
-from pagemill.functions.render import TabMarkdown, html_to_markdown, tab_to_markdown
+from pagemill.functions.render import TabMarkdown, escape_tab, html_to_markdown, tab_to_markdown
 
 
 def md(html):
@@ -131,3 +132,24 @@ def test_sql_names(spark):
     assert "## A" in found[1] and "[c](/b)" in found[1] and found[2] is None and found[3].strip() == ""
     got = spark.sql("SELECT html_links(html, 'https://e.org/x').links l, url_join('https://e.org/x', '/b') u, md_urls('see https://e.org/q') m FROM _pagemill_sql_names WHERE id = 1").first()
     assert got.u == "https://e.org/b" and got.m == ["https://e.org/q"] and len(got.l) == 1
+
+
+@pytest.mark.parametrize(
+    ("plain", "escaped"),
+    [
+        ("-5 degrees", "-5 degrees"), ("== x", "== x"), ("~~~ x", "~~~ x"), ("- x", "\\- x"), ("  + x", "  \\+ x"), ("a - b", "a - b"), ("# x", "\\# x"), ("#x", "#x"), ("####### x", "####### x"), ("> x", "\\> x"), (">x", ">x"),
+        ("12. x", "12\\. x"), ("1.5", "1.5"), ("a_b*c`d[e]", "a\\_b\\*c\\`d\\[e\\]"), ("a\\b", "a\\\\b"), ("x\n- y\n 3. z", "x\n\\- y\n 3\\. z"),
+    ],
+)
+def test_tab_escapes(plain, escaped):
+    assert escape_tab(plain) == escaped
+
+
+def test_a_deep_page_is_an_error_row(spark):
+    from pagemill.functions import pages
+
+    rows = spark.createDataFrame([(1, "<div>" * 70_000 + "x"), (2, "<p>x")], "page_id int, html string")
+    page = pages.page_udf(want=("markdown",))
+    got = {r["page_id"]: (r["p"]["markdown"], r["p"]["error"]) for r in rows.select("page_id", page("html", F.lit("https://e.org/")).alias("p")).collect()}
+    assert got[1][0] is not None or got[1][1] == "the page is nested too deeply"
+    assert "x" in got[2][0] and got[2][1] is None
