@@ -41,6 +41,10 @@ MAX_BLOCKS = 16
 PARTIALS = 4096
 #: The power of the inverse document frequency's logarithm that terms weigh.
 DAMPING = 2.0
+#: Entries of the sparse matrix that one product takes, about.
+ENTRIES = 2000
+#: Entries of a unit row below this are left out of it. A row of 64 words loses a fortieth of its squared length at most; one of common words alone loses none.
+FAINT = 0.02
 #: The cosine that a whole copy of an item is to have to a passage whose other words weigh PLENTY times what a passage's words weigh on average, if the
 #: search by cosine is to be trusted with it; items below are searched for exactly.
 TRUSTED, PLENTY = 0.4, 2.0
@@ -144,7 +148,7 @@ def _passages(first: np.ndarray, found: np.ndarray, terms: np.ndarray, v: int, s
 
 
 def _weighted(passage: np.ndarray, term: np.ndarray, times: np.ndarray, weight: np.ndarray):
-    """Unit TF-IDF rows as (passage, term, value), without terms that have no weight."""
+    """Unit TF-IDF rows as (passage, term, value), without what is faint in its own row."""
     value = (1 + np.log(times)) * weight[term]
     keep = value > 0
     passage, term, value = passage[keep], term[keep], value[keep]
@@ -152,18 +156,32 @@ def _weighted(passage: np.ndarray, term: np.ndarray, times: np.ndarray, weight:
         return passage, term, value.astype(np.float32), passage
     first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     norm = np.sqrt(np.add.reduceat(value * value, first))
-    return passage, term, (value / np.repeat(norm, np.diff(np.append(first, len(value))))).astype(np.float32), first
+    value = (value / np.repeat(norm, np.diff(np.append(first, len(value))))).astype(np.float32)
+    keep = value >= FAINT
+    passage, term, value = passage[keep], term[keep], value[keep]
+    return passage, term, value, np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
 
 
 def _times_dense(term: np.ndarray, value: np.ndarray, first: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """Rows of the sparse matrix times a dense one, a bounded number of entries at a time."""
-    out = np.empty((len(first), dense.shape[1]), np.float32)
+    """Rows of the sparse matrix times a dense one: rows of about one length at a time as one batched product, a bounded number of entries; a longer row by pieces."""
     ends = np.append(first[1:], len(term))
+    order = np.argsort(ends - first, kind="stable")
+    sizes = (ends - first)[order]
+    out = np.empty((len(first), dense.shape[1]), np.float32)
     at = 0
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(ends, first[at] + 3_000, side="right")))
-        a, b = first[at], ends[stop - 1]
-        out[at:stop] = np.add.reduceat(dense[term[a:b]] * value[a:b, None], first[at:stop] - a)
+    while at < len(order):
+        n = int(sizes[at])
+        if n > ENTRIES:
+            k = order[at]
+            out[k] = sum(value[s : min(s + ENTRIES, ends[k])] @ dense[term[s : min(s + ENTRIES, ends[k])]] for s in range(first[k], ends[k], ENTRIES))
+            at += 1
+            continue
+        stop = min(at + max(1, ENTRIES // max(n, 1)), int(np.searchsorted(sizes, min(2 * n + 8, ENTRIES), side="right")))
+        rows = order[at:stop]
+        place = np.arange(sizes[stop - 1])
+        inside = place < sizes[at:stop, None]
+        place = np.where(inside, first[rows][:, None] + place, first[rows][:, None])
+        out[rows] = np.matmul(np.where(inside, value[place], np.float32(0))[:, None, :], dense[term[place]])[:, 0]
         at = stop
     return out
 
