@@ -33,6 +33,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def _fold(letters: np.ndarray) -> np.ndarray:
     return mix(letters.astype(np.uint64) + np.uint64(0x51ED270B))
 
+#: Letters of a word that goes through the trie, at most.
+LONG = 256
+
 
 class Pieces:
     """Piece scores by hash: a piece of letters a, b, c has the hash of its letters, the last one first."""
@@ -68,8 +71,54 @@ def load(path: str) -> Pieces:
     return Pieces(scored, -float(np.log(len(plain) + 1 + ZIPF_SHIFT)))
 
 
+def _widths(letters: np.ndarray) -> np.ndarray:
+    """Bytes of each letter in UTF-8."""
+    return np.where(letters < 0x80, 1, np.where(letters < 0x800, 2, np.where(letters < 0x10000, 3, 4)))
+
+
+def long_count(word: str, pieces: Pieces, chunk: int = 1 << 16) -> int:
+    """Tokens of one word by itself. The pieces that end at each letter are looked up for many letters at once; the scores are added up letter by letter, over the
+    pieces that are there, with those of the last few letters at hand."""
+    letters = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.int64)
+    scores, counts = [0.0], [0]  # of the prefixes before the chunk, as far back as a piece reaches
+    for start in range(0, len(letters), chunk):
+        stop = min(start + chunk, len(letters))
+        low = max(0, start - pieces.longest + 1)
+        folded, ends = _fold(letters[low:stop]), np.arange(start, stop)
+        h, at, length, gain = np.zeros(len(ends), np.uint64), [], [], []
+        for back in range(1, pieces.longest + 1):
+            begin = ends - back + 1
+            ok = np.flatnonzero(begin >= 0)
+            h[ok] = mix(h[ok] * _BASE + folded[begin[ok] - low])
+            s = pieces.find(h[ok])
+            hit = np.flatnonzero(s > -np.inf)
+            at.append(ok[hit])
+            length.append(np.full(len(hit), back))
+            gain.append(s[hit])
+        at, length, gain = map(np.concatenate, (at, length, gain))
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(len(ends) + 1)).tolist()
+        length, gain, width = length[order].tolist(), gain[order].tolist(), _widths(letters[start:stop]).tolist()
+        for k in range(len(ends)):
+            best, fewest = scores[-1] + pieces.byte_score * width[k], counts[-1] + width[k]
+            for n in range(first[k], first[k + 1]):
+                s, c = scores[-length[n]] + gain[n], counts[-length[n]] + 1
+                if s > best + 1e-9 or s > best - 1e-9 and c < fewest:
+                    best, fewest = s, c
+            scores.append(best)
+            counts.append(fewest)
+        del scores[: -pieces.longest], counts[: -pieces.longest]
+    return counts[-1]
+
+
 def token_counts(words: list[str], pieces: Pieces) -> np.ndarray:
-    """Tokens in the best segmentation of each word (with the mark before it)."""
+    """Tokens in the best segmentation of each word (with the mark before it). Words of more than LONG letters share no prefix of that length to speak of and
+    leave the trie."""
+    if any(len(w) > LONG for w in words):
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        out = np.array([0 if len(w) <= LONG else long_count(w, pieces) for w in words], np.int64)
+        out[short] = token_counts([words[k] for k in short], pieces)
+        return out
     order = sorted(range(len(words)), key=words.__getitem__)
     size = np.array([len(words[k]) + 1 for k in order], np.int64)
     if not len(size):
@@ -92,7 +141,7 @@ def token_counts(words: list[str], pieces: Pieces) -> np.ndarray:
         parents.append(above[new])
         marks.append(c[new])
         n = int(new.sum())
-        width = np.where(c[new] < 0x80, 1, np.where(c[new] < 0x800, 2, np.where(c[new] < 0x10000, 3, 4)))
+        width = _widths(c[new])
         best = score[depth - 1][parents[depth]] + pieces.byte_score * width
         fewest = count[depth - 1][parents[depth]] + width
         h, walk = np.zeros(n, np.uint64), np.arange(n)

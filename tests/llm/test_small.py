@@ -374,6 +374,24 @@ def test_token_counts_equal_plain_dynamic_programming(docs):
     for i, t, *_ in ROWS:
         if t is None or len(t) < 50_000:
             assert got[i] == sum(map(brute, words(t)))
+        else:
+            assert got[i] == sum(unigram.long_count(w, pieces) for w in words(t))
+    r = np.random.default_rng(2)
+    for letters in ("abcdeéß日", "the of and", "z"):
+        for n in (255, 256, 257, 300, 2000):
+            w = "".join(r.choice(list(letters.replace(" ", "")), n))
+            assert unigram.token_counts([w, w[:20], w[:300]], pieces).tolist() == [brute(w), brute(w[:20]), brute(w[:300])]
+            assert unigram.long_count(w, pieces, chunk=7) == brute(w)
+
+
+def test_a_word_of_a_million_letters():
+    import time
+
+    r = np.random.default_rng(2)
+    w = "".join(r.choice(list("ABCDefgh0123+/"), 1_000_000))
+    began = time.process_time()
+    n = unigram.token_counts([w], unigram.load(unigram.vocabulary_path()))[0]
+    assert 300_000 < n < 1_000_000 and time.process_time() - began < 30
 
 
 # ---- 7 ----
