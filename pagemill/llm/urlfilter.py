@@ -1,10 +1,12 @@
 """URL filters: allow and block rules, then a naive Bayes verdict on the words in a host and path.
 
 Hosts concatenate words ("cheappillsonline"). A unigram Viterbi splits every label into the likeliest words: known words cost
-their negative log probability, other stretches a base and so much a letter. Known are the words of the labelled addresses below
-and those that stand alone in the hosts and paths of the table; probabilities are the shares of the hosts that have them,
-counted over all rows. A multinomial naive Bayes model, fitted to the labelled addresses, then scores the words of
-host and path. Words outside its vocabulary say nothing.
+their negative log probability, other stretches a base and so much a letter. Known are the words of the labelled addresses, their
+probabilities the shares of the hosts that have them, counted over all rows; and those of a lexicon, if the caller gives one. A multinomial naive Bayes
+model, fitted to the labelled addresses, then scores the words of host and path. Words outside its vocabulary say nothing.
+
+The addresses below are a small default, written by hand: a verdict is no better than they are. Give a table of labelled addresses instead (labelled()), and a table of
+words with their counts, such as a public unigram list of the languages that the hosts are in.
 """
 
 from __future__ import annotations
@@ -52,8 +54,12 @@ ALPHA = 1.0
 UNKNOWN_BASE, UNKNOWN_LETTER = 3.0, 1.5
 #: Half of a labelled word's probability is the same for all, half its share of the table's words.
 EVEN_SHARE = 0.5
-#: Words of the table that are known at most, by the number of hosts that have them, and the least of their hosts and letters.
-TABLE_WORDS, TABLE_HOSTS, TABLE_LETTERS = 20_000, 2, 3
+#: Letters of a word that the segmenter takes out of a label, at least.
+TABLE_LETTERS = 3
+#: Rows of a lexicon and of a table of labelled addresses, at most: both are parameters and are held by every worker. More are an error.
+LEXICON_ROWS, LABELLED_ROWS = 500_000, 100_000
+#: Letters of a label whose split is remembered.
+REMEMBERED_LETTERS = 64
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -76,7 +82,7 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
 
 
 class Model:
-    """Word costs for the Viterbi and log odds for the verdict; `counts` has how many of the table's hosts have each word."""
+    """Word costs for the Viterbi and log odds for the verdict; `counts` has how many of the table's hosts have each word, or a lexicon's counts."""
 
     def __init__(self, counts: dict[str, int], addresses: dict[str, str | Sequence[str]] = ADDRESSES):
         listed = {k: v.split() if isinstance(v, str) else list(v) for k, v in addresses.items()}
@@ -94,7 +100,10 @@ class Model:
         n = {k: ws.total() + ALPHA * len(vocabulary) for k, ws in words.items()}
         self.odds = {w: math.log((words["block"][w] + ALPHA) / n["block"]) - math.log((words["allow"][w] + ALPHA) / n["allow"]) for w in vocabulary}
         self.prior = math.log(max(len(listed["block"]), 1)) - math.log(max(len(listed["allow"]), 1))
-        self.split = lru_cache(1 << 16)(self._split)
+        self._remembered = lru_cache(1 << 16)(self._split)
+
+    def split(self, label: str) -> tuple[str, ...]:
+        return (self._remembered if len(label) <= REMEMBERED_LETTERS else self._split)(label)
 
     def _spelled(self, word: str) -> bool:
         ends = [0]
@@ -133,27 +142,44 @@ class Model:
         return self.prior + sum(self.odds.get(w, 0.0) for w in words), words
 
 
-def word_counts(pages: DataFrame, addresses: dict[str, str] = ADDRESSES) -> dict[str, int]:
-    """How many hosts of the whole table have each word alone in their urls, for the labelled words and the TABLE_WORDS commonest
-    others of at least TABLE_HOSTS hosts. A host counts once however many rows it has."""
+def _held(rows: DataFrame, most: int, what: str) -> list:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return found
+
+
+def labelled(rows: DataFrame, most: int = LABELLED_ROWS) -> dict[str, list[str]]:
+    """Labelled addresses of a table (address, its words set apart by hyphens, and verdict: block or allow) for filter_urls(). Other verdicts and null addresses are
+    left out; ValueError for more than `most` rows."""
+    kept = _held(rows.where("verdict IN ('block', 'allow') AND address IS NOT NULL").select("verdict", F.lower("address").alias("address")), most, "the labelled table")
+    return {k: [r["address"] for r in kept if r["verdict"] == k] for k in ("block", "allow")}
+
+
+def word_counts(pages: DataFrame, addresses: dict[str, str | Sequence[str]] = ADDRESSES, lexicon: DataFrame | None = None) -> dict[str, int]:
+    """How many hosts of the whole table have each labelled word alone in their urls, a host counted once however many rows it has; and the counts of a lexicon
+    (word, count) for its other words. Other words of the table are not known: they cost by their letters."""
     host, path = address(F.col("url"))
-    labelled = sorted({w for v in addresses.values() for w in re.split(r"[\s-]+", v)})
+    listed = sorted({w for v in addresses.values() for a in (v.split() if isinstance(v, str) else v) for w in a.split("-")})
     words = pages.select(host.alias("host"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", host, F.lower(path)), "[^a-z]+"))).alias("w"))
-    words = words.where(F.length("w") > 0).distinct().groupBy("w").agg(F.count("*").alias("hosts"))
-    own = words.where(F.col("w").isin(labelled))
-    others = words.where(~F.col("w").isin(labelled) & (F.col("hosts") >= TABLE_HOSTS) & (F.length("w") >= TABLE_LETTERS))
-    rows = own.unionByName(others.orderBy(F.desc("hosts"), "w").limit(TABLE_WORDS)).collect()
-    return {r["w"]: r["hosts"] for r in rows}
+    known = F.broadcast(pages.sparkSession.createDataFrame([(w,) for w in listed], "w string"))
+    counted = words.join(known, "w", "left_semi").distinct().groupBy("w").agg(F.count("*").alias("hosts"))
+    found = {r["w"]: r["hosts"] for r in counted.collect()}
+    if lexicon is not None:
+        own = set(listed)
+        rows = _held(lexicon.where("word IS NOT NULL AND count > 0").groupBy(F.lower("word").alias("word")).agg(F.sum("count").alias("count")), LEXICON_ROWS, "the lexicon")
+        found |= {r["word"]: r["count"] for r in rows if r["word"] not in own}
+    return found
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, addresses: dict[str, str] = ADDRESSES) -> DataFrame:
-    """page_id, host, path, rule, verdict, log_odds and the segmented words of each row.
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, addresses: dict[str, str | Sequence[str]] = ADDRESSES, lexicon: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, log_odds and the segmented words of each row. addresses: block and allow, see labelled(); lexicon: word, count.
 
     A null url, or one without `://`, has empty host and path: no rule fits and the prior allows it. Of rules of equal length that fit the
     first counts; log odds of 0 allow. Repeated rows are judged one by one, urls of any length as a whole; an empty table gives an empty one; other columns are ignored.
     """
     ship(pages.sparkSession)
-    counts = word_counts(pages, addresses)
+    counts = word_counts(pages, addresses, lexicon)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(counts, addresses)

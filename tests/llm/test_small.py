@@ -266,8 +266,26 @@ def test_held_out_addresses():
 
 def test_url_words_are_counted_by_hosts(spark):
     urls = ["http://a.shop.com/news/x", "http://b.shop.com/zebra", "http://b.shop.com/zebra/zebra"] + ["http://c.org/hot"] * 50 + ["http://d.org/zebra/Ab/ab"]
-    got = urlfilter.word_counts(spark.createDataFrame([(u,) for u in urls], "url string"))
-    assert got["zebra"] == 2 and got["shop"] == 2 and got["hot"] == 1 and got["org"] == 2 and "ab" not in got and "a" not in got
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = urlfilter.word_counts(pages)
+    assert got == {"shop": 2, "hot": 1, "news": 1, "x": 1}  # labelled words alone
+    lexicon = spark.createDataFrame([("Zebra", 40), ("zebra", 2), ("shop", 7), (None, 3), ("crossing", 5), ("none", 0)], "word string, count int")
+    assert urlfilter.word_counts(pages, lexicon=lexicon) == {"shop": 2, "hot": 1, "news": 1, "x": 1, "zebra": 42, "crossing": 5}
+
+
+def test_url_words_and_labels_of_the_caller(spark, monkeypatch):
+    table = spark.createDataFrame([("Zebra-crossing", "allow"), ("road-sign", "allow"), ("zebra-hunt", "block"), ("hunt-trophy", "block"), (None, "block"), ("x", "maybe")], "address string, verdict string")
+    labels = urlfilter.labelled(table)
+    assert {k: sorted(v) for k, v in labels.items()} == {"block": ["hunt-trophy", "zebra-hunt"], "allow": ["road-sign", "zebra-crossing"]}
+    pages = spark.createDataFrame([(1, "http://trophyhunters.com/"), (2, "http://zebracrossingsafari.com/")], "page_id int, url string")
+    lexicon = spark.createDataFrame([("safari", 5), ("ers", 1)], "word string, count int")
+    got = {r["page_id"]: (r["words"], r["verdict"]) for r in urlfilter.filter_urls(pages, (), labels, lexicon).collect()}
+    assert got == {1: (["trophy", "hunt", "ers", "com"], "block"), 2: (["zebra", "crossing", "safari", "com"], "allow")}
+    monkeypatch.setattr(urlfilter, "LEXICON_ROWS", 1)
+    with pytest.raises(ValueError, match="more than"):
+        urlfilter.filter_urls(pages, lexicon=lexicon)
+    with pytest.raises(ValueError, match="more than"):
+        urlfilter.labelled(table, 2)
 
 
 # ---- 5 ----
