@@ -151,15 +151,12 @@ def safe_segments(spark, sf_dir):
     return _SEGMENTS.df(spark).select("value", U.safe_segment(F.col("value")).alias("segment"))
 
 
-_SRCSET = Rows("value string, serialized string, n bigint", [
-    ("a.png 1x, b.png 2x", "a.png 1x, b.png 2x", 2), ("a.png", "a.png", 1), ("", "", 0), ("data:image/png;base64,AA, b", "data:image/png;base64,AA, b", 1),
-    ("  a.png   100w ,, b.png ", "a.png 100w, b.png", 2)])
-
-
-@query("srcset", f"SELECT value, serialized, n FROM {_SRCSET.sql()}")
+@query("srcset", "SELECT page_id, url || ' 1x, ' || url || '?b 200w, ' || url || '/c' AS serialized, CAST(3 AS BIGINT) AS n FROM pages")
 def srcset(spark, sf_dir):
-    parsed = _SRCSET.df(spark).select("value", U.parse_srcset(F.col("value")).alias("c"))
-    return parsed.select("value", U.format_srcset(F.col("c")).alias("serialized"), F.size("c").cast("bigint").alias("n"))
+    url = F.col("url")
+    value = F.concat(F.lit("  "), url, F.lit(" 1x,  "), url, F.lit("?b   200w ,, "), url, F.lit("/c "))
+    parsed = table(spark, sf_dir, "pages").select("page_id", U.parse_srcset(value).alias("c"))
+    return parsed.select("page_id", U.format_srcset(F.col("c")).alias("serialized"), F.size("c").cast("bigint").alias("n"))
 
 
 # ---- pages -----------------------------------------------------------------------------------------------------------
@@ -381,13 +378,12 @@ def http_date_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.format_http_date(F.floor(policy.micros() / 1_000_000)).alias("header"))
 
 
-_TYPES = Rows("header string, media_type string, charset string", [("text/html; charset=UTF-8", "text/html", "UTF-8"), ("TEXT/HTML", "text/html", None), ('application/xhtml+xml; q=1; Charset="iso-8859-1"', "application/xhtml+xml", "iso-8859-1"), ("", "", None)])
-
-
-@query("content_types", f"SELECT header, media_type, charset, media_type IN ('', 'text/html', 'application/xhtml+xml') AS is_html FROM {_TYPES.sql()}")
+@query("content_types", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/' || event_type WHEN 2 THEN event_type ELSE '' END AS media_type,
+  CASE event_id % 4 WHEN 0 THEN event_type WHEN 2 THEN user_id::VARCHAR END AS charset FROM events""")
 def content_types(spark, sf_dir):
-    t = _TYPES.df(spark).select("header", X.content_type(F.create_map(F.lit("Content-Type"), F.col("header"))).alias("t"))
-    return t.select("header", "t.*", F.col("t.media_type").isin("", "text/html", "application/xhtml+xml").alias("is_html"))
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    header = F.element_at(F.array(F.concat(F.lit("text/html; charset="), kind), F.upper(F.concat(F.lit("Text/"), kind)), F.concat(kind, F.lit('; q=1; Charset="'), user, F.lit('"')), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", X.content_type(F.create_map(F.lit("content-TYPE"), header)).alias("t")).select("event_id", "t.*")
 
 
 _MD = "See [a](https://e.org/a_(b)), ![i](https://e.org/i.png) and <https://e.org/x>.\n```\n[c](https://e.org/c)\n```\n<a href=\"https://e.org/h\">h</a>\nhttps://e.org/line\n"
@@ -701,9 +697,6 @@ def redirect_scope(spark, sf_dir):
     return crawl.redirects_allowed(_HOPS.df(spark), F.lit("https://e.org/"), "host-only")
 
 
-_ROBOTS = Rows("origin string, status int, content string", [
-    ("https://a.org", 200, "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: mill\nCrawl-delay: 2\nDisallow: /private\nAllow: /"), ("https://b.org", 404, ""), ("https://c.org", 503, None),
-    ("https://d.org", 200, "User-agent: not-mill\nDisallow: /\nCrawl-delay: 9\nUser-agent: *\nCrawl-delay: x\nCrawl-delay: 1.5\nDisallow: /x # c"), ("https://e.org", 200, "")])
 #: Each page adds a rule to its origin's file: a prefix of its path, as long as its number says; every eleventh one fits all.
 _SQL_RULES = """(SELECT page_id, origin, CASE WHEN page_id % 3 = 1 THEN 'allow' ELSE 'disallow' END AS kind, CASE WHEN page_id % 11 = 10 THEN '*' ELSE substring(path, 1, (page_id % 12 + 2)::INT) END AS rule
   FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages))"""
@@ -725,9 +718,15 @@ def robots_decisions(spark, sf_dir):
     return robots.decisions(asked, lines.select("origin", F.lit(200).alias("status"), content.alias("content")), "mill/1.0")
 
 
-@query("crawl_delays", "SELECT * FROM (VALUES ('https://a.org', 2.0::DOUBLE), ('https://b.org', NULL), ('https://c.org', NULL), ('https://d.org', 1.5), ('https://e.org', NULL)) v(origin, delay)")
+@query("crawl_delays", """SELECT origin, coalesce(arg_min(page_id % 30 + 0.5, page_id) FILTER (WHERE page_id % 4 <> 0), min(page_id) % 10)::DOUBLE AS delay
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages) GROUP BY origin""")
 def crawl_delays(spark, sf_dir):
-    return robots.crawl_delays(_ROBOTS.df(spark), "mill/1.0")
+    """Files with a delay for everyone and one of each page of the origin for the product, a fourth of them no numbers."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("origin"))
+    line = F.concat(F.lit("Crawl-delay: "), F.when(F.col("page_id") % 4 == 0, "x").otherwise(F.concat((F.col("page_id") % 30).cast("string"), F.lit(".5"))))
+    files = p.groupBy("origin").agg(F.min("page_id").alias("least"), F.sort_array(F.collect_list(F.struct("page_id", line.alias("line")))).alias("l"))
+    content = F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.col("least") % 10).cast("string"), F.lit("\n\nUser-agent: not-mill\nCrawl-delay: 99\n\nUser-agent: Mill\n"), F.array_join("l.line", "\n"))
+    return robots.crawl_delays(files.select("origin", F.lit(200).alias("status"), content.alias("content")), "mill/1.0")
 
 
 @query("robots_fetches", f"""SELECT origin, min(origin || '/robots.txt') AS robots_url FROM (SELECT page_id, sch || '://' || lower(net) AS origin FROM ({U.sql_parts(_SQL_VARIANTS)}) WHERE variant IN ('plain', 'port')) u
@@ -741,14 +740,24 @@ def robots_fetches(spark, sf_dir):
 
 # ---- cookies, images, state, evaluation ------------------------------------------------------------------------------
 
-_COOKIES = Rows("pos int, name string, value string, domain string, path string, expires bigint, secure boolean, host_only boolean", [
-    (0, "a", "1", "e.org", "/", None, False, True), (1, "b", "2", ".e.org", "/docs", None, False, False), (2, "c", "3", ".e.org", "/", 50, False, False), (3, "d", "4", ".e.org", "/", None, True, False), (4, "x", "5", "other.org", "/", None, False, True)])
-_REQUESTS = Rows("url string", [("https://e.org/docs/a",), ("http://sub.e.org/docsx",), ("http://sub.e.org/docs",), ("https://evil-e.org/",)])
+_SQL_COOKIES = """(SELECT page_id AS pos, 'p' || page_id AS name, CASE WHEN page_id % 50 = 1 THEN regexp_extract(host, '[^.]*[.][^.]*$') ELSE host END AS d, page_id % 50 <> 1 AS host_only,
+  CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/en' END AS path, CASE WHEN page_id % 7 = 0 THEN page_id END AS expires, page_id % 5 = 0 AS secure FROM (SELECT page_id, regexp_extract(url, '://([^/?#:]*)', 1) AS host FROM pages))"""
 
 
-@query("cookie_headers", "SELECT * FROM (VALUES ('https://e.org/docs/a', 'b=2; a=1; d=4'), ('http://sub.e.org/docs', 'b=2')) v(url, header)")
+@query("cookie_headers", f"""SELECT url, string_agg(name || '=' || pos, '; ' ORDER BY length(c.path) DESC, pos) AS header
+FROM (SELECT DISTINCT url, regexp_extract(url, '://([^/?#:]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p FROM pages) r
+JOIN {_SQL_COOKIES} c ON (r.host = d OR (NOT host_only AND ends_with(r.host, '.' || d))) AND (NOT secure OR url LIKE 'https:%') AND (expires IS NULL OR expires > 100)
+  AND (c.path = '/' OR p = c.path OR starts_with(p, c.path || '/')) GROUP BY url""")
 def cookie_headers(spark, sf_dir):
-    return cookies.cookie_header(_REQUESTS.df(spark), _COOKIES.df(spark), F.lit(100))
+    """Each page's cookie, some for its whole domain, against every page's address."""
+    p = table(spark, sf_dir, "pages")
+    n, host = F.col("page_id"), F.regexp_extract("url", "://([^/?#:]*)", 1)
+    wide_ = n % 50 == 1
+    jar = p.select(
+        n.alias("pos"), F.concat(F.lit("p"), n.cast("string")).alias("name"), n.cast("string").alias("value"), F.when(wide_, F.concat(F.lit("."), F.regexp_extract(host, "[^.]*[.][^.]*$", 0))).otherwise(host).alias("domain"),
+        F.when(n % 2 == 0, "/").otherwise("/en").alias("path"), F.when(n % 7 == 0, n).alias("expires"), (n % 5 == 0).alias("secure"), (~wide_).alias("host_only"),
+    )
+    return cookies.cookie_header(p.select("url").distinct(), jar, F.lit(100))
 
 
 _EXPORTED = '[{"name":"a","value":"1","domain":".e.org","expirationDate":1.9,"secure":true},{"name":"b","value":"2"},{"value":"3"}]'
@@ -778,12 +787,14 @@ def image_types(spark, sf_dir):
     return _IMAGES.df(spark).select("hex", images.verified_mime(F.unhex("hex"), F.col("declared")).alias("mime"))
 
 
-_SIZES = Rows("doc int, pos int, size bigint, accepted boolean", [(1, 0, 30, True), (1, 1, 45, False), (1, 2, 25, True), (1, 3, 40, True), (1, 4, 6, False), (1, 5, 5, True), (2, 0, 10, True)])
-
-
-@query("image_budget", f"SELECT doc, pos, accepted FROM {_SIZES.sql()}")
+@query("image_budget", """WITH RECURSIVE e AS (SELECT user_id AS doc, event_id::INT AS pos, CAST(floor(coalesce(value, 0)) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events),
+r AS (SELECT doc, 0::BIGINT k, NULL::INT pos, false AS accepted, 0::BIGINT total FROM e WHERE k = 1
+ UNION ALL SELECT e.doc, e.k, e.pos, e.size <= 60 AND r.total + e.size <= 200, r.total + CASE WHEN e.size <= 60 AND r.total + e.size <= 200 THEN e.size ELSE 0 END FROM r JOIN e ON e.doc = r.doc AND e.k = r.k + 1)
+SELECT doc, pos, accepted FROM r WHERE k > 0""")
 def image_budget(spark, sf_dir):
-    return images.within_budget(_SIZES.df(spark).drop("accepted"), "doc", 40, 100).select("doc", "pos", "accepted")
+    """Events as images: of a user's page, as large as their value."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").cast("int").alias("pos"), F.floor(F.coalesce("value", F.lit(0.0))).alias("size"))
+    return images.within_budget(rows, "doc", 60, 200).select("doc", "pos", "accepted")
 
 
 _NAMES = Rows("doc int, pos int, url string, mime string, filename string", [(1, 0, "https://e.org/a b.png", "image/png", "a_b.png"), (1, 1, "https://e.org/x/a%20b.jpg", "image/png", "a_b_1.png"), (1, 2, "https://e.org/a_b.gif", "image/gif", "a_b.gif"), (1, 3, "https://e.org/a_b_1.png", "image/png", "a_b_1_1.png"), (1, 4, "https://e.org/y/a_b.png", "image/png", "a_b_2.png"), (2, 0, "https://e.org/a b.png", "image/png", "a_b.png")])

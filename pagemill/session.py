@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +57,30 @@ def _base(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pagemill-{spark.sparkContext.applicationId}"
 
 
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, in the application's own folder; a local session may leave that unset."""
-    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}{_scratch.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes inside go to one folder, which is deleted at the end. What is to stay is written elsewhere by then."""
+    before = _scratch.get()
+    mark = _scratch.set(f"{before}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, f"{_base(spark)}{_scratch.get()}")
+        _scratch.reset(mark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and what is in it, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -68,5 +92,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def clear_stored(spark: SparkSession) -> None:
     """Deletes all that stored() has written in this application. Results that are not written out by then are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _base(spark))

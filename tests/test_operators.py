@@ -501,3 +501,45 @@ def test_config(spark):
         config.get_path(merged, "a..b")
     rows = {r["path"]: r["value"] for r in config.merged_leaves(config.leaves(spark, defaults), config.leaves(spark, {"crawl": {"depth": 5}})).collect()}
     assert rows["crawl.depth"] == "5" and rows["out"] == '"x"'
+
+
+def test_small_facts(spark):
+    """Rows by hand of what the queries derive from large tables."""
+    sets = [("a.png 1x, b.png 2x", "a.png 1x, b.png 2x", 2), ("a.png", "a.png", 1), ("", "", 0), ("data:image/png;base64,AA, b", "data:image/png;base64,AA, b", 1), ("  a.png   100w ,, b.png ", "a.png 100w, b.png", 2)]
+    d = spark.createDataFrame(sets, "v string, s string, n int").select("*", U.parse_srcset(F.col("v")).alias("c"))
+    assert all(r["s"] == r["t"] and r["n"] == r["m"] for r in d.select("s", "n", U.format_srcset(F.col("c")).alias("t"), F.size("c").alias("m")).collect())
+    types = [("text/html; charset=UTF-8", "text/html", "UTF-8"), ("TEXT/HTML", "text/html", None), ('application/xhtml+xml; q=1; Charset="iso-8859-1"', "application/xhtml+xml", "iso-8859-1"), ("", "", None)]
+    d = spark.createDataFrame(types, "h string, m string, c string").select("m", "c", X.content_type(F.create_map(F.lit("Content-Type"), F.col("h"))).alias("t"))
+    assert all((r["m"], r["c"]) == tuple(r["t"]) for r in d.collect())
+    jar = [(0, "a", "1", "e.org", "/", None, False, True), (1, "b", "2", ".e.org", "/docs", None, False, False), (2, "c", "3", ".e.org", "/", 50, False, False), (3, "d", "4", ".e.org", "/", None, True, False), (4, "x", "5", "other.org", "/", None, False, True)]
+    jar = spark.createDataFrame(jar, "pos int, name string, value string, domain string, path string, expires bigint, secure boolean, host_only boolean")
+    asked = spark.createDataFrame([(u,) for u in ("https://e.org/docs/a", "http://sub.e.org/docsx", "http://sub.e.org/docs", "https://evil-e.org/")], "url string")
+    assert {r["url"]: r["header"] for r in cookies.cookie_header(asked, jar, F.lit(100)).collect()} == {"https://e.org/docs/a": "b=2; a=1; d=4", "http://sub.e.org/docs": "b=2"}
+    sizes = [(1, 0, 30, True), (1, 1, 45, False), (1, 2, 25, True), (1, 3, 40, True), (1, 4, 6, False), (1, 5, 5, True), (2, 0, 10, True)]
+    d = images.within_budget(spark.createDataFrame(sizes, "doc int, pos int, size bigint, want boolean"), "doc", 40, 100)
+    assert all(r["want"] == r["accepted"] for r in d.collect())
+    bots = [
+        ("https://a.org", 200, "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: mill\nCrawl-delay: 2\nDisallow: /private\nAllow: /"), ("https://b.org", 404, ""), ("https://c.org", 503, None),
+        ("https://d.org", 200, "User-agent: not-mill\nDisallow: /\nCrawl-delay: 9\nUser-agent: *\nCrawl-delay: x\nCrawl-delay: 1.5\nDisallow: /x # c"), ("https://e.org", 200, ""),
+    ]
+    bots = spark.createDataFrame(bots, "origin string, status int, content string")
+    want = {"https://a.org/private/1": False, "https://a.org/a": True, "https://b.org/x": True, "https://c.org/x": False, "https://d.org/xy": False, "https://d.org/y": True, "https://e.org/": True, "https://f.org/": False}
+    assert {r["url"]: r["allowed"] for r in robots.decisions(spark.createDataFrame([(u,) for u in want], "url string"), bots, "mill/1.0").collect()} == want
+    assert {r["origin"][8]: r["delay"] for r in robots.crawl_delays(bots, "mill/1.0").collect()} == {"a": 2.0, "b": None, "c": None, "d": 1.5, "e": None}
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from pagemill.session import scratch, shared_folder, stored
+
+    kept = shared_folder(spark, "kept")
+    with scratch(spark):
+        inner = stored(spark.range(3), "inner")
+        with scratch(spark):
+            deeper = stored(inner, "deeper").inputFiles()[0]
+        assert not Path(deeper.removeprefix("file://")).exists()
+        held = inner.inputFiles()[0]
+        inner.write.parquet(kept)
+    assert not Path(held.removeprefix("file://")).exists() and spark.read.parquet(kept).count() == 3
+    assert "scratch" in held and "scratch" not in shared_folder(spark, "x")
