@@ -363,6 +363,58 @@ def test_quality_of_awkward_rows(docs, spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def all_pairs_gradient(z, good, bad, w):
+    """The gradient of the loss over all pairs; z has distinct rows, of which `good` and `bad` are the numbers of documents."""
+    gradient = preference.RIDGE * w
+    for i in np.flatnonzero(good):
+        p = 1 / (1 + np.exp((z[i] - z) @ w))
+        gradient = gradient - good[i] * (bad * p) @ (z[i] - z) / good.sum() / bad.sum()
+    return gradient
+
+
+def most_right(s, good, bad):
+    """The most documents that a threshold can class rightly."""
+    edges = np.unique(s)
+    return max(good[s >= t].sum() + bad[s < t].sum() for t in [*edges, np.inf])
+
+
+def test_quality_fit_takes_every_pair():
+    """Over half a million pairs: the loss of all of them is at its least, and no threshold, between quantiles or not, is better."""
+    r = np.random.default_rng(11)
+    y = (r.random(1700) < 0.4).astype(int)
+    x = r.normal(size=(1700, len(preference.FEATURES))) + y[:, None] * r.normal(size=len(preference.FEATURES)) * 0.3
+    ranker = preference.fit(x, y)
+    z = np.clip((x - x.mean(0)) / x.std(0), -preference.CLIP, preference.CLIP)
+    assert np.abs(all_pairs_gradient(z, y == 1, y == 0, ranker.weights)).max() < 1e-8
+    s = ranker.raw(x)
+    assert ((s >= ranker.threshold) == (y == 1)).sum() == most_right(s, y == 1, y == 0)
+
+
+def test_quality_trains_on_every_label(spark):
+    """36,000 labelled documents of 24 texts: means, pairs and threshold are those of all that are not held out."""
+    import zlib
+
+    texts = [(prose(5 + k) + (". " + "A%d$ " * (k % 5) + "\n" * (k % 4)) * (k % 3)).strip() for k in range(24)]
+    ids = np.arange(36_000)
+    kind, labels = ids * 7 // 5 % 24, ((ids * 2_654_435_761 >> 7) % 100 < 20 + ids * 7 // 5 % 24 * 2 + ids // 1200).astype(int)
+    d = spark.createDataFrame(list(zip(ids.tolist(), (texts[k] for k in kind))), "doc_id bigint, text string")
+    y = spark.createDataFrame([(i, q, 0) for i, q in zip(ids.tolist(), labels.tolist())], "doc_id bigint, quality int, toxic int")
+    ranker = preference.train(d, y)
+    used = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in ids])
+    good, bad = (np.bincount(kind[used & (labels == q)], minlength=24) for q in (1, 0))
+    assert good.sum() + bad.sum() == used.sum() > 20_000
+    x = np.array([plain_features(t) for t in texts])
+    mean = (good + bad) @ x / used.sum()
+    scale = np.sqrt((good + bad) @ (x - mean) ** 2 / used.sum())
+    assert np.allclose(ranker.mean, mean, rtol=1e-9) and np.allclose(ranker.scale, np.maximum(scale, 1e-6), rtol=1e-8)
+    z = np.clip((x - ranker.mean) / ranker.scale, -preference.CLIP, preference.CLIP)
+    assert np.abs(all_pairs_gradient(z, good, bad, ranker.weights)).max() < 1e-8
+    s = ranker.raw(x)
+    assert good[s >= ranker.threshold].sum() + bad[s < ranker.threshold].sum() == most_right(s, good, bad)
+    again = preference.fit(np.repeat(x, good + bad, 0), np.concatenate([np.repeat([1, 0], [g, b]) for g, b in zip(good, bad)]))
+    assert np.allclose(ranker.weights, again.weights, atol=1e-7) and np.isclose(ranker.threshold, again.threshold) and np.isclose(ranker.slope, again.slope)
+
+
 # ---- 6 ----
 
 
