@@ -259,7 +259,7 @@ def _pair_loss(sums: Sums, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray
 def _place(gain: int, low: float | None, high: float, all_bad: int, top: float) -> float:
     """The threshold between two scores; the lowest score if all are to pass, just above the highest if none is."""
     if all_bad > gain:
-        return float(np.nextafter(top, np.inf))
+        return top + 1e-6 * max(1.0, abs(top))  # far enough for a score that differs from 0.5
     middle = high if low is None else low / 2 + high / 2
     return middle if low is None or middle > low else high
 

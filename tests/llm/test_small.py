@@ -390,6 +390,13 @@ def test_quality_fit_takes_every_pair():
     assert ((s >= ranker.threshold) == (y == 1)).sum() == most_right(s, y == 1, y == 0)
 
 
+def test_quality_of_equal_texts_goes_with_most():
+    x = np.ones((30, len(preference.FEATURES)))
+    for bad in (24, 6):
+        ranker = preference.fit(x, (np.arange(30) >= bad).astype(int))
+        assert ((ranker.score(x) >= 0.5) == (bad < 15)).all()
+
+
 def test_quality_trains_on_every_label(spark):
     """36,000 labelled documents of 24 texts: means, pairs and threshold are those of all that are not held out."""
     import zlib
