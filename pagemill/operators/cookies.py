@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import normalize_hostname, split_url
+from pagemill.session import stored
 
 EXPORT = "array<struct<name:string,value:string,domain:string,path:string,expirationDate:double,secure:boolean,httpOnly:boolean,sameSite:string,hostOnly:boolean>>"
 #: Seconds between 1601 and 1970.
 CHROME_EPOCH = 11_644_473_600
+#: Bytes of a result that a copy of a header becomes at most, and that a task writes on average.
+PIECE = 128 << 20
 
 
 def host_suffixes(host: Column) -> Column:
@@ -28,26 +31,41 @@ def path_matches(path: Column, cookie: Column) -> Column:
     return (path == c) | (path.startswith(c) & (c.endswith("/") | (F.substr(path, F.length(c) + 1, F.lit(1)) == "/")))
 
 
-def applicable(requests: DataFrame, cookies: DataFrame, now: Column) -> DataFrame:
-    """url joined with the cookies it would send; hosts are exploded into suffixes and joined on the cookie's domain."""
-    s = split_url(F.col("url"))
-    asked = requests.select("url", s.alias("s")).withColumn("host", normalize_hostname(F.col("s.host"))).withColumn("d", F.explode(host_suffixes(F.col("host"))))
-    kept = cookies.withColumn("d", normalize_hostname(F.col("domain")))
-    path = F.when(F.col("s.path") == "", "/").otherwise(F.col("s.path"))
-    fits = (
-        (~F.col("host_only") | (F.col("host") == F.col("d")))
-        & (~F.col("secure") | (F.col("s.scheme") == "https"))
-        & (F.col("expires").isNull() | (F.col("expires") > now))
-        & path_matches(path, F.col("path"))
-    )
-    return asked.join(kept, "d").where(fits & (F.col("d") != ""))
+def _kinds(requests: DataFrame, jar: DataFrame) -> DataFrame:
+    """url, kind, https, host, met: each url once, with the places (d, at) of the jar that it is at. Urls of a kind, which names scheme, host and places, are sent the
+    same cookies. A path meets the places that are its prefixes, of the lengths that a domain's paths have: not every path of the domain."""
+    s, path = split_url(F.col("url")), F.col("path")
+    asked = requests.select("url").distinct().select("url", s.alias("s")).select(
+        "url", (F.col("s.scheme") == "https").alias("https"), normalize_hostname(F.col("s.host")).alias("host"), F.when(F.col("s.path") == "", "/").otherwise(F.col("s.path")).alias("path")
+    )
+    lengths = jar.groupBy("d").agg(F.collect_set(F.length("at")).alias("lengths"))
+    near = asked.withColumn("d", F.explode(host_suffixes(F.col("host")))).join(lengths, "d")
+    near = near.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length(path)))).withColumn("at", F.substring(path, F.lit(1), F.col("n")))
+    there = near.where(path_matches(path, F.col("at"))).join(jar.select("d", "at").distinct(), ["d", "at"], "left_semi")
+    met = there.groupBy("url", "https", "host").agg(F.sort_array(F.collect_list(F.struct("d", "at"))).alias("met"))
+    return met.withColumn("kind", F.to_json(F.struct("https", "host", "met")))
 
 
 def cookie_header(requests: DataFrame, cookies: DataFrame, now: Column) -> DataFrame:
-    """url, header: longer paths first, then the order of `pos`. A request's cookies are few, whatever the table's size."""
-    rows = applicable(requests, cookies, now)
+    """url, header: longer paths first, then the order of `pos`.
+
+    A kind's header is made once, so what is joined, sorted and gathered grows with the cookies, and not with urls times cookies: only the result does, as each url has its
+    whole header. Headers travel to pieces of their urls, and there are as many tasks as the result's bytes need: neither a popular host nor a writer that guesses how
+    many rows it can hold makes one of them large.
+    """
+    at = F.when(F.col("path").startswith("/"), F.col("path")).otherwise("/")
+    jar = cookies.where(F.col("expires").isNull() | (F.col("expires") > now)).withColumn("d", normalize_hostname(F.col("domain"))).withColumn("at", at).where("d <> ''")
+    asked = stored(_kinds(requests, jar), "asked")
+    kinds = asked.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("https", "host", "met")], F.count("*").alias("urls"))
+    fits = (~F.col("host_only") | (F.col("host") == F.col("d"))) & (~F.col("secure") | F.col("https"))
+    rows = kinds.select("kind", "https", "host", F.explode("met").alias("m")).select("kind", "https", "host", "m.*").join(jar, ["d", "at"]).where(fits)
     sent = F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("k"), F.col("pos"), F.concat_ws("=", "name", "value").alias("v"))))
-    return rows.groupBy("url").agg(F.array_join(F.transform(sent, lambda x: x["v"]), "; ").alias("header"))
+    headers = rows.groupBy("kind").agg(F.array_join(F.transform(sent, lambda x: x["v"]), "; ").alias("header")).join(kinds.select("kind", "urls"), "kind")
+    headers = stored(headers.withColumn("bytes", F.col("urls") * F.octet_length("header")), "headers")
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, (headers.agg(F.sum("bytes")).first()[0] or 0) // PIECE)
+    piece = F.pmod(F.xxhash64("url"), F.floor(F.col("bytes") / PIECE) + 1)
+    pieces = asked.join(headers.select("kind", "bytes"), "kind").groupBy("kind", piece.alias("piece")).agg(F.collect_list("url").alias("urls"))
+    return pieces.join(headers.select("kind", "header"), "kind").repartition(tasks, "kind", "piece").select(F.explode("urls").alias("url"), "header")
 
 
 def replace_domain(current: DataFrame, new: DataFrame, host: str) -> DataFrame:

@@ -489,6 +489,34 @@ def test_cookie_mapping_needs_a_host(spark):
         cookies.from_export(rows).collect()
 
 
+def _joined(spark, since: int) -> int:
+    """Rows that the joins of the executions after the first `since` have made."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(k).executionId() for k in range(since, runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if "Join" in node.name() else ():
+                value = values.get(m.accumulatorId())
+                if m.name() == "number of output rows" and value.isDefined():
+                    total += int(value.get().replace(",", ""))
+    return total
+
+
+def test_cookie_headers_are_not_made_url_by_url(spark):
+    n = 400
+    jar = spark.range(n).selectExpr("id AS pos", "'c' AS name", "CAST(id AS string) AS value", "'e.org' AS domain", "IF(id % 2 = 0, '/', '/en') AS path", "CAST(NULL AS bigint) AS expires", "id % 3 = 0 AS secure", "true AS host_only")
+    asked = spark.range(2 * n).selectExpr("concat(IF(id % 3 = 0, 'https', 'http'), '://e.org/', IF(id % 4 = 0, 'en/', 'english/'), id % 400) AS url")
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = {r["url"]: r["header"] for r in cookies.cookie_header(asked, jar, F.lit(100)).collect()}
+    assert len(got) == asked.distinct().count()
+    for url, header in got.items():
+        sent = [k for k in range(n) if (k % 3 or url.startswith("https:")) and (k % 2 == 0 or "/en/" in url)]
+        assert header == "; ".join(f"c={k}" for k in sorted(sent, key=lambda k: (k % 2 == 0, k)))
+    assert 0 < _joined(spark, since) < 30 * n
+
+
 def test_config(spark):
     defaults = {"crawl": {"depth": 3, "delay": 0.5, "polite": False}, "out": "x", "headers": {}}
     merged = config.merge(defaults, {"crawl": {"depth": 5}, "new": 1, "headers": {"A": "b"}})
